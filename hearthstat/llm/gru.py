@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 STEPS = 24
-SIZES = {"embedding": 16, "hidden": 24, "per_class": 64}
+SIZES = {"embedding": 16, "hidden": 16, "per_class": 32}
 
 
 def shapes(head: int, tail: int) -> dict[str, tuple[int, ...]]:
@@ -26,8 +26,8 @@ def start(head: int, tail: int, class_counts: np.ndarray, word_counts: np.ndarra
     m["b"][:] = 0
     m["C"] *= 0.1
     m["V"] *= 0.1
-    m["c"][:] = np.log(class_counts + 1)
-    m["v"][:] = np.log(np.maximum(word_counts, 0) + 1)
+    m["c"][:] = np.log((class_counts + 1) / (class_counts + 1).sum())
+    m["v"][:] = np.log((np.maximum(word_counts, 0) + 1) / (np.maximum(word_counts, 0) + 1).sum(axis=1, keepdims=True))
     m["v"][word_counts < 0] = -30  # places of a class without a word
     return m
 
@@ -76,7 +76,8 @@ def _steps(m, tokens, begins, running, t0, h, keep):
 
 
 def _softmax_loss(logits: np.ndarray, target: np.ndarray, grad: bool):
-    logits -= logits.max(axis=1, keepdims=True)
+    """Logits start as logarithms of probabilities and stay near them; the cap only guards the exponential."""
+    np.minimum(logits, 60, out=logits)
     own = logits[np.arange(len(target)), target]
     np.exp(logits, out=logits)
     total = logits.sum(axis=1)
@@ -129,7 +130,7 @@ def _windows(lengths: np.ndarray, steps: int):
         yield t0, [int(np.searchsorted(-lengths, -t, side="left")) for t in range(t0, min(longest, t0 + steps))]
 
 
-def score(m: dict, head: int, sequences: list[np.ndarray], batch: int = 512) -> np.ndarray:
+def score(m: dict, head: int, sequences: list[np.ndarray], batch: int = 4096) -> np.ndarray:
     """Natural log-probability of each whole sequence, up to the factors left to the caller."""
     out = np.zeros(len(sequences))
     for at, tokens, begins, lengths in _batches(sequences, batch):
@@ -142,7 +143,7 @@ def score(m: dict, head: int, sequences: list[np.ndarray], batch: int = 512) ->
     return out
 
 
-def train(m: dict, head: int, sequences: list[np.ndarray], state: dict, rate: float = 0.01, batch: int = 256) -> dict:
+def train(m: dict, head: int, sequences: list[np.ndarray], state: dict, rate: float = 0.01, batch: int = 1024) -> dict:
     """One pass; ``state`` holds Adam's moments and goes on over calls."""
     hidden = SIZES["hidden"]
     work = list(_batches(sequences, batch))

@@ -4,7 +4,7 @@ Tokens: words (A-Z lower-cased, runs without ASCII white space) and one end toke
 are those whose crc32(doc_id as text) modulo ``FOLDS`` is not ``HELD_OUT``.
 
 Counts come first and are exact: tasks count their documents' tokens, Spark adds them up by word, whatever the
-vocabulary's size.  The ``HEAD_CLASSES`` * 64 most frequent tokens are words of the model's softmax (see ``gru``).
+vocabulary's size.  The ``HEAD_CLASSES`` * 32 most frequent tokens are words of the model's softmax (see ``gru``).
 Every other token, unknown ones included, belongs to one of ``TAIL_CLASSES`` classes by a hash of its last two bytes; its
 probability within the class is (c + 1) / (N_class + V_class + 1), the rest being for words that training lacks.
 
@@ -14,7 +14,7 @@ tokens seen, parameter by parameter.  Then every document is scored in one pass,
 length.  Counts of the ``KNOWN`` most frequent tokens travel to the tasks (a bounded table); rarer tokens of a
 document leave the pass as (document, word, times) rows that meet their counts in a shuffle join and are added up.
 
-Scale: the driver sees ``KNOWN`` words, TAIL_CLASSES sums and one set of weights (90,000 numbers), whatever the corpus.
+Scale: the driver sees ``KNOWN`` words, TAIL_CLASSES sums and one set of weights (17,000 numbers), whatever the corpus.
 
 Defined results: a null text is empty and has its end token alone; a null id counts as '' in the remainder; repeated
 rows are scored each and all count in training; without training documents N and c are 0 and the model is uniform
@@ -36,12 +36,13 @@ from . import common as C
 from . import gru
 
 FOLDS, HELD_OUT = 7, 2
-HEAD_CLASSES, TAIL_CLASSES = 32, 32
+HEAD_CLASSES, TAIL_CLASSES = 24, 24
 KNOWN = 1 << 17
 ROUNDS = 2
 WORKERS = 4096  # tasks that train at once, at most: the averages get a row from each for each weight
+SEGMENT = 1024  # tokens of a training sequence; longer documents go on in another one, so that all run side by side
 END = b"\n"  # no word holds white space
-BUFFER = 8 << 20  # bytes of text that a task batches
+BUFFER = 24 << 20  # bytes of text that a task batches
 
 
 def tokens_of(text: str) -> list[bytes]:
@@ -148,7 +149,7 @@ def _train(v_of, weights: np.ndarray):
     def run(batches):
         m, state, seen = gru.unflat(weights, HEAD_CLASSES, TAIL_CLASSES), {}, 0
         for held in _sequences(batches, v_of.value):
-            ids = [h[1] for h in held]
+            ids = [h[1][i : i + SEGMENT] for h in held for i in range(0, len(h[1]), SEGMENT)]
             gru.train(m, HEAD_CLASSES, ids, state)
             seen += sum(map(len, ids))
         if seen:
