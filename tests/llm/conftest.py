@@ -7,7 +7,7 @@ def docs(spark):
     long = " ".join(f"word{i % 977} and{i % 31}" for i in range(6000))
     base = " ".join(f"t{i}" for i in range(400))
     near = base.replace("t200 ", "x200 ")
-    block = "first shared line of a passage\nsecond shared line of it\nthird shared line\nfourth shared line\nfifth line of it\nsixth line"
+    block = "\n".join(f"shared line {i} of a passage" for i in range(24))
     rows = [
         (0, None, None, None), (1, "", "en", "a"), (2, " \n\t ", "en", "a"), (3, "One", "fr", None), (4, long, "en", "b"),
         (5, base, "en", "a"), (6, base, "en", "a"), (7, near, "en", "c"), (8, "Straße  naïve café  x <|endoftext|> end", "de", "d"),

@@ -20,11 +20,14 @@ BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path
 ODD = st.text(alphabet=st.sampled_from("aAbZ09 '\n\t\r\x0b\x1c\x85 ᠎​　éß́ΣσIİ.,!<|endoftext>s're"), max_size=60)
 
 
+LIBRARY = {p: Tokenizer.from_file(p) for p in (BYTE, WORD)}
+
+
 @settings(max_examples=300, deadline=None)
 @given(ODD)
 def test_encoders_equal_the_library(text):
-    assert byte_level_counter(BYTE)(text) == len(Tokenizer.from_file(BYTE).encode(text, add_special_tokens=False).ids)
-    assert np.frombuffer(word_encoder(WORD)(text), "<u4").tolist() == Tokenizer.from_file(WORD).encode(text, add_special_tokens=False).ids
+    assert byte_level_counter(BYTE)(text) == len(LIBRARY[BYTE].encode(text, add_special_tokens=False).ids)
+    assert np.frombuffer(word_encoder(WORD)(text), "<u4").tolist() == LIBRARY[WORD].encode(text, add_special_tokens=False).ids
 
 
 def test_token_counts(spark, docs, rows, none, folder):
