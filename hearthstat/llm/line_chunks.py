@@ -28,52 +28,54 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long")
 
 
-def chunks(lines: Column, divisor: int = DIVISOR) -> Column:
-    """(first, last) line numbers, from 0, of each chunk of several lines."""
-    hashes = F.transform(lines, line_hash)
-    rolled = F.transform(hashes, lambda h, i: F.pmod(F.when(i > 0, F.get(hashes, i - 1)).otherwise(F.lit(0)) * 31 + h, F.lit(divisor)))
-    last = F.size(lines) - 1
-    ends = F.filter(F.transform(rolled, lambda r, i: F.when((r == 0) | (i == last), i)), lambda e: e.isNotNull())
-    spans = F.transform(ends, lambda e, k: F.struct(F.when(k > 0, F.get(ends, k - 1) + 1).otherwise(F.lit(0)).alias("first"), e.alias("last")))
-    return F.filter(spans, lambda s: s["last"] > s["first"])
+def held(df: DataFrame, **cols: Column) -> DataFrame:
+    """``df`` with columns that are computed once a row: a generator keeps them from being copied into later lambdas."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+
+
+def with_chunks(df: DataFrame, divisor: int = DIVISOR) -> DataFrame:
+    """``spans`` beside ``lines``: (first, last) line numbers, from 0, of each chunk of several lines."""
+    size = F.size("hashes")
+    none = F.array().cast("array<int>")
+    before = F.slice(F.concat(F.array(F.lit(0).cast("long")), "hashes"), 1, size)
+    rolled = F.slice(F.zip_with(before, "hashes", lambda p, h: (p * 31 + h) % divisor), 1, size - 1)
+    df = held(df, hashes=F.transform("lines", line_hash))
+    inner = F.filter(F.transform(F.when(size > 1, rolled).otherwise(F.array().cast("array<bigint>")), lambda r, i: F.when(r == 0, i)), lambda e: e.isNotNull())
+    df = held(df, ends=F.when(size > 0, F.concat(inner, F.array(size - 1))).otherwise(none))
+    spans = F.zip_with(F.concat(F.array(F.lit(-1)), "ends"), "ends", lambda a, e: F.struct((a + 1).alias("first"), e.alias("last")))
+    return held(df, spans=F.filter(spans, lambda s: s["last"] > s["first"])).drop("hashes", "ends")
 
 
 def dedup_lines(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     """doc_id, text without repeated chunks, n_lines, n_removed for every row."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select("doc_id", "text", F.md5(text).alias("tk"))
+    # ``rk`` names a row by id and content. One exchange of texts by it serves the comparison and the removal.
+    base = docs.select("doc_id", "text", F.md5(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text))).alias("rk"))
     lines = F.split(text, "\n", -1)
-    spans = base.select("doc_id", "tk", lines.alias("lines"), chunks(lines, divisor).alias("spans")).filter(F.size("spans") > 0)
-    part = lambda ls, s: F.slice(ls, s["first"] + 1, s["last"] - s["first"] + 1)
-    hashed = F.transform("spans", lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"), F.xxhash64(part(F.col("lines"), s)).alias("hash")))
-    found = C.keep(spans.select("doc_id", "tk", F.inline(hashed)), "chunks")
+    part = lambda s: F.slice("lines", s["first"] + 1, s["last"] - s["first"] + 1)
+    spans = with_chunks(held(base.select("rk", "text"), lines=lines).drop("text"), divisor)
+    hashed = F.transform("spans", lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"), F.xxhash64(part(s)).alias("hash")))
+    found = C.keep(spans.select("rk", F.inline(hashed)), "chunks")
     again = found.groupBy("hash").count().filter("count > 1").select("hash")
-    nominated = C.keep(
-        found.join(again, "hash", "left_semi").groupBy("doc_id", "tk").agg(F.collect_set(F.struct("first", "last")).alias("spans")).withColumnRenamed("doc_id", "id").withColumnRenamed("tk", "k"),
-        "nominated",
-    )
-    mine = base["doc_id"].eqNullSafe(F.col("id")) & (base["tk"] == F.col("k"))
-    texts = base.join(nominated, mine).select("doc_id", "tk", lines.alias("lines"), F.explode("spans").alias("s"))
-    texts = texts.select("doc_id", "tk", "s.first", F.array_join(part(F.col("lines"), F.col("s")), "\n").alias("chunk"))
+    nominated = C.keep(found.join(again, "hash", "left_semi").groupBy("rk").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "nominated")
+    dealt = base.repartition(F.col("rk"))
+    texts = held(dealt.join(nominated, "rk"), lines=lines)
+    texts = texts.select("rk", F.struct("doc_id", F.md5(text)).alias("of"), F.inline(F.transform("spans", lambda s: F.struct(s["first"].alias("first"), F.array_join(part(s), "\n").alias("chunk")))))
     # Of each group of equal bytes the first occurrence stays, also of a chunk that only shares its hash with others.
-    kept = texts.groupBy("chunk").agg(F.min(F.struct("doc_id", "tk", "first")).alias("at"))
-    kept = kept.select("at.*").groupBy("doc_id", "tk").agg(F.collect_set("first").alias("kept")).withColumnRenamed("doc_id", "id").withColumnRenamed("tk", "k")
-    marks = nominated.join(kept.select(F.col("id").alias("id2"), F.col("k").alias("k2"), "kept"), F.col("id").eqNullSafe(F.col("id2")) & (F.col("k") == F.col("k2")), "left")
-    marks = C.keep(marks.select("id", "k", "spans", F.coalesce("kept", F.array().cast("array<int>")).alias("kept")), "marks")
-    nth = F.row_number().over(Window.partitionBy("doc_id", "tk").orderBy("tk"))
-    rows = base.join(marks, mine, "left").withColumn("nth", nth)
+    kept = texts.groupBy("chunk").agg(F.min(F.struct("of", "first", "rk")).alias("at"))
+    kept = kept.groupBy(F.col("at.rk").alias("rk")).agg(F.collect_set("at.first").alias("kept"))
+    marks = nominated.join(kept, "rk", "left").select("rk", "spans", F.coalesce("kept", F.array().cast("array<int>")).alias("kept"))
+    nth = F.row_number().over(Window.partitionBy("rk").orderBy("rk"))
+    rows = dealt.join(marks, "rk", "left").withColumn("nth", nth)
     gone = F.filter(F.coalesce("spans", F.array().cast("array<struct<first:int,last:int>>")), lambda s: (F.col("nth") > 1) | ~F.array_contains("kept", s["first"]))
-    left = F.filter("lines", lambda _, i: ~F.exists("gone", lambda s: (i >= s["first"]) & (i <= s["last"])))
+    rows = held(rows, lines=lines, gone=gone)
+    rows = held(rows, left=F.filter("lines", lambda _, i: ~F.exists("gone", lambda s: (i >= s["first"]) & (i <= s["last"]))))
     count = F.when(F.col("text").isNull(), 0)
-    return (
-        rows.select("doc_id", "text", lines.alias("lines"), gone.alias("gone"))
-        .select("doc_id", "text", "lines", left.alias("left"))
-        .select(
-            "doc_id",
-            F.when(F.col("text").isNotNull(), F.array_join("left", "\n")).alias("text"),
-            count.otherwise(F.size("lines")).cast("long").alias("n_lines"),
-            count.otherwise(F.size("lines") - F.size("left")).cast("long").alias("n_removed"),
-        )
+    return rows.select(
+        "doc_id",
+        F.when(F.col("text").isNotNull(), F.array_join("left", "\n")).alias("text"),
+        count.otherwise(F.size("lines")).cast("long").alias("n_lines"),
+        count.otherwise(F.size("lines") - F.size("left")).cast("long").alias("n_removed"),
     )
 
 
