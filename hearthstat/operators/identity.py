@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearthstat.functions.clean import normalize_name
+
 #: Fixed order of trust of mapping methods, best first.
 PRECEDENCE = ("verified", "official", "configured", "evidence", "overlap")
 
@@ -48,3 +50,59 @@ def closure(edges: DataFrame, most: int = 7) -> DataFrame:
         level = level.join(edges, level["ancestor"] == edges["child"]).select("node", F.col("parent").alias("ancestor"), F.lit(i).alias("depth"))
         out = out.unionByName(level)
     return out.groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
+
+
+def official_crosswalk(keys: DataFrame, hoods: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Places named by an official key (city_id, stat_area_id, names): exact names or aliases of the same city.
+
+    An area of one place only is wholly that place's (.98); a shared one has no known overlap (.85).
+    """
+    named = keys.select("city_id", "stat_area_id", F.explode(F.array_distinct(F.transform(F.split("names", "[,;/]"), normalize_name))).alias("key")).filter("key <> ''")
+    known = hoods.select("city_id", "neighborhood_id", normalize_name(F.col("name")).alias("key"))
+    known = known.union(hoods.join(aliases, "neighborhood_id").select("city_id", "neighborhood_id", normalize_name(F.col("alias")))).distinct()
+    matched = named.join(known, ["city_id", "key"]).select("stat_area_id", "neighborhood_id").distinct()
+    places = F.count("*").over(Window.partitionBy("stat_area_id"))
+    return matched.withColumn("places", places).select(
+        "stat_area_id", "neighborhood_id", F.when(F.col("places") == 1, 1.0).alias("overlap_ratio"), F.lit("official").alias("mapping_method"), F.when(F.col("places") == 1, 0.98).otherwise(0.85).alias("confidence"))
+
+
+def curated_crosswalk(evidence: DataFrame) -> DataFrame:
+    """Reviewed pairs that are safe for identity; only those safe for analytics overlap wholly."""
+    return evidence.filter("safe_for_identity").select("stat_area_id", "neighborhood_id", F.when(F.col("safe_for_analytics"), 1.0).alias("overlap_ratio"), F.lit("configured").alias("mapping_method"), "confidence")
+
+
+def crosswalk_validation(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Per place: areas that both, only the first and only the second crosswalk map, and what that says."""
+    side = lambda df, c: df.select("stat_area_id", "neighborhood_id").distinct().withColumn(c, F.lit(True))
+    has = lambda c: F.coalesce(F.col(c), F.lit(False))
+    both = side(a, "a").join(side(b, "b"), ["stat_area_id", "neighborhood_id"], "full").groupBy("neighborhood_id").agg(
+        F.count_if(has("a") & has("b")).alias("matched"), F.count_if(has("a") & ~has("b")).alias("only_first"), F.count_if(~has("a") & has("b")).alias("only_second"))
+    first, second = F.col("only_first"), F.col("only_second")
+    return both.withColumn("result", F.when((first == 0) & (second == 0), "exact_match").when((F.col("matched") == 0) & ((first == 0) | (second == 0)), "one_sided").otherwise("conflict"))
+
+
+def resolution_queue(attempts: DataFrame) -> DataFrame:
+    """State of each entity over its attempts (entity_id, at, place_id): a resolution sticks to the first place found."""
+    found = F.col("place_id").isNotNull()
+    return attempts.groupBy("entity_id").agg(
+        F.count("*").alias("attempts"), F.min_by("place_id", F.when(found, F.struct("at", "seq"))).alias("place_id"), F.min(F.when(found, F.col("at"))).alias("resolved_at"), F.max("at").alias("last_attempt"),
+    ).withColumn("state", F.when(F.col("resolved_at").isNotNull(), "resolved").otherwise("pending"))
+
+
+def address_membership(assets: DataFrame, documented: DataFrame) -> DataFrame:
+    """Membership of an asset in a project by exactly its documented address (project_id, address, membership); else unverified."""
+    rank = F.when(F.col("membership") == "verified", 0).otherwise(1)
+    known = documented.groupBy(normalize_name(F.col("address")).alias("key")).agg(F.min(F.struct(rank.alias("r"), "project_id", "membership")).alias("m"))
+    return assets.withColumn("key", normalize_name(F.col("address"))).join(known, "key", "left").drop("key").withColumn("project_id", F.col("m.project_id")).withColumn("membership", F.coalesce("m.membership", F.lit("unverified"))).drop("m")
+
+
+def claims_status(projects: DataFrame, claims: DataFrame) -> DataFrame:
+    """Evidence of projects: any claim not verified makes it provisional, none at all insufficient; claims coexist."""
+    c = claims.groupBy("project_id").agg(F.count("*").alias("claims"), F.count_if(F.col("evidence_status") == "verified").alias("verified"))
+    n, ok = F.coalesce("claims", F.lit(0)), F.coalesce("verified", F.lit(0))
+    return projects.select("project_id").join(c, "project_id", "left").select("project_id", n.alias("claims"), ok.alias("verified"), F.when(n == 0, "insufficient").when(ok < n, "provisional").otherwise("supported").alias("state"))
+
+
+def mapping_rates(df: DataFrame, source: str, place: str) -> DataFrame:
+    """Rows, rows with a place and their share by source."""
+    return df.groupBy(source).agg(F.count("*").alias("rows"), F.count(place).alias("resolved")).withColumn("rate_pct", F.round(100 * F.col("resolved") / F.col("rows"), 4))

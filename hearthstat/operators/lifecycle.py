@@ -57,3 +57,14 @@ def tumbling_counts(snaps: DataFrame, width: str = "1 day") -> DataFrame:
 def listing_sessions(snaps: DataFrame, gap: str = "1 day") -> DataFrame:
     """Bursts of observations of a listing separated by a gap."""
     return snaps.groupBy("listing_id", F.session_window("observed_at", gap).alias("w")).agg(F.count("*").alias("n"), F.max("observed_at").alias("last_seen")).select("listing_id", F.col("w.start").alias("first_seen"), "last_seen", "n")
+
+
+def missing_cycles(sightings: DataFrame, cycles: DataFrame, enabled: DataFrame, least: int = 3) -> DataFrame:
+    """Completed cycles that each listing missed, the fewest over its enabled scopes; inactive from ``least`` missed in all of them.
+
+    sightings: scope, listing_id, cycle; cycles: scope, cycle of each completed cycle, in order of ``cycle``.
+    """
+    after = F.row_number().over(Window.partitionBy("scope").orderBy(F.col("cycle").desc())) - 1
+    missed = cycles.distinct().withColumn("missed", after)
+    seen = sightings.join(enabled, "scope", "left_semi").groupBy("scope", "listing_id").agg(F.max("cycle").alias("cycle"))
+    return seen.join(missed, ["scope", "cycle"]).groupBy("listing_id").agg(F.min("missed").alias("missing_cycles")).withColumn("inactive", F.col("missing_cycles") >= least)

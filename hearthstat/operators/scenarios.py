@@ -51,3 +51,20 @@ def irr(equity: pd.Series, yearly: pd.Series, last: pd.Series, years: pd.Series)
         left = worth(low) * worth(mid) <= 0
         low, high = np.where(left, low, mid), np.where(left, mid, high)
     return pd.Series(np.where(ok, (low + high) / 2, np.nan)).astype("Float64").where(pd.Series(ok))
+
+
+def max_purchase_price(s: DataFrame) -> DataFrame:
+    """The price at which a scenario just earns ``target_pct`` a year.
+
+    At a fixed rate the present value is income times an annuity less price times a constant, so the price has a closed
+    form; NULL where income buys nothing, or where the constant is not positive and any price would do.
+    """
+    c = F.col
+    rate, hold = c("target_pct") / 100, c("hold_years")
+    fall = F.pow(1 + rate, -hold)
+    years = F.when(rate == 0, hold).otherwise((1 - fall) / rate)
+    share, months = c("loan_pct") / 100, c("years") * 12
+    income = 12 * c("rent") * (1 - c("vacancy_pct") / 100) * (1 - c("cost_pct") / 100)
+    exit_ = F.pow(1 + c("growth_pct") / 100, hold) - balance(share, c("rate_pct"), months, hold * 12)
+    each = 1 + c("acquisition_pct") / 100 - share + 12 * annuity(share, c("rate_pct"), months) * years - exit_ * fall
+    return s.withColumn("max_price", F.when((each > 0) & (income > 0), income * years / each))

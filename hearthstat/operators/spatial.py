@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,3 +35,42 @@ def nearest(points: DataFrame, anchors: DataFrame, km: float) -> DataFrame:
     d = points.withColumn("cx", at(F.col("lon"))).withColumn("cy", at(F.col("lat"))).join(a, ["cx", "cy"]).withColumn("km", haversine_km(F.col("lon"), F.col("lat"), F.col("a_lon"), F.col("a_lat")))
     best = d.filter(F.col("km") <= km).withColumn("rank", F.row_number().over(Window.partitionBy("point_id").orderBy(F.round("km", 6), "anchor_id"))).filter("rank = 1")
     return best.select("point_id", "anchor_id", F.round("km", 6).alias("km"))
+
+
+def cells(polygons: DataFrame, size: float) -> DataFrame:
+    """Grid cells (cx, cy) whose centre lies in ``ring``; polygons become sets of cells."""
+    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
+    spread = lambda v: F.explode(F.sequence(F.floor(F.array_min(v) / size), F.floor(F.array_max(v) / size)))
+    grid = polygons.withColumn("cx", spread(xs)).withColumn("cy", spread(ys))
+    return grid.filter(in_ring((F.col("cx") + 0.5) * size, (F.col("cy") + 0.5) * size, F.col("ring"))).drop("ring")
+
+
+def overlap_ratio(a: DataFrame, b: DataFrame, a_id: str, b_id: str, least: float = 0.2) -> DataFrame:
+    """Share of each ``a``'s cells that a ``b`` covers, to the grid's precision; .95 from four fifths on, else .7."""
+    size = a.groupBy(a_id).agg(F.count("*").alias("cells"))
+    shared = a.join(b, ["cx", "cy"]).groupBy(a_id, b_id).agg(F.count("*").alias("shared"))
+    ratio = shared.join(size, a_id).select(a_id, b_id, F.round(F.col("shared") / F.col("cells"), 6).alias("overlap_ratio"))
+    return ratio.filter(F.col("overlap_ratio") >= least).withColumn("confidence", F.when(F.col("overlap_ratio") >= 0.8, 0.95).otherwise(0.7))
+
+
+def dissolve(members: DataFrame, key: str, safe: float = 0.8) -> DataFrame:
+    """The union of members' cells (key, member, safe, cx, cy), of keys with enough members safe for polygons."""
+    of = members.select(key, "member", "safe").distinct().groupBy(key).agg(F.avg(F.col("safe").cast("double")).alias("share")).filter(F.col("share") >= safe)
+    return members.join(of, key, "left_semi").select(key, "cx", "cy").distinct()
+
+
+def tile_features(points: DataFrame, z: int, x: int, y: int) -> DataFrame:
+    """Points in a web-mercator tile."""
+    west, east, north, south = tile_box(z, x, y)
+    return points.filter((F.col("lon") >= west) & (F.col("lon") < east) & (F.col("lat") > south) & (F.col("lat") <= north))
+
+
+def tile_box(z: int, x: int, y: int) -> tuple[float, float, float, float]:
+    lat = lambda row: math.degrees(math.atan(math.sinh(math.pi * (1 - 2 * row / 2**z))))
+    return x / 2**z * 360 - 180, (x + 1) / 2**z * 360 - 180, lat(y), lat(y + 1)
+
+
+def simplify(ring: Column, digits: int = 4) -> Column:
+    """Vertices rounded, consecutive equal ones once."""
+    near = F.transform(ring, lambda p: F.struct(F.round(p["x"], digits).alias("x"), F.round(p["y"], digits).alias("y")))
+    return F.filter(near, lambda p, i: (i == 0) | ~p.eqNullSafe(F.get(near, i - 1)))

@@ -66,6 +66,11 @@ class Tables:
         key = F.col("c_custkey")
         return self.raw("customer").select(key.alias("point_id"), (34 + ((key * 7919) % 1000) / 1000.0).alias("lon"), (31 + ((key * 104729) % 1000) / 1000.0).alias("lat"))
 
+    def projects(self) -> DataFrame:
+        key = F.col("s_suppkey")
+        units = F.when(key % 13 == 0, 0).otherwise(10 + key % 90)
+        return self.raw("supplier").select(key.alias("project_id"), F.col("s_nationkey").alias("neighborhood_id"), units.alias("existing_units"), (units * (2 + key % 4)).alias("planned_units"), (key % 3 == 0).alias("in_execution"), (key % 4).alias("permits_count"))
+
 
 #: The same tables as DuckDB common table expressions.
 SQL = """
@@ -84,6 +89,8 @@ listings AS (SELECT c_custkey AS listing_id, c_nationkey AS neighborhood_id, CAS
 xwalk AS (SELECT s_suppkey AS stat_area_id, s_nationkey AS neighborhood_id, CASE s_suppkey % 3 WHEN 0 THEN CAST(1 AS DOUBLE) WHEN 1 THEN CAST(0.85 AS DOUBLE) END AS overlap_ratio,
   CAST(0.70 AS DOUBLE) + (s_suppkey % 4) * CAST(0.09 AS DOUBLE) AS confidence, 1000 + s_suppkey * 13 AS population, CASE WHEN s_suppkey % 5 <> 0 THEN CAST(40 + s_suppkey % 40 AS DOUBLE) END AS employment_pct,
   CAST(60000 + (s_suppkey * 97) % 50000 AS DOUBLE) AS wage, 1000 + s_suppkey * 13 + (s_suppkey * 29) % 200 - 50 AS population_2024 FROM supplier),
+projects AS (SELECT *, existing_units * (2 + project_id % 4) AS planned_units FROM (SELECT s_suppkey AS project_id, s_nationkey AS neighborhood_id, CASE WHEN s_suppkey % 13 = 0 THEN 0 ELSE 10 + s_suppkey % 90 END AS existing_units,
+  s_suppkey % 3 = 0 AS in_execution, s_suppkey % 4 AS permits_count FROM supplier)),
 points AS (SELECT c_custkey AS point_id, 34 + ((c_custkey * 7919) % 1000) / CAST(1000 AS DOUBLE) AS lon, 31 + ((c_custkey * 104729) % 1000) / CAST(1000 AS DOUBLE) AS lat FROM customer),
 latest AS (SELECT listing_id, arg_max(asking_price, sequence) AS asking_price, max(observed_at) AS last_seen, min(observed_at) AS first_seen, count(*) AS n_snapshots FROM snaps GROUP BY 1),
 latest_rent AS (SELECT listing_id, arg_max(asking_rent, sequence) AS asking_rent FROM rents GROUP BY 1)
