@@ -66,8 +66,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     )
     new = C.map_batches(misses, _encode(tokenizer_path), "digest binary, n_tokens long")
     new.select(F.lit(version).alias("tokenizer_version"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
+    counts = C.keep(stored(docs, cache_path, version), "counts")  # a plain table: adaptive execution splits a digest of many copies only against one
     return (
         texts.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
-        .join(stored(docs, cache_path, version), "digest")
+        .join(counts, "digest")
         .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
     )
