@@ -56,7 +56,8 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     spans = with_chunks(held(base.select("rk", "text"), lines=lines).drop("text"), divisor)
     hashed = F.transform("spans", lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"), F.xxhash64(part(s)).alias("hash")))
     found = C.keep(spans.select("rk", F.inline(hashed)), "chunks")
-    again = found.groupBy("hash").count().filter("count > 1").select("hash")
+    # A plain table, so that adaptive execution can split a hash that very many documents hold.
+    again = C.keep(found.groupBy("hash").count().filter("count > 1").select("hash"), "again")
     nominated = C.keep(found.join(again, "hash", "left_semi").groupBy("rk").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "nominated")
     dealt = base.repartition(F.col("rk"))
     texts = held(dealt.join(nominated, "rk"), lines=lines)
