@@ -83,7 +83,7 @@ def place_trend(comps: DataFrame, as_of: dt.date) -> DataFrame:
 def city_market(comps: DataFrame, hoods: DataFrame, as_of: dt.date) -> DataFrame:
     recent = comps.filter((F.col("deal_date") > since(as_of, 12)) & (F.col("deal_date") <= F.lit(as_of)))
     return hoods.join(recent, "neighborhood_id", "left").groupBy("city_id").agg(
-        F.count("transaction_id").alias("transactions"), F.round(median_of(F.col("amount")), 2).alias("median_price"), F.round(median_of(F.col("pp_sqm")), 4).alias("median_pp_sqm"))
+        F.count("transaction_id").alias("transactions"), F.round(median_of(F.col("amount")), 4).alias("median_price"), F.round(median_of(F.col("pp_sqm")), 4).alias("median_pp_sqm"))
 
 
 def latest(snaps: DataFrame, value: str) -> DataFrame:

@@ -49,7 +49,7 @@ def place_trend(t):
     return market.place_trend(comps(t), TX_AS_OF)
 
 
-@query("""SELECT city_id, count(transaction_id) AS transactions, round(quantile_cont(amount, 0.5), 2) AS median_price, round(quantile_cont(pp_sqm, 0.5), 4) AS median_pp_sqm
+@query("""SELECT city_id, count(transaction_id) AS transactions, round(quantile_cont(amount, 0.5), 4) AS median_price, round(quantile_cont(pp_sqm, 0.5), 4) AS median_pp_sqm
   FROM hoods LEFT JOIN (SELECT * FROM comps WHERE deal_date > DATE '2000-08-02' AND deal_date <= DATE '2001-08-02') USING (neighborhood_id) GROUP BY 1""")
 def city_market_12m(t):
     return market.city_market(comps(t), t.neighborhoods(), TX_AS_OF)
@@ -288,10 +288,10 @@ def evidence_checks(t):
     })
 
 
-@query("SELECT neighborhood_id, count(*) AS n, round(quantile_cont(amount, 0.5), 2) AS median_amount FROM tx WHERE rooms >= 3 AND nature IN ('1-URGENT', '2-HIGH') GROUP BY 1")
+@query("SELECT neighborhood_id, count(*) AS n, round(quantile_cont(amount, 0.5), 4) AS median_amount FROM tx WHERE rooms >= 3 AND nature IN ('1-URGENT', '2-HIGH') GROUP BY 1")
 def structured_query(t):
     spec = {"filters": [{"field": "rooms", "op": "gte", "value": 3}, {"field": "nature", "op": "in", "value": ["1-URGENT", "2-HIGH"]}], "group_by": ["neighborhood_id"], "measures": [{"agg": "count", "as": "n"}, {"agg": "median", "field": "amount", "as": "median_amount"}]}
-    return quality.structured_query(t.transactions(), spec).withColumn("median_amount", F.round("median_amount", 2))
+    return quality.structured_query(t.transactions(), spec).withColumn("median_amount", F.round("median_amount", 4))
 
 
 @query(r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '([?&])(utm_[a-z]+|fbclid|gclid)=[^&]*', '\1', 'g'), '[?&]+$', ''), '/$', '') AS url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages""")

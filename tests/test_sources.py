@@ -75,3 +75,24 @@ def test_changes_stream(spark, tmp_path):
     q.awaitTermination(120)
     key = lambda df: sorted((r["sequence"], r["change"], r["new_price"]) for r in df.collect())
     assert key(spark.table("changes")) == key(lifecycle.listing_changes(batch))
+
+
+def test_composite(spark):
+    """Components present share the weight; below 60 per cent of it there is no score."""
+    from hearthstat.operators import scoring
+
+    names = list(scoring.WEIGHTS)
+    rows = [tuple([50.0] * 7), (80.0, None, 40.0, 60.0, None, None, None), (80.0, None, 40.0, None, None, None, None)]
+    got = scoring.composite(spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names))).collect()
+    assert [r["coverage"] for r in got] == [100.0, 60.0, 45.0]
+    assert got[0]["score"] == 50.0 and abs(got[1]["score"] - (80 * 25 + 40 * 20 + 60 * 15) / 60) < 1e-9 and got[2]["score"] is None
+
+
+def test_dedupe_stream(spark, tmp_path):
+    t = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([("a", t), ("a", t + dt.timedelta(hours=1)), ("b", t)], "h string, ts timestamp")
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    q = changes.dedupe_stream(stream, ["h"], "ts").writeStream.format("memory").queryName("deduped").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(r["h"] for r in spark.table("deduped").collect()) == ["a", "b"]
