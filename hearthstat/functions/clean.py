@@ -40,6 +40,16 @@ def normalize_name(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"[\s\p{P}\p{S}]", ""))
 
 
+def normalize_address(c: Column) -> Column:
+    """Lower case, punctuation as single spaces."""
+    return F.trim(F.regexp_replace(F.lower(c), r"[\s\p{P}\p{S}]+", " "))
+
+
+def street_key(c: Column) -> Column:
+    """The street of an address: no house numbers, no words of units."""
+    return F.trim(F.regexp_replace(F.regexp_replace(normalize_address(c), r"\b(\d+\p{L}?|no|apt|apartment|floor|unit)\b", " "), " +", " "))
+
+
 def normalize_url(c: Column) -> Column:
     """Lower-case scheme and host, no fragment, no tracking parameters, no trailing slash."""
     bare = F.regexp_replace(c, "#.*$", "")
