@@ -58,7 +58,7 @@ def similar_active(offers: DataFrame, most: int = 20) -> DataFrame:
     """The most alike offers of the same place: area within a quarter, rooms within one, a price, and not the subject."""
     other = offers.select(F.col("listing_id").alias("other_id"), "neighborhood_id", "area_sqm", "rooms", "floor", "street", "asking_price").filter("asking_price IS NOT NULL")
     pairs = band_join(as_subjects(offers), other).filter((F.col("other_id") != F.col("listing_id")) & (F.coalesce(F.abs(F.col("rooms") - F.col("s_rooms")), F.lit(0)) <= 1))
-    scored = pairs.withColumn("similarity", F.round(likeness(OFFER_WEIGHTS), 6))
+    scored = pairs.withColumn("similarity", F.round(likeness(OFFER_WEIGHTS), 12))
     order = Window.partitionBy("listing_id").orderBy(F.col("similarity").desc(), "other_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("listing_id", "other_id", "rank", "similarity", "asking_price", "area_sqm")
 
@@ -88,9 +88,9 @@ def active_market_summary(offers: DataFrame) -> DataFrame:
 
 def similar_sales(subjects: DataFrame, sales: DataFrame, least: float = 0.6, most: int = 24) -> DataFrame:
     """Past sales alike each subject, the best first, distinct sales only."""
-    pairs = band_join(as_subjects(subjects), sales).withColumn("similarity", F.round(likeness(SALE_WEIGHTS), 6)).filter(F.col("similarity") >= least)
+    pairs = band_join(as_subjects(subjects), sales).withColumn("similarity", F.round(likeness(SALE_WEIGHTS), 12)).filter(F.col("similarity") >= least)
     order = Window.partitionBy("listing_id").orderBy(F.col("similarity").desc(), F.col("deal_date").desc(), "transaction_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("listing_id", "transaction_id", "rank", "similarity", F.round(F.pow("similarity", F.lit(2)), 6).alias("weight"), "deal_date", "pp_sqm")
+    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("listing_id", "transaction_id", "rank", "similarity", F.round(F.col("similarity") * F.col("similarity"), 12).alias("weight"), "deal_date", "pp_sqm")
 
 
 def historical_trend(comps: DataFrame) -> DataFrame:

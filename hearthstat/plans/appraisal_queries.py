@@ -39,7 +39,7 @@ def address_relation(t):
     return appraisal.address_relation(pairs).groupBy("relation", "relation_score").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {{B}}, {_OFFERS}, p AS (SELECT s.listing_id, o.listing_id AS other_id, round({_LIKE.format('0.25::DOUBLE', '0.40::DOUBLE', '0.25::DOUBLE', '0.10::DOUBLE')}, 6) AS similarity, o.asking_price, o.area_sqm
+@query(f"""WITH {{B}}, {_OFFERS}, p AS (SELECT s.listing_id, o.listing_id AS other_id, round({_LIKE.format('0.25::DOUBLE', '0.40::DOUBLE', '0.25::DOUBLE', '0.10::DOUBLE')}, 12) AS similarity, o.asking_price, o.area_sqm
   FROM offers s JOIN offers o ON s.neighborhood_id = o.neighborhood_id AND s.listing_id <> o.listing_id WHERE o.area_sqm BETWEEN s.area_sqm * 0.75 AND s.area_sqm * 1.25 AND abs(o.rooms - s.rooms) <= 1 AND o.asking_price IS NOT NULL)
   SELECT * FROM (SELECT listing_id, other_id, row_number() OVER (PARTITION BY listing_id ORDER BY similarity DESC, other_id) AS rank, similarity, asking_price, area_sqm FROM p) WHERE rank <= 20""")
 def similar_active(t):
@@ -63,9 +63,9 @@ def active_market_summary(t):
 _SALES = "o AS (SELECT *, transaction_id % 9 AS street FROM comps)"
 
 
-@query(f"""WITH {{B}}, {_OFFERS.replace('offers AS', 's0 AS')}, {_SALES}, p AS (SELECT s.listing_id, transaction_id, deal_date, pp_sqm, round({_LIKE.format('0.35::DOUBLE', '0.35::DOUBLE', '0.20::DOUBLE', '0.10::DOUBLE')}, 6) AS similarity
+@query(f"""WITH {{B}}, {_OFFERS.replace('offers AS', 's0 AS')}, {_SALES}, p AS (SELECT s.listing_id, transaction_id, deal_date, pp_sqm, round({_LIKE.format('0.35::DOUBLE', '0.35::DOUBLE', '0.20::DOUBLE', '0.10::DOUBLE')}, 12) AS similarity
   FROM s0 s JOIN o ON s.neighborhood_id = o.neighborhood_id WHERE o.area_sqm BETWEEN s.area_sqm * 0.75 AND s.area_sqm * 1.25)
-  SELECT listing_id, transaction_id, rank, similarity, round(similarity * similarity, 6) AS weight, deal_date, round(pp_sqm, 6) AS pp_sqm FROM (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY similarity DESC, deal_date DESC, transaction_id) AS rank FROM p WHERE similarity >= 0.6::DOUBLE) WHERE rank <= 24""")
+  SELECT listing_id, transaction_id, rank, similarity, round(similarity * similarity, 12) AS weight, deal_date, round(pp_sqm, 6) AS pp_sqm FROM (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY similarity DESC, deal_date DESC, transaction_id) AS rank FROM p WHERE similarity >= 0.6::DOUBLE) WHERE rank <= 24""")
 def historical_similar_sales(t):
     return appraisal.similar_sales(_offers(t), comps(t).withColumn("street", F.col("transaction_id") % 9)).withColumn("pp_sqm", F.round("pp_sqm", 6))
 
