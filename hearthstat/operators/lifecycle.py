@@ -54,6 +54,13 @@ def tumbling_counts(snaps: DataFrame, width: str = "1 day") -> DataFrame:
     return snaps.groupBy(F.window("observed_at", width).alias("w")).agg(F.count("*").alias("n"), F.max("asking_price").alias("max_price")).select(F.col("w.start").alias("start"), "n", "max_price")
 
 
+def sliding_stats(snaps: DataFrame, listings: DataFrame, width: str = "7 days", step: str = "1 day") -> DataFrame:
+    """Snapshots and mean asking price of each place in overlapping windows."""
+    at = snaps.join(listings.select("listing_id", "neighborhood_id"), "listing_id")
+    w = at.groupBy("neighborhood_id", F.window("observed_at", width, step).alias("w")).agg(F.count("*").alias("n"), F.round(F.avg("asking_price"), 4).alias("mean_price"))
+    return w.select("neighborhood_id", F.col("w.start").alias("start"), "n", "mean_price")
+
+
 def listing_sessions(snaps: DataFrame, gap: str = "1 day") -> DataFrame:
     """Bursts of observations of a listing separated by a gap."""
     return snaps.groupBy("listing_id", F.session_window("observed_at", gap).alias("w")).agg(F.count("*").alias("n"), F.max("observed_at").alias("last_seen")).select("listing_id", F.col("w.start").alias("first_seen"), "last_seen", "n")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hearthstat.operators import appraisal, comparables
 from hearthstat.plans.bindings import LISTING_AS_OF, TX_AS_OF
-from hearthstat.plans.catalog import comps, query
+from hearthstat.plans.catalog import comps, query, sql_of
 
 _OFFERS = """offers AS (SELECT l.listing_id, neighborhood_id, area_sqm, rooms, floor, l.listing_id % 9 AS street, asking_price, date_diff('day', CAST(first_seen AS DATE), DATE '2024-01-31') AS days
   FROM listings l LEFT JOIN latest USING (listing_id) WHERE status = 'active')"""
@@ -120,10 +120,7 @@ def asset_context(t):
 
 def _asset_sql() -> str:
     """The valuation's and the market's own SQL beside the combined evidence."""
-    from hearthstat.plans.catalog import QUERIES
-
-    inner = lambda name: QUERIES[name][1].replace("WITH {B}", "WITH one AS (SELECT 1)")
-    return f"""WITH {{B}}, {_COMBINED}, value AS ({inner('valuation_range')}), market AS ({inner('active_market_summary')})
+    return f"""WITH {{B}}, {_COMBINED}, value AS ({sql_of('valuation_range')}), market AS ({sql_of('active_market_summary')})
   SELECT l.listing_id, l.neighborhood_id, base, v.sample_count AS comp_count, inventory, percentile, coalesce(k.status, 'insufficient') AS status, confidence, metrics, sources
   FROM listings l LEFT JOIN value v ON v.listing_id = l.listing_id LEFT JOIN market m ON m.listing_id = l.listing_id LEFT JOIN known k ON k.neighborhood_id = l.neighborhood_id WHERE l.status = 'active'"""
 

@@ -23,3 +23,8 @@ def query(sql: str | None = None):
 
 def comps(t: Tables) -> DataFrame:
     return market.comparable_surface(t.transactions(), BOUNDS)
+
+
+def sql_of(name: str) -> str:
+    """A registered query's SQL as the body of a common table expression behind the canonical ones."""
+    return QUERIES[name][1].replace("WITH {B}", "WITH one AS (SELECT 1)")
