@@ -92,3 +92,56 @@ def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colu
 def median_of(value: Column, when: Column | None = None, q: float = 0.5) -> Column:
     """Exact interpolated percentile over the non-NULL values that meet a condition."""
     return F.percentile(value if when is None else F.when(when, value), F.lit(q))
+
+
+def digits_number(c: Column) -> Column:
+    """The number that a text's digits and points spell; NULL for none."""
+    return F.nullif(F.regexp_replace(c.cast("string"), r"[^0-9.]", ""), F.lit("")).try_cast("double")
+
+
+def year_of(c: Column) -> Column:
+    """The year of D/M/YYYY, YYYY or YYYY-MM-DD text; NULL for any other form."""
+    return F.when(c.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.right(c, F.lit(4))).when(c.rlike(r"^\d{4}($|-\d{2}-\d{2})"), F.left(c, F.lit(4))).cast("int")
+
+
+def url_kind(c: Column) -> Column:
+    """Whether a link leads to one item, to a search, or elsewhere."""
+    return F.when(c.rlike(r"/item/[A-Za-z0-9]+"), "item").when(c.rlike(r"[?&](q|page|city|rooms)=|/search"), "search").otherwise("unknown")
+
+
+def source_key(source_id: Column, url: Column, *attributes: Column) -> Column:
+    """A stable key: the source's own id, else a hash of the link, else of the attributes."""
+    known = F.when(normalize_url(url) != "", F.sha2(normalize_url(url), 256))
+    return F.coalesce(to_text(source_id), known, F.sha2(F.concat_ws("|", *[F.coalesce(a.cast("string"), F.lit("")) for a in attributes]), 256))
+
+
+def unit_confidence(c: Column) -> Column:
+    """Confidence between 0 and 1; what is above 1 was a per cent."""
+    return clamp(F.when(c > 1, c / 100).otherwise(c), 0.0, 1.0)
+
+
+def seller_motivation(days: Column, reductions: Column) -> Column:
+    return F.when(days.isNull(), "unknown").when((reductions >= 2) | ((reductions >= 1) & (days >= 60)), "high").when((reductions >= 1) | (days >= 90), "medium").otherwise("low")
+
+
+def relative_signal(*discounts: Column) -> Column:
+    """The first discount known: a premium or discount from ten per cent on, else neutral."""
+    d = F.coalesce(*discounts)
+    return F.when(d.isNull(), "insufficient").when(d >= 10, "discount").when(d <= -10, "premium").otherwise("neutral")
+
+
+def strings(c: Column) -> Column:
+    """Distinct texts in order, without NULL and empty ones."""
+    return F.array_sort(F.array_distinct(F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))))
+
+
+def set_flags(c: Column) -> Column:
+    """Names that a map marks as true."""
+    return F.array_sort(F.map_keys(F.map_filter(c, lambda _, v: v)))
+
+
+def location_problems(lon: Column, lat: Column, source: Column, accuracy: Column, sources: list[str], accuracies: list[str]) -> Column:
+    """Every rule a location breaks: half a pair, out of range, unknown source or accuracy."""
+    return F.array_compact(F.array(
+        F.when(lon.isNull() != lat.isNull(), "incomplete_pair"), F.when(~(lon.between(-180, 180) & lat.between(-90, 90)), "out_of_range"),
+        F.when(~F.coalesce(source.isin(*sources), F.lit(False)), "unknown_source"), F.when(~F.coalesce(accuracy.isin(*accuracies), F.lit(False)), "unknown_accuracy")))
