@@ -57,3 +57,34 @@ def structured_query(df: DataFrame, spec: dict) -> DataFrame:
     if spec.get("order_by"):
         df = df.orderBy(*[F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_last() for c, down in spec["order_by"]])
     return df.limit(spec["limit"]) if spec.get("limit") else df
+
+
+def provider_health(runs: DataFrame, as_of: dt.datetime, least_rate: float = 0.5) -> DataFrame:
+    """State and reason of each provider from its last run, its week's failures and its age, by the first rule that holds."""
+    at, status = F.col("started_at"), F.col("status")
+    week = at > F.lit(as_of) - F.expr("interval 7 days")
+    s = runs.groupBy("source_id").agg(
+        F.max_by("status", F.struct("started_at", "run_id")).alias("last_status"), F.max("started_at").alias("last_run"), F.count_if(week).alias("runs_7d"), F.count_if(week & (status == "failed")).alias("failed_7d"))
+    old, share = F.col("last_run") < F.lit(as_of) - F.expr("interval 48 hours"), F.col("failed_7d") / F.col("runs_7d")
+    ladder = [(old, "stale", "no_run_in_48_hours"), (F.col("last_status") == "failed", "down", "last_run_failed"), ((F.col("runs_7d") > 0) & (share >= least_rate), "unstable", "many_failures"), (F.col("failed_7d") > 0, "degraded", "some_failures")]
+    first = lambda i: F.coalesce(*[F.when(rule[0], rule[i]) for rule in ladder])
+    return s.withColumn("health", F.coalesce(first(1), F.lit("healthy"))).withColumn("reason", first(2))
+
+
+def append_evaluation(log: DataFrame | None, results: DataFrame, run_id: int, at: dt.datetime) -> DataFrame:
+    """The log of evaluation cases with one run more; a run that is there already is replaced by itself."""
+    new = results.withColumn("run_id", F.lit(run_id).cast("long")).withColumn("run_at", F.lit(at))
+    return new if log is None else log.filter(F.col("run_id") != run_id).unionByName(new)
+
+
+def latest_evaluation(log: DataFrame) -> DataFrame:
+    """Every case's newest outcome, and since which run it has not passed."""
+    order = F.struct("run_at", "run_id")
+    s = log.groupBy("case").agg(F.max_by("passed", order).alias("passed"), F.max_by("violations", order).alias("violations"), F.max("run_id").alias("run_id"), F.count("*").alias("runs"), F.max(F.when(F.col("passed"), F.col("run_id"))).alias("last_passed"))
+    return s.select("case", "passed", "violations", "run_id", "runs", "last_passed")
+
+
+def audit(counts: DataFrame, linked: DataFrame, least: float = 50.0) -> DataFrame:
+    """Tables with their rows and linked share, and a warning where they are empty or hardly linked; frames hold entity and n, rate_pct."""
+    a = counts.join(linked, "entity", "left")
+    return a.withColumn("warning", F.when(F.col("n") == 0, "empty").when(F.col("rate_pct") < least, "few_rows_linked"))

@@ -68,3 +68,11 @@ def max_purchase_price(s: DataFrame) -> DataFrame:
     exit_ = F.pow(1 + c("growth_pct") / 100, hold) - balance(share, c("rate_pct"), months, hold * 12)
     each = 1 + c("acquisition_pct") / 100 - share + 12 * annuity(share, c("rate_pct"), months) * years - exit_ * fall
     return s.withColumn("max_price", F.when((each > 0) & (income > 0), income * years / each))
+
+
+def problems(s: DataFrame, key: list[str]) -> DataFrame:
+    """(key, rule) of every assumption out of its range; the ranges are fixed."""
+    c = F.col
+    rules = {"price": c("price") > 0, "rent": c("rent") >= 0, "loan_pct": c("loan_pct").between(0, 100), "rate_pct": c("rate_pct").between(0, 30), "years": c("years").between(1, 40), "hold_years": c("hold_years").between(1, 40), "vacancy_pct": c("vacancy_pct").between(0, 100)}
+    broken = F.array_compact(F.array(*[F.when(~F.coalesce(holds, F.lit(False)), name) for name, holds in rules.items()]))
+    return s.select(*key, F.explode(broken).alias("rule"))
