@@ -7,7 +7,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthstat.functions.clean import haversine_km, median_of, normalize_address, pct_change, street_key
+from hearthstat.functions.clean import discount_pct, haversine_km, median_of, normalize_address, pct_change, street_key
+from hearthstat.operators import ranks
 from hearthstat.operators.comparables import band_join
 
 #: Fixed scores of how a comparable lies to its subject, nearest first.
@@ -76,14 +77,29 @@ def rejected_offers(offers: DataFrame, most: int = 20) -> DataFrame:
 
 def active_market_summary(offers: DataFrame) -> DataFrame:
     """Each offer in its place's market: inventory, medians, days on the market, and its percentile and distance by unit price."""
-    place = Window.partitionBy("neighborhood_id")
-    unit = F.col("asking_price") / F.col("area_sqm")
-    m = lambda c: F.percentile(c, F.lit(0.5)).over(place)
-    o = offers.filter("asking_price > 0 AND area_sqm > 0").withColumn("unit", unit)
-    o = o.select("listing_id", "neighborhood_id", "unit", F.count("*").over(place).alias("inventory"), m("asking_price").alias("median_ask"), m("unit").alias("median_unit"), m("days").alias("median_days"), F.count("*").over(place.orderBy("unit")).alias("up_to"))
-    return o.select(
-        "listing_id", "neighborhood_id", "inventory", F.round("median_ask", 2).alias("median_ask"), F.round("median_unit", 4).alias("median_ask_sqm"), F.round("median_days", 2).alias("median_days"),
-        F.round(100 * F.col("up_to") / F.col("inventory"), 6).alias("percentile"), F.round(pct_change(F.col("unit"), F.col("median_unit")), 6).alias("delta_pct"))
+    place, one = ["neighborhood_id"], F.lit(1)
+    o = offers.filter("asking_price > 0 AND area_sqm > 0").withColumn("unit", F.col("asking_price") / F.col("area_sqm"))
+    units = ranks.up_to(o, place, "unit", one)
+    median = lambda table, c, name: ranks.quantile(table, place, c).select("neighborhood_id", F.col("quantile").alias(name))
+    m = median(units, "unit", "median_unit").join(median(ranks.up_to(o, place, "asking_price", one), "asking_price", "median_ask"), place, "left").join(median(ranks.up_to(o, place, "days", one), "days", "median_days"), place, "left")
+    return o.select("listing_id", "neighborhood_id", "unit").join(units, ["neighborhood_id", "unit"]).join(m, place).select(
+        "listing_id", "neighborhood_id", F.col("total").alias("inventory"), F.round("median_ask", 2).alias("median_ask"), F.round("median_unit", 4).alias("median_ask_sqm"), F.round("median_days", 2).alias("median_days"),
+        F.round(100 * F.col("up_to") / F.col("total"), 6).alias("percentile"), F.round(pct_change(F.col("unit"), F.col("median_unit")), 6).alias("delta_pct"))
+
+
+def listing_benchmarks(asked: DataFrame, comps: DataFrame) -> DataFrame:
+    """Asking unit prices (listing_id, neighborhood_id, pp_sqm) against the place's executed ones: discount to the median and percentile.
+
+    Both lie in one ranked table in which only sales weigh, so there is no join of offers with sales.
+    """
+    place = ["neighborhood_id"]
+    sold = comps.filter(F.col("neighborhood_id").isNotNull()).select("neighborhood_id", "pp_sqm")
+    both = sold.withColumn("w", F.lit(1)).unionByName(asked.select("neighborhood_id", "pp_sqm").withColumn("w", F.lit(0)))
+    base = ranks.quantile(ranks.up_to(sold, place, "pp_sqm", F.lit(1)), place, "pp_sqm")
+    r = asked.join(ranks.up_to(both, place, "pp_sqm", F.col("w")).drop("total"), [*place, "pp_sqm"]).join(base, place)
+    return r.select(
+        "listing_id", "neighborhood_id", F.round("pp_sqm", 4).alias("ask_sqm"), F.round("quantile", 4).alias("base_sqm"), F.round(discount_pct(F.col("pp_sqm"), F.col("quantile")), 6).alias("discount_pct"), F.col("total").alias("sample_count"),
+        F.round(100 * F.col("up_to") / F.col("total"), 6).alias("percentile"))
 
 
 def similar_sales(subjects: DataFrame, sales: DataFrame, least: float = 0.6, most: int = 24) -> DataFrame:

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hearthstat.functions import clean
-from hearthstat.operators import comparables, identity, lifecycle, market, quality, scenarios, scoring, spatial
+from hearthstat.operators import appraisal, comparables, identity, lifecycle, market, quality, scenarios, scoring, spatial
 from hearthstat.plans.bindings import LISTING_AS_OF, TX_AS_OF
 from hearthstat.plans.catalog import BOUNDS, comps, query
 from hearthstat.sources import landing
@@ -303,12 +302,5 @@ def page_metadata(t):
   round(100 * (SELECT count(*) FROM comps c WHERE c.neighborhood_id = l.neighborhood_id AND c.pp_sqm <= asking_price / l.area_sqm) / n, 6) AS percentile FROM listings l JOIN latest USING (listing_id)
   JOIN (SELECT neighborhood_id, quantile_cont(pp_sqm, 0.5) AS base, count(*) AS n FROM comps GROUP BY 1) b ON b.neighborhood_id = l.neighborhood_id WHERE status = 'active'""")
 def listing_benchmarks(t):
-    """Asking unit prices against the place's executed ones; ranks come from one sort of both, not from a join of all pairs."""
     asked = t.listings().filter("status = 'active'").join(market.latest(t.snapshots(), "asking_price"), "listing_id").select("listing_id", "neighborhood_id", (F.col("asking_price") / F.col("area_sqm")).alias("pp_sqm"))
-    both = comps(t).filter(F.col("neighborhood_id").isNotNull()).select(F.lit(None).cast("long").alias("listing_id"), "neighborhood_id", "pp_sqm").unionByName(asked)
-    sold = F.col("listing_id").isNull().cast("long")
-    place = Window.partitionBy("neighborhood_id")
-    ranked = both.select("*", F.sum(sold).over(place.orderBy("pp_sqm")).alias("below"), F.sum(sold).over(place).alias("n"), F.percentile(F.when(F.col("listing_id").isNull(), F.col("pp_sqm")), F.lit(0.5)).over(place).alias("base"))
-    return ranked.filter(F.col("listing_id").isNotNull() & (F.col("n") > 0)).select(
-        "listing_id", "neighborhood_id", F.round("pp_sqm", 4).alias("ask_sqm"), F.round("base", 4).alias("base_sqm"), F.round(clean.discount_pct(F.col("pp_sqm"), F.col("base")), 6).alias("discount_pct"), F.col("n").alias("sample_count"),
-        F.round(100 * F.col("below") / F.col("n"), 6).alias("percentile"))
+    return appraisal.listing_benchmarks(asked, comps(t))
