@@ -29,11 +29,11 @@ def sale_once(t):
 
 @query("""SELECT relation, relation_score, count(*) AS n FROM (SELECT *, CASE relation WHEN 'same_building' THEN 1.0::DOUBLE WHEN 'same_street' THEN 0.92::DOUBLE WHEN 'nearby' THEN 0.82::DOUBLE WHEN 'neighborhood' THEN 0.68::DOUBLE ELSE 0.45::DOUBLE END AS relation_score FROM
   (SELECT CASE WHEN c_custkey % 60 = s_suppkey % 60 AND c_custkey % 7 = s_suppkey % 7 THEN 'same_building' WHEN c_custkey % 60 = s_suppkey % 60 THEN 'same_street' WHEN (c_custkey + s_suppkey) % 2 = 0 THEN 'nearby' WHEN c_nationkey = s_nationkey THEN 'neighborhood' ELSE 'fallback' END AS relation
-  FROM customer JOIN supplier ON s_suppkey % 10 = c_custkey % 10)) GROUP BY 1, 2""")
+  FROM customer JOIN (SELECT *, s_suppkey + o AS k FROM supplier, (VALUES (0), (1), (2), (60), (420)) v(o)) ON k = c_custkey)) GROUP BY 1, 2""")
 def address_relation(t):
     c, s = F.col("c_custkey"), F.col("s_suppkey")
     at = lambda street, house, mark: F.concat(F.lit(f"Street{mark} "), F.chr(65 + F.floor(street / 10)), F.chr(65 + street % 10), F.lit(mark), (house + 1).cast("string"))
-    pairs = t.raw("customer").join(t.raw("supplier"), s % 10 == c % 10).select(
+    pairs = t.raw("customer").join(t.raw("supplier").withColumn("k", F.explode(F.array(*[s + o for o in (0, 1, 2, 60, 420)]))), F.col("k") == c).select(
         at(c % 60, c % 7, " ").alias("s_address"), F.upper(at(s % 60, s % 7, ", ")).alias("address"), F.col("c_nationkey").alias("s_place"), F.col("s_nationkey").alias("place"),
         F.lit(34.8).alias("s_lon"), F.lit(32.0).alias("s_lat"), F.lit(34.8).alias("lon"), F.when((c + s) % 2 == 0, 32.005).otherwise(32.05).alias("lat"))
     return appraisal.address_relation(pairs).groupBy("relation", "relation_score").agg(F.count("*").alias("n"))
