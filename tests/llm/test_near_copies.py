@@ -50,3 +50,11 @@ def test_groups(docs, rows, none):
     assert len(got) == len(rows) and shingle_dedup.keep_first(none).count() == 0
     of = {r["doc_id"]: r["root"] for r in got}
     assert of[0] == of[1] == of[2] and of[5] == of[6] == of[7] and of[9] != of[3]
+
+
+def test_stage_keeps_one_row_of_each_group(spark):
+    base = " ".join(f"t{i}" for i in range(100))
+    rows = [(None, "no id at all"), (None, "another without an id"), (1, base), (2, base.replace("t50 ", "x ")), (2, "a clean text that shares its id"), (3, "twice"), (3, "twice"), (None, base)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, corpus_pipeline.one_of_each(spark, docs, "").collect()), key=str)
+    assert got == sorted([rows[0], rows[1], rows[2], rows[4], rows[5]], key=str)
