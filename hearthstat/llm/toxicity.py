@@ -11,7 +11,9 @@ probability by a logistic calibration on the same training texts.  Labels serve
 id are no inputs.
 
 Scale: training uses a bounded sample of labelled rows, ``TOXIC`` and ``ORDINARY`` texts at most, chosen by a hash
-of the id; their statistics are aggregated in Spark.  Scoring is one scan without a shuffle; the model is about 20 kB.
+of the id; their statistics are aggregated in Spark, and the calibration's intercept is moved to the share of toxic rows
+among all training rows.  The ordinary dictionary is trained on 5 pieces of 4 windows of each of these texts at most,
+20,000 pieces in all, chosen by a hash.  Scoring is one scan without a shuffle; the model is about 20 kB.
 
 Defined results: null and empty texts have no window and get the score of a text without savings; conflicting labels
 of one id count as toxic; repeated rows repeat; if either class has no training row every score is the share of toxic
@@ -106,8 +108,11 @@ def _features(ordinary: bytes, toxic: bytes):
     return run
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Means, scales and weights (the last is the intercept), by Newton steps."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, share: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Means, scales and weights (the last is the intercept), by Newton steps.
+
+    ``share``: the share of ones where rows were sampled by class; the intercept moves from the sample's odds to its odds.
+    """
     mean, scale = x.mean(0), x.std(0) + 1e-9
     a = np.c_[(x - mean) / scale, np.ones(len(x))]
     w, penalty = np.zeros(a.shape[1]), ridge * np.r_[np.ones(a.shape[1] - 1), 1e-6]
@@ -117,6 +122,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[np.n
         w = w - step
         if np.abs(step).max() < 1e-8:
             break
+    if share is not None:
+        w[-1] += math.log(share / (1 - share)) - math.log(y.mean() / (1 - y.mean()))
     return mean, scale, w
 
 
@@ -131,6 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC, ordinary_
 
     known = labels.filter(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.filter(C.remainder("doc_id", 5) != 0).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    size = dict(C.of_documents(docs, "doc_id").join(known, "doc_id").groupBy("toxic").count().collect())  # rows, before the sample
     pick = lambda v, n: known.filter(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = C.keep(pick(1, toxic_rows).union(pick(0, ordinary_rows)), "chosen")  # at most toxic_rows + ordinary_rows ids
     texts = C.of_documents(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
@@ -138,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC, ordinary_
     n = dict(texts.groupBy("toxic").count().collect())
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
-        return n1 / max(1, n1 + n0)
+        return size.get(1, 0) / max(1, size.get(1, 0) + size.get(0, 0))
     terms = C.map_batches(texts, _terms, "term binary, toxic long, ordinary long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
     a, b = F.col("toxic") + 0.5, F.col("ordinary") + 0.5
     ratio = F.log(a / (n1 + 1) / (b / (n0 + 1)))
@@ -153,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC, ordinary_
         ordinary = b"".join(samples)[-ORDINARY_BYTES:] or b" "
     rows = C.map_batches(texts, _features(ordinary, toxic), "toxic int, x array<double>").collect()
     x, y = np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows], float)
-    return ordinary, toxic, fit_logistic(x, y)
+    return ordinary, toxic, fit_logistic(x, y, share=size[1] / (size[1] + size[0]))
 
 
 def _score(model):

@@ -38,6 +38,22 @@ def test_toxicity_held_out(spark):
     assert sum(a > b for a in bad for b in good) / (len(bad) * len(good)) > 0.6
 
 
+def test_toxicity_calibration_keeps_the_share_of_classes_beyond_the_caps(spark, monkeypatch):
+    g = np.random.default_rng(4)
+    y = (g.random(40_000) < 0.11).astype(float)
+    x = (y + g.standard_normal(len(y)))[:, None]
+    some = np.r_[np.flatnonzero(y == 1), np.flatnonzero(y == 0)[: int(2 * y.sum())]]  # a third is toxic, as under both caps
+    p = toxicity.apply_logistic(x, toxicity.fit_logistic(x[some], y[some], share=y.mean()))
+    assert abs(p.mean() - y.mean()) < 0.01
+    seen, real = [], toxicity.fit_logistic
+    monkeypatch.setattr(toxicity, "fit_logistic", lambda *a, **k: seen.append((a[1].mean(), k["share"])) or real(*a, **k))
+    d, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    toxicity.train(d, labels, ordinary_rows=40)
+    toxicity.train(d, labels)
+    (capped, share), (every, same) = seen
+    assert math.isclose(share, same) and math.isclose(every, same) and capped > 1.5 * share
+
+
 def test_quality_rows(docs, labels, none):
     got = quality.score_quality(docs, labels).collect()
     assert len(got) == docs.count() and all(0 <= r["score"] <= 1 for r in got)
