@@ -46,9 +46,10 @@ def resolve_streets(df: DataFrame, rules: DataFrame, key: str) -> DataFrame:
 def project_places(projects: DataFrame, names: DataFrame) -> DataFrame:
     """Places whose name is a run of words in a project's name, the longest first; runs up to the longest name are keys."""
     known = names.select("city_id", "neighborhood_id", F.lower("name").alias("run")).filter("run <> ''")
+    longest = known.agg(F.coalesce(F.max(F.size(F.split("run", " "))), F.lit(1)).alias("longest"))
     words = F.split(F.trim(F.lower("project_name")), " +")
-    w = projects.select("project_id", "city_id", words.alias("w")).withColumn("i", F.explode(F.sequence(F.lit(1), F.size("w"))))
-    runs = w.withColumn("len", F.explode(F.sequence(F.lit(1), F.least(F.lit(6), F.size("w") - F.col("i") + 1)))).select("project_id", "city_id", F.array_join(F.slice("w", F.col("i"), F.col("len")), " ").alias("run"))
+    w = projects.crossJoin(F.broadcast(longest)).select("project_id", "city_id", words.alias("w"), "longest").withColumn("i", F.explode(F.sequence(F.lit(1), F.size("w"))))
+    runs = w.withColumn("len", F.explode(F.sequence(F.lit(1), F.least(F.col("longest"), F.size("w") - F.col("i") + 1)))).select("project_id", "city_id", F.array_join(F.slice("w", F.col("i"), F.col("len")), " ").alias("run"))
     order = Window.partitionBy("project_id").orderBy(F.length("run").desc(), "neighborhood_id")
     hit = runs.join(known, ["city_id", "run"]).withColumn("n", F.row_number().over(order)).filter("n = 1")
     return projects.select("project_id").join(hit.select("project_id", "neighborhood_id"), "project_id", "left")
