@@ -1,9 +1,12 @@
 """A gated recurrent language model in numpy: truncated backpropagation and a class-factored softmax.
 
-Tokens are classes and, in the first ``head`` classes, words of a class: p(token | past) = p(class | state) *
-p(word | class, state).  In the other classes the second factor is left to the caller (counts).  A batch holds
-sequences by falling length; those still running at a step are its first rows, so nothing is padded.  State is
-carried over windows of ``STEPS`` tokens; gradients stop at a window's start.
+Tokens are classes and, in the first ``head`` classes, words of a class: p(token | past) = p(class | state) * p(word |
+class, state), with id = class * ``LEAVES`` + word.  The other classes follow with one id each; what a token of theirs is
+within its class is left to the caller (counts).
+
+Sequences (whole documents) are laid end to end in streams that run side by side; the state is zero where a sequence
+begins and is carried over windows of ``STEPS`` tokens, over a sequence's whole length.  Gradients stop at a window's
+start.  Arrays hold features by rows and tokens by columns, so that numpy's inner loops are long.
 """
 
 from __future__ import annotations
@@ -11,183 +14,233 @@ from __future__ import annotations
 import numpy as np
 
 STEPS = 24
-SIZES = {"embedding": 16, "hidden": 16, "per_class": 32}
+LEAVES = 64
+CHUNK = 512  # columns of logits that stay in a core's cache
+MOST = 3.0  # of a weight of the gates and softmaxes (biases apart), so that no exponential overflows
+SIZES = {"embedding": 24, "hidden": 24}
 
 
 def shapes(head: int, tail: int) -> dict[str, tuple[int, ...]]:
-    e, h, p = SIZES["embedding"], SIZES["hidden"], SIZES["per_class"]
-    return {"E": (head * p + tail, e), "W": (e, 3 * h), "b": (3 * h,), "U": (h, 3 * h), "C": (h, head + tail), "c": (head + tail,), "V": (head, h, p), "v": (head, p)}
+    """E: embeddings; Z: update and reset gates from (input, state, 1); W, U: candidate from (input, 1) and from the state; C, V: softmaxes from (state, 1)."""
+    e, h = SIZES["embedding"], SIZES["hidden"]
+    return {"E": (head * LEAVES + tail, e), "Z": (2 * h, e + h + 1), "W": (h, e + 1), "U": (h, h), "C": (head + tail, h + 1), "V": (head, LEAVES, h + 1)}
 
 
-def start(head: int, tail: int, class_counts: np.ndarray, word_counts: np.ndarray) -> dict[str, np.ndarray]:
-    """Small fixed pseudo-random weights; the biases of both softmaxes give the unigram model."""
+def start(head: int, tail: int, class_counts: np.ndarray, word_counts: np.ndarray) -> np.ndarray:
+    """Small fixed pseudo-random weights; the biases give the model of the counts (a word's below 0: no word)."""
     g = np.random.default_rng(7)
-    m = {k: (g.standard_normal(s) * 0.15).astype(np.float32) for k, s in shapes(head, tail).items()}
-    m["b"][:] = 0
+    x = (g.standard_normal(sum(int(np.prod(s)) for s in shapes(head, tail).values())) * 0.15).astype(np.float32)
+    m = views(x, head, tail)
     m["C"] *= 0.1
     m["V"] *= 0.1
-    m["c"][:] = np.log((class_counts + 1) / (class_counts + 1).sum())
-    m["v"][:] = np.log((np.maximum(word_counts, 0) + 1) / (np.maximum(word_counts, 0) + 1).sum(axis=1, keepdims=True))
-    m["v"][word_counts < 0] = -30  # places of a class without a word
-    return m
-
+    m["C"][:, -1] = np.log((class_counts + 1) / (class_counts + 1).sum())
+    n = np.maximum(word_counts, 0) + 1.0
+    m["V"][:, :, -1] = np.where(word_counts < 0, -30, np.log(n / n.sum(1, keepdims=True)))
+    return x
 
-def flat(m: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([m[k].ravel() for k in sorted(m)])
 
-
-def unflat(x: np.ndarray, head: int, tail: int) -> dict[str, np.ndarray]:
+def views(x: np.ndarray, head: int, tail: int) -> dict[str, np.ndarray]:
+    """Weights by name, as views into one array."""
     out, at = {}, 0
-    for k, s in sorted(shapes(head, tail).items()):
+    for k, s in shapes(head, tail).items():
         n = int(np.prod(s))
-        out[k] = x[at : at + n].reshape(s).astype(np.float32)
+        out[k] = x[at : at + n].reshape(s)
         at += n
     return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """In place; weights stay within ``MOST``, so the exponential does not overflow."""
     np.negative(x, out=x)
     np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
 
 
-def _steps(m, tokens, begins, running, t0, h, keep):
-    """States before each token of a window, the state after it and, if wanted, what the gradients need."""
-    hidden = SIZES["hidden"]
-    rows = [tokens[begins[:n] + t0 + i] for i, n in enumerate(running)]
-    x = m["E"][np.concatenate(rows)]
-    gates = x @ m["W"] + m["b"]
-    states, kept, at = [], [], 0
-    h = h.copy()
-    for n in running:
-        g, before = gates[at : at + n], h[:n]
-        u = before @ m["U"]
-        zr = _sigmoid(g[:, : 2 * hidden] + u[:, : 2 * hidden])
-        z, r = zr[:, :hidden], zr[:, hidden:]
-        un = u[:, 2 * hidden :]
-        c = 2 * _sigmoid(2 * (g[:, 2 * hidden :] + r * un)) - 1
-        states.append(before.copy())
+def _steps(m, rows, news, h, keep):
+    """Inputs and states before each token of a window, the state after it and, if wanted, what the gradients need.
+
+    A column of the first array is (embedding, state before, 1).
+    """
+    e, hidden, total = SIZES["embedding"], SIZES["hidden"], sum(map(len, rows))
+    both = np.empty((e + hidden + 1, total), h.dtype)
+    both[-1] = 1
+    ones = np.ones((1, len(rows[0])), h.dtype)
+    kept, at, h = [], 0, h.copy()
+    for ids, new in zip(rows, news, strict=True):
+        n = len(ids)
+        own = both[:, at : at + n]
+        x, before = own[:e], own[e:-1]
+        x[:] = m["E"][ids].T
+        before[:] = h[:, :n]
+        if new.any():
+            before[:, new] = 0
+        zr = _sigmoid(m["Z"] @ own)
+        z, r = zr[:hidden], zr[hidden:]
+        u = m["U"] @ before
+        c = r * u
+        c += m["W"] @ np.concatenate([x, ones[:, :n]])
+        np.tanh(c, out=c)
+        after = before - c
+        after *= z
+        after += c
+        h[:, :n] = after
         if keep:
-            kept.append((z, r, un, c))
-        h[:n] = c + z * (before - c)
+            kept.append((z, r, u, c))
         at += n
-    return rows, x, states, h, kept
+    return both, h, kept
 
 
 def _softmax_loss(logits: np.ndarray, target: np.ndarray, grad: bool):
-    """Logits start as logarithms of probabilities and stay near them; the cap only guards the exponential."""
-    np.minimum(logits, 60, out=logits)
-    own = logits[np.arange(len(target)), target]
+    """Logits start as logarithms of probabilities and stay near them, see ``MOST``."""
+    columns = np.arange(len(target))
+    own = logits[target, columns]
     np.exp(logits, out=logits)
-    total = logits.sum(axis=1)
-    logp = own - np.log(total)
+    total = logits.sum(axis=0)
     if grad:
-        logits /= total[:, None]
-        logits[np.arange(len(target)), target] -= 1
-    return logp
-
-
-def _outputs(m, states, ids, head, grads=None):
-    """Natural log-probabilities; with ``grads``, also the gradients of both softmaxes and of the states."""
-    per = SIZES["per_class"]
-    classes = np.where(ids < head * per, ids // per, ids - head * per + head)
-    logits = states @ m["C"] + m["c"]
-    logp = _softmax_loss(logits, classes, grads is not None)
-    back = None
-    if grads is not None:
-        grads["C"] += states.T @ logits
-        grads["c"] += logits.sum(0)
-        back = logits @ m["C"].T
-    order = np.argsort(classes, kind="stable")
-    edges = np.searchsorted(classes[order], np.arange(head + 1))
-    for k in range(head):
-        at = order[edges[k] : edges[k + 1]]
-        if not len(at):
+        logits /= total
+        logits[target, columns] -= 1
+    return own - np.log(total)
+
+
+def _outputs(m, states, ids, grads=None):
+    """Natural log-probabilities; with ``grads``, also the gradients of both softmaxes and of the states.
+
+    ``states`` ends with a row of ones.
+    """
+    head = len(m["V"])
+    of = np.where(ids < head * LEAVES, ids // LEAVES, ids - head * (LEAVES - 1))
+    order = np.argsort(of.astype(np.uint8), kind="stable")
+    of, leaf, s = of[order], (ids % LEAVES)[order], states[:, order]
+    logp = np.empty(len(ids), states.dtype)
+    back = np.empty((len(s) - 1, len(ids)), s.dtype) if grads is not None else None
+    for i in range(0, len(ids), CHUNK):
+        part = slice(i, i + CHUNK)
+        logits = m["C"] @ s[:, part]
+        logp[part] = _softmax_loss(logits, of[part], grads is not None)
+        if grads is not None:
+            grads["C"] += logits @ s[:, part].T
+            back[:, part] = m["C"][:, :-1].T @ logits
+    edges = np.searchsorted(of, np.arange(head + 1)).tolist()
+    for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        if a == b:
             continue
-        s = states[at]
-        logits = s @ m["V"][k] + m["v"][k]
-        logp[at] += _softmax_loss(logits, ids[at] - k * per, grads is not None)
+        logits = m["V"][k] @ s[:, a:b]
+        logp[a:b] += _softmax_loss(logits, leaf[a:b], grads is not None)
         if grads is not None:
-            grads["V"][k] += s.T @ logits
-            grads["v"][k] += logits.sum(0)
-            back[at] += logits @ m["V"][k].T
-    return logp, back
+            grads["V"][k] = logits @ s[:, a:b].T
+            back[:, a:b] += m["V"][k, :, :-1].T @ logits
+    out = np.empty_like(logp)
+    out[order] = logp
+    if grads is None:
+        return out, None
+    dealt = np.empty_like(back)
+    dealt[:, order] = back
+    return out, dealt
 
 
-def _batches(sequences: list[np.ndarray], size: int):
-    """Sequences by falling length, ``size`` at a time: their places, joined tokens, begins and lengths."""
-    order = np.argsort([-len(s) for s in sequences], kind="stable")
-    for i in range(0, len(order), size):
-        at = order[i : i + size]
-        lengths = np.array([len(sequences[j]) for j in at])
-        yield at, np.concatenate([sequences[j] for j in at]), np.r_[0, np.cumsum(lengths)[:-1]], lengths
+def _windows(tokens, new, begins, lengths):
+    """Rows of ids and of marks for new sequences, ``STEPS`` at a time; streams come by falling length."""
+    longest = int(lengths.max(initial=0))
+    for t0 in range(0, longest, STEPS):
+        running = [int(np.searchsorted(-lengths, -t, side="left")) for t in range(t0, min(longest, t0 + STEPS))]
+        at = [begins[:n] + t0 + i for i, n in enumerate(running)]
+        yield at, [tokens[a] for a in at], [new[a] for a in at]
 
 
-def _windows(lengths: np.ndarray, steps: int):
-    longest = int(lengths.max(initial=0))
-    for t0 in range(0, longest, steps):
-        yield t0, [int(np.searchsorted(-lengths, -t, side="left")) for t in range(t0, min(longest, t0 + steps))]
-
-
-def score(m: dict, head: int, sequences: list[np.ndarray], batch: int = 4096) -> np.ndarray:
-    """Natural log-probability of each whole sequence, up to the factors left to the caller."""
-    out = np.zeros(len(sequences))
-    for at, tokens, begins, lengths in _batches(sequences, batch):
-        h = np.zeros((len(at), SIZES["hidden"]), np.float32)
-        for t0, running in _windows(lengths, STEPS):
-            rows, _, states, h, _ = _steps(m, tokens, begins, running, t0, h, False)
-            logp, _ = _outputs(m, np.concatenate(states), np.concatenate(rows), head)
-            who = np.concatenate([np.arange(n) for n in running])
-            out[at] += np.bincount(who, weights=logp, minlength=len(at))
+def score(m: dict, sequences: list[np.ndarray], streams: int = 512) -> np.ndarray:
+    """Natural log-probability of each whole sequence."""
+    if not sequences:
+        return np.zeros(0)
+    size = np.array([len(s) for s in sequences])
+    dealt = [[] for _ in range(min(streams, len(sequences)))]
+    loads = np.zeros(len(dealt), np.int64)
+    for i in np.argsort(-size, kind="stable").tolist():  # the longest first, each to the shortest stream
+        k = int(loads.argmin())
+        dealt[k].append(i)
+        loads[k] += size[i]
+    order = [i for k in np.argsort(-loads, kind="stable").tolist() for i in dealt[k]]
+    lengths = np.sort(loads)[::-1]
+    tokens, owner = np.concatenate([sequences[i] for i in order]), np.repeat(order, size[order])
+    new = np.zeros(len(tokens), bool)
+    new[(np.cumsum(size[order]) - size[order])[size[order] > 0]] = True
+    out, h = np.zeros(len(sequences)), np.zeros((SIZES["hidden"], len(dealt)), m["E"].dtype)
+    for at, rows, news in _windows(tokens, new, np.cumsum(lengths) - lengths, lengths):
+        both, h, _ = _steps(m, rows, news, h, False)
+        logp, _ = _outputs(m, both[SIZES["embedding"] :], np.concatenate(rows))
+        out += np.bincount(owner[np.concatenate(at)], weights=logp, minlength=len(out))
     return out
 
 
-def train(m: dict, head: int, sequences: list[np.ndarray], state: dict, rate: float = 0.01, batch: int = 1024) -> dict:
-    """One pass; ``state`` holds Adam's moments and goes on over calls."""
-    hidden = SIZES["hidden"]
-    work = list(_batches(sequences, batch))
-    for b in np.random.default_rng(len(work)).permutation(len(work)):
-        at, tokens, begins, lengths = work[b]
-        h = np.zeros((len(at), hidden), np.float32)
-        for t0, running in _windows(lengths, STEPS):
-            g = {k: np.zeros_like(v) for k, v in m.items()}
-            rows, x, states, after, kept = _steps(m, tokens, begins, running, t0, h, True)
-            ids = np.concatenate(rows)
-            _, back = _outputs(m, np.concatenate(states), ids, head, g)
-            dh = np.zeros_like(h)
-            d_gates = np.empty((len(ids), 3 * hidden), np.float32)
-            d_u = np.empty((len(ids), 3 * hidden), np.float32)
-            end = len(ids)
-            for i in range(len(running) - 1, -1, -1):
-                n = running[i]
-                z, r, un, c = kept[i]
-                before, d = states[i], dh[:n]
-                own = slice(end - n, end)
-                dc = d * (1 - z) * (1 - c * c)
-                dz = d * (before - c) * z * (1 - z)
-                dr = dc * un * r * (1 - r)
-                d_gates[own, :hidden], d_gates[own, hidden : 2 * hidden], d_gates[own, 2 * hidden :] = dz, dr, dc
-                d_u[own, : 2 * hidden], d_u[own, 2 * hidden :] = d_gates[own, : 2 * hidden], dc * r
-                dh[:n] = d * z + d_u[own] @ m["U"].T + back[own]
-                end -= n
-            g["U"] = np.concatenate(states).T @ d_u
-            g["W"], g["b"] = x.T @ d_gates, d_gates.sum(0)
-            dx = d_gates @ m["W"].T
-            order = np.argsort(ids, kind="stable")
-            first = np.flatnonzero(np.r_[True, np.diff(ids[order]) > 0])
-            g["E"][ids[order][first]] = np.add.reduceat(dx[order], first, axis=0)
-            h = after
-            _adam(m, g, state, rate, max(len(ids), 1000))
-    return m
-
-
-def _adam(m, g, state, rate, n) -> None:
+def train(weights: np.ndarray, head: int, tail: int, sequences: list[np.ndarray], state: dict, rate: float = 0.01, streams: int = 512) -> None:
+    """One pass in the given order, in place; ``state`` holds Adam's moments and goes on over calls.
+
+    The sequences are laid end to end and cut into equal streams; one that a cut divides starts anew there.
+    """
+    m = views(weights, head, tail)
+    tokens = np.concatenate(sequences)
+    size = np.array([len(s) for s in sequences])
+    new = np.zeros(len(tokens), bool)
+    new[(np.cumsum(size) - size)[size > 0]] = True
+    count = max(1, min(streams, len(tokens) // STEPS))
+    lengths = np.full(count, len(tokens) // count)
+    lengths[: len(tokens) % count] += 1
+    begins = np.cumsum(lengths) - lengths
+    new[begins] = True
+    e, hidden = SIZES["embedding"], SIZES["hidden"]
+    h = np.zeros((hidden, count), m["E"].dtype)
+    for _, rows, news in _windows(tokens, new, begins, lengths):
+        slopes = np.zeros_like(weights)
+        g = views(slopes, head, tail)
+        both, after, kept = _steps(m, rows, news, h, True)
+        ids = np.concatenate(rows)
+        _, back = _outputs(m, both[e:], ids, g)
+        dh = np.zeros_like(h)
+        dx = np.empty((len(ids), e), h.dtype)
+        end = len(ids)
+        for i in range(len(rows) - 1, -1, -1):
+            n = len(rows[i])
+            z, r, u, c = kept[i]
+            own, d = both[:, end - n : end], dh[:, :n]
+            x, before = own[:e], own[e:-1]
+            dc = d * (1 - z)
+            dc *= 1 - c * c
+            d_zr = np.empty((2 * hidden, n), h.dtype)
+            np.multiply(d, before - c, out=d_zr[:hidden])
+            d_zr[:hidden] *= z * (1 - z)
+            np.multiply(dc, u, out=d_zr[hidden:])
+            d_zr[hidden:] *= r * (1 - r)
+            d_u = dc * r
+            g["Z"] += d_zr @ own.T
+            g["W"][:, :e] += dc @ x.T
+            g["W"][:, e] += dc.sum(1)
+            g["U"] += d_u @ before.T
+            into = m["Z"][:, :-1].T @ d_zr
+            dx[end - n : end] = (into[:e] + m["W"][:, :e].T @ dc).T
+            d = d * z
+            d += into[e:]
+            d += m["U"].T @ d_u
+            d += back[:, end - n : end]
+            if news[i].any():
+                d[:, news[i]] = 0
+            dh[:, :n] = d
+            end -= n
+        order = np.argsort(ids.astype(np.uint16), kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(ids[order]) > 0])
+        g["E"][ids[order][first]] = np.add.reduceat(dx[order], first, axis=0)
+        h = after
+        _adam(weights, slopes, state, rate, max(len(ids), 1000))
+        for k in ("Z", "W", "C", "V"):
+            own = m[k][..., :-1]
+            np.clip(own, -MOST, MOST, out=own)
+
+
+def _adam(weights, slopes, state, rate, n) -> None:
     state["n"] = t = state.get("n", 0) + 1
+    means, squares = state.setdefault("means", np.zeros_like(weights)), state.setdefault("squares", np.zeros_like(weights))
     step = rate * np.sqrt(1 - 0.99**t) / (1 - 0.9**t) / np.sqrt(1 + t / 200)
-    for k, p in m.items():
-        a, b = state.setdefault(k, (np.zeros_like(p), np.zeros_like(p)))
-        d = g[k]
+    for i in range(0, len(weights), 1 << 14):  # blocks that stay in a core's cache
+        p, d, a, b = (x[i : i + (1 << 14)] for x in (weights, slopes, means, squares))
         d /= n
         np.clip(d, -0.1, 0.1, out=d)
         a *= 0.9

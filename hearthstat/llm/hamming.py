@@ -115,14 +115,12 @@ def _verify(radius: int):
 
 def links_within(fps: DataFrame, radius: int, scheme, dense: int = DENSE) -> DataFrame:
     """Links ``a``, ``b`` between distinct fingerprints whose components are those of all pairs within ``radius``."""
-    spark = fps.sparkSession
     fp = F.col("fp")
     keys = fps.select("fp", F.explode(F.array(*scheme(fp))).alias("key"))
     crowded = C.keep(keys.groupBy("key").count().filter(F.col("count") > dense).select("key"), "crowded")
     n = crowded.count()
     side = F.broadcast(crowded) if n <= 200_000 else crowded  # 200,000 longs are 3 MB
     rest = keys.join(side, "key", "left_anti") if n else keys
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     near = rest.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_verify(radius), "a long, b long").distinct()
     if not n:
         return near

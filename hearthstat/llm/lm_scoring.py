@@ -1,172 +1,210 @@
 """Log-probabilities of whole documents under a gated recurrent language model trained on the corpus.
 
-Tokens: words (A-Z lower-cased, runs without ASCII white space) and one end token a document.  Training documents
-are those whose crc32(doc_id as text) modulo ``FOLDS`` is not ``HELD_OUT``.
+Tokens: words (A-Z lower-cased, runs without ASCII white space) and one end token a document; a word is known by its
+64-bit hash (see ``word_hashes``).  Training documents are those whose crc32(doc_id as text) modulo ``FOLDS`` is not
+``HELD_OUT``.
 
 Counts come first and are exact: tasks count their documents' tokens, Spark adds them up by word, whatever the
-vocabulary's size.  The ``HEAD_CLASSES`` * 32 most frequent tokens are words of the model's softmax (see ``gru``).
-Every other token, unknown ones included, belongs to one of ``TAIL_CLASSES`` classes by a hash of its last two bytes; its
-probability within the class is (c + 1) / (N_class + V_class + 1), the rest being for words that training lacks.
-
-The network is trained on every training document, in ``ROUNDS`` rounds over disjoint parts of them: tasks start
-from the same weights, train on their documents (truncated backpropagation), and Spark averages the weights, by
-tokens seen, parameter by parameter.  Then every document is scored in one pass, with state carried over its whole
-length.  Counts of the ``KNOWN`` most frequent tokens travel to the tasks (a bounded table); rarer tokens of a
-document leave the pass as (document, word, times) rows that meet their counts in a shuffle join and are added up.
-
-Scale: the driver sees ``KNOWN`` words, TAIL_CLASSES sums and one set of weights (17,000 numbers), whatever the corpus.
-
-Defined results: a null text is empty and has its end token alone; a null id counts as '' in the remainder; repeated
-rows are scored each and all count in training; without training documents N and c are 0 and the model is uniform
-over its classes; an empty table gives no rows; other columns are ignored.
+vocabulary's size.  The softmax is factored over all tokens: the ``HEAD`` * 64 most frequent ones are words of the first
+``HEAD`` classes; every other token, unknown ones included, belongs by its last two bytes to one of ``TAIL`` * 64 places in
+the other classes.  Class and place are learned by the network; within a place of the tail a word has the probability
+(c + 1) / (N_place + V_place + 1), the rest being for words that training lacks.
+
+Texts are then encoded once: a table keeps each document's places (two bytes a token), its sums over the ``KNOWN`` most
+frequent words and the hashes of its rarer words.  The network is trained on every training document, in ``ROUNDS``
+rounds over disjoint parts of them.  A round deals its documents by a hash of id and text to lanes of about ``LANE``
+tokens; a lane starts from the round's weights and trains on its documents in order of that hash, whichever task holds
+it, and Spark averages the lanes' weights by tokens seen.  So the model does not depend on how the table is partitioned.
+Then every document is scored, with state carried over its whole length.  Rarer words meet their counts in a shuffle
+join and are added up by document.
+
+Scale: the driver sees ``KNOWN`` hashes at most (found by a cutoff of frequency, so no task sorts the vocabulary), sums
+of TAIL * 64 places and one set of weights (104,000 numbers), whatever the corpus; lanes grow in number with it.
+
+Defined results: a null text is empty and has its end token alone; a null id counts as '' in the remainder; ids keep their
+type; repeated rows are scored each and all count in training; without training documents N and c are 0 and the model is
+uniform over its classes; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
-from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import gru
+from . import gru, word_hashes
 
 FOLDS, HELD_OUT = 7, 2
-HEAD_CLASSES, TAIL_CLASSES = 24, 24
-KNOWN = 1 << 17
+HEAD, TAIL = 32, 16  # classes
+WORDS, PLACES = HEAD * gru.LEAVES, TAIL * gru.LEAVES
+KNOWN = 1 << 19
 ROUNDS = 2
-WORKERS = 4096  # tasks that train at once, at most: the averages get a row from each for each weight
-SEGMENT = 1024  # tokens of a training sequence; longer documents go on in another one, so that all run side by side
-END = b"\n"  # no word holds white space
-BUFFER = 24 << 20  # bytes of text that a task batches
+LANE = 1 << 21  # tokens
+MOST_TASKS = 20_000  # that lanes are dealt to; results do not depend on it
+COUNTED = 1 << 22  # tokens whose counts a task adds up at once
+SCORED = 1 << 22  # tokens that a task scores side by side
+BINS = 64  # of counts, for a doubling
 
+#: The place of the last two bytes of a word, and of the end token.
+_PLACE = np.array([zlib.crc32(bytes(([i >> 8] if i >> 8 else []) + [i & 255])) % PLACES for i in range(1 << 16)], np.int16)
+_END_PLACE = int(_PLACE[10])
 
-def tokens_of(text: str) -> list[bytes]:
-    words = text.encode().translate(C.LOWER).split()
-    words.append(END)
-    return words
 
-
-def tail_class(word: bytes) -> int:
-    return zlib.crc32(word[-2:]) % TAIL_CLASSES
+def tokens_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all tokens, their places in the tail, and tokens a text."""
+    h, last, n = word_hashes.words_of(text)
+    ends = np.cumsum(n)
+    return np.insert(h, ends, np.uint64(word_hashes.END)), np.insert(_PLACE[last], ends, _END_PLACE), n + 1
 
 
 def _counts(batches):
-    counts: Counter = Counter()
+    held, size = [], 0
 
     def rows():
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+        code, words = pd.factorize(np.concatenate([h for h, _ in held]))
+        place = np.empty(len(words), np.int16)
+        place[code] = np.concatenate([p for _, p in held])
+        cols = [pa.array(words.view(np.int64)), pa.array(np.bincount(code)), pa.array(place)]
+        return pa.RecordBatch.from_arrays(cols, ["word", "n", "place"])
 
     for b in batches:
-        for text in b.column("text").to_pylist():
-            counts.update(tokens_of(text))
-        if len(counts) > 400_000:
+        h, place, _ = tokens_of(b.column("text"))
+        held.append((h, place))
+        size += len(h)
+        if size >= COUNTED:
             yield rows()
-            counts = Counter()
-    if counts:
+            held, size = [], 0
+    if size:
         yield rows()
 
 
 def count_tokens(texts: DataFrame) -> DataFrame:
-    """word, n, class (of the tail) of every distinct token."""
-    n = C.map_batches(texts.select("text"), _counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    last = F.expr("substring(word, greatest(octet_length(word) - 1, 1), 2)")
-    return C.keep(n.withColumn("class", (F.crc32(last) % TAIL_CLASSES).cast("int")), "counts")
+    """word (hash), n, place (in the tail) of every distinct token."""
+    n = C.map_batches(texts.select("text"), _counts, "word long, n long, place short")
+    return C.keep(n.groupBy("word").agg(F.sum("n").alias("n"), F.min("place").alias("place")), "counts")
 
 
 class Vocabulary:
-    """The most frequent tokens with their counts, and the sums by class of those outside the softmax."""
-
-    def __init__(self, words: list[bytes], counts: np.ndarray, total: int, distinct: int, tail_n: np.ndarray, tail_v: np.ndarray):
-        self.words, self.counts, self.total, self.distinct, self.tail_n, self.tail_v = words, counts, total, distinct, tail_n, tail_v
-        self.head = HEAD_CLASSES * gru.SIZES["per_class"]
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("rank", "ids")}
-
-    def index(self) -> tuple[dict[bytes, int], np.ndarray]:
-        if not hasattr(self, "rank"):
-            self.rank = {w: i for i, w in enumerate(self.words)}
-            tail = np.array([tail_class(w) for w in self.words[self.head :]], np.int64)
-            self.ids = np.r_[np.arange(min(self.head, len(self.words))), self.head + tail].astype(np.int32)
-        return self.rank, self.ids
-
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """The model's ids, ranks (-1 beyond the known ones) and the words beyond them."""
-        rank, ids = self.index()
-        words = tokens_of(text)
-        ranks = np.fromiter(map(rank.get, words, repeat(-1)), np.int64, len(words))
-        rest = np.flatnonzero(ranks < 0)
-        rare = [words[i] for i in rest.tolist()]
-        out = ids[ranks] if len(ids) else np.zeros(len(ranks), np.int32)
-        if rare:
-            out[rest] = self.head + np.fromiter(map(tail_class, rare), np.int32, len(rare))
-        return out, ranks, rare
+    """The most frequent tokens with their counts, and the sums by place of those outside the softmax's words."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, places: np.ndarray, total: int, distinct: int, n: np.ndarray, v: np.ndarray):
+        self.words, self.counts, self.places, self.total, self.distinct, self.n, self.v = words, counts, places, total, distinct, n, v
+
+    def tables(self):
+        """An index of the hashes; by rank: ids, terms of the base score, terms of the second factor."""
+        at, c = np.arange(len(self.words)), self.counts
+        head = at < WORDS
+        ids = np.where(head, at, WORDS + self.places).astype(np.int16)
+        room = self.n + self.v + 1
+        own = np.where(head, 0, np.log10((c + 1) / room[self.places]))
+        return pd.Index(self.words), ids, np.log10((c + 1) / (self.total + self.distinct + 1)), own
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    total, distinct = counts.agg(F.sum("n"), F.count("*")).first()
-    top = counts.orderBy(F.col("n").desc(), "word").limit(KNOWN).toArrow()
-    words, n = [bytes(w) for w in top.column("word").to_pylist()], top.column("n").to_numpy()
-    tail_n, tail_v = np.zeros(TAIL_CLASSES), np.zeros(TAIL_CLASSES)
-    for r in counts.groupBy("class").agg(F.sum("n"), F.count("*")).collect():
-        tail_n[r[0]], tail_v[r[0]] = r[1], r[2]
-    head = HEAD_CLASSES * gru.SIZES["per_class"]
-    for w, k in zip(words[:head], n[:head].tolist(), strict=True):
-        tail_n[tail_class(w)] -= k
-        tail_v[tail_class(w)] -= 1
-    return Vocabulary(words, n, total or 0, distinct, tail_n, tail_v)
-
-
-def _first_weights(v: Vocabulary) -> dict[str, np.ndarray]:
-    n = np.full(v.head, -1.0)
-    n[: min(v.head, len(v.counts))] = v.counts[: v.head]
-    n = n.reshape(HEAD_CLASSES, -1)
-    return gru.start(HEAD_CLASSES, TAIL_CLASSES, np.r_[np.maximum(n, 0).sum(1), v.tail_n + 1], n)
-
-
-def _sequences(batches, v: Vocabulary):
-    """Encoded documents of about ``BUFFER`` bytes of text at a time, with their rows."""
-    held, size = [], 0
-    for b in batches:
-        cols = [b.column(c).to_pylist() for c in b.schema.names]
-        for row in zip(*cols, strict=True):
-            text = row[-1]
-            held.append((row[:-1], *v.encode(text)))
-            size += len(text)
-            if size >= BUFFER:
-                yield held
-                held, size = [], 0
-    if held:
-        yield held
+    """Known are the words of the highest frequencies, whole bins of frequency, up to ``KNOWN``."""
+    bin_of = F.floor(F.log2("n") * BINS).cast("int")
+    bins = counts.groupBy(bin_of.alias("bin")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).orderBy(F.col("bin").desc()).collect()  # a few thousand at most
+    total, distinct, known, least = sum(r["n"] for r in bins), sum(r["v"] for r in bins), 0, 1 << 30
+    for r in bins:
+        if known + r["v"] > KNOWN:
+            break
+        known, least = known + r["v"], r["bin"]
+    top = counts.filter(bin_of >= least).toArrow()
+    words, c, places = (top.column(k).to_numpy() for k in ("word", "n", "place"))
+    order = np.lexsort((words, -c))
+    words, c, places = words[order], c[order], places[order]
+    n, v = np.zeros(PLACES), np.zeros(PLACES)
+    for r in counts.groupBy("place").agg(F.sum("n"), F.count("*")).collect():
+        n[r[0]], v[r[0]] = r[1], r[2]
+    np.subtract.at(n, places[:WORDS], c[:WORDS])
+    np.subtract.at(v, places[:WORDS], 1)
+    return Vocabulary(words.view(np.uint64), c, places, total, distinct, n, v)
+
+
+def _first_weights(v: Vocabulary) -> np.ndarray:
+    n = np.full(WORDS, -1.0)
+    n[: min(WORDS, len(v.counts))] = v.counts[:WORDS]
+    n = np.r_[n, v.n].reshape(HEAD + TAIL, -1)
+    return gru.start(HEAD + TAIL, 0, np.maximum(n, 0).sum(1), n)
+
+
+_ENCODED = ["row", "doc_id", "held_out", "deal", "n_tokens", "n_known", "base", "own", "ids", "rare", "places"]
+
+
+def _encode(v_of):
+    def run(batches):
+        known, ids_of, base_of, own_of = v_of.value.tables()
+        for b in batches:
+            h, place, n = tokens_of(b.column("text"))
+            starts = np.cumsum(n) - n
+            rank = known.get_indexer(h) if len(known) else np.full(len(h), -1)
+            seen = rank >= 0
+            ids = np.where(seen, ids_of[rank] if len(known) else 0, WORDS + place).astype("<i2").tobytes()
+            add = lambda x: np.add.reduceat(np.where(seen, x[rank], 0), starts) if len(known) and len(starts) else np.zeros(len(n))  # noqa: E731, B023
+            n_known = np.add.reduceat(seen, starts, dtype=np.int64) if len(starts) else starts
+            edges = pa.array(np.r_[0, np.cumsum(n - n_known)].astype(np.int32))
+            rare = [pa.ListArray.from_arrays(edges, pa.array(x[~seen])) for x in (h.view(np.int64), place)]
+            own = pa.array([ids[2 * s : 2 * (s + k)] for s, k in zip(starts.tolist(), n.tolist(), strict=True)], pa.binary())
+            cols = [*(b.column(c) for c in _ENCODED[:4]), pa.array(n), pa.array(n_known), pa.array(add(base_of)), pa.array(add(own_of)), own, *rare]
+            yield pa.RecordBatch.from_arrays(cols, _ENCODED)
+
+    return run
 
 
-def _train(v_of, weights: np.ndarray):
+def encode(rows: DataFrame, v_of) -> DataFrame:
+    kind = dict(rows.dtypes)["doc_id"]
+    schema = f"row long, doc_id {kind}, held_out boolean, deal long, n_tokens long, n_known long, base double, own double, ids binary, rare array<long>, places array<short>"
+    return C.keep(C.map_batches(rows.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "held_out", "deal", "text"), _encode(v_of), schema), "encoded")
+
+
+def _train(weights: np.ndarray):
     def run(batches):
-        m, state, seen = gru.unflat(weights, HEAD_CLASSES, TAIL_CLASSES), {}, 0
-        for held in _sequences(batches, v_of.value):
-            ids = [h[1][i : i + SEGMENT] for h in held for i in range(0, len(h[1]), SEGMENT)]
-            gru.train(m, HEAD_CLASSES, ids, state)
-            seen += sum(map(len, ids))
-        if seen:
-            x = gru.flat(m).astype(np.float64)
-            for i in range(0, len(x), 10_000):
-                part = x[i : i + 10_000] * seen
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(part), dtype=np.int32)), pa.array(part), pa.array(np.full(len(part), seen, np.int64))], ["i", "x", "n"])
+        sums, seen = np.zeros(len(weights)), 0
+        lane, held, size, mine, state, own = None, [], 0, None, {}, 0
+
+        def block():
+            nonlocal held, size
+            if size:
+                gru.train(mine, HEAD + TAIL, 0, held, state)
+            held, size = [], 0
+
+        def done():
+            nonlocal sums, seen
+            block()
+            if own:
+                sums += mine.astype(np.float64) * own
+                seen += own
+
+        for b in batches:
+            for k, ids in zip(b.column("lane").to_pylist(), b.column("ids").to_pylist(), strict=True):
+                if k != lane:
+                    done()
+                    lane, mine, state, own = k, weights.copy(), {}, 0
+                x = np.frombuffer(ids, "<i2").astype(np.int32)
+                held.append(x)
+                size, own = size + len(x), own + len(x)
+                if size >= 4 * LANE:
+                    block()
+        done()
+        for i in range(0, len(sums) if seen else 0, 10_000):
+            part = sums[i : i + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(part), dtype=np.int32)), pa.array(part), pa.array(np.full(len(part), seen, np.int64))], ["i", "x", "n"])
 
     return run
 
 
-def train(texts: DataFrame, v: Vocabulary, v_of) -> np.ndarray:
-    """``texts``: doc_id, text of training documents."""
-    weights = gru.flat(_first_weights(v))
+def train(encoded: DataFrame, v: Vocabulary) -> np.ndarray:
+    weights = _first_weights(v)
+    lanes = max(1, -(-v.total // (ROUNDS * LANE)))
     for r in range(ROUNDS):
-        part = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == r).select("text").coalesce(WORKERS)
-        sums = C.map_batches(part, _train(v_of, weights), "i int, x double, n long").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x"))
+        part = encoded.filter(~F.col("held_out") & (F.pmod(F.xxhash64("deal"), F.lit(ROUNDS)) == r)).select(F.pmod("deal", F.lit(lanes)).alias("lane"), "deal", "ids")
+        dealt = part.repartition(min(lanes, MOST_TASKS), "lane").sortWithinPartitions("lane", "deal")
+        sums = C.map_batches(dealt.select("lane", "ids"), _train(weights), "i int, x double, n long").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x"))
         got = sums.toArrow()
         if got.num_rows:
             weights = weights.copy()
@@ -174,33 +212,27 @@ def train(texts: DataFrame, v: Vocabulary, v_of) -> np.ndarray:
     return weights
 
 
-def _score(v_of, weights: np.ndarray):
-    names = ["row", "doc_id", "held_out", "word", "times", "class", "n_tokens", "n_known", "base", "score"]
+_SCORED = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
 
+
+def _score(weights: np.ndarray):
     def run(batches):
-        from pyspark import TaskContext
-
-        v, m = v_of.value, gru.unflat(weights, HEAD_CLASSES, TAIL_CLASSES)
-
-        row = TaskContext.get().partitionId() << 40
-        ln10, (_, ids) = np.log(10), v.index()
-        base_of = np.log10((v.counts + 1) / (v.total + v.distinct + 1)) if len(v.counts) else np.zeros(0)
-        own = np.zeros(len(v.counts))
-        if len(own) > v.head:
-            k = ids[v.head :] - v.head
-            own[v.head :] = np.log10((v.counts[v.head :] + 1) / (v.tail_n[k] + v.tail_v[k] + 1))
-        for held in _sequences(batches, v):
-            logp = gru.score(m, HEAD_CLASSES, [h[1] for h in held]) / ln10
-            for i in range(0, len(held), 500):
-                docs, rare = [], []
-                for (key, seq, ranks, words), lp in zip(held[i : i + 500], logp[i : i + 500].tolist(), strict=True):
-                    row += 1
-                    known = ranks[ranks >= 0]
-                    docs.append((row, *key, None, None, None, len(seq), len(known), float(base_of[known].sum()), lp + float(own[known].sum())))
-                    rare += [(row, None, None, w, k, tail_class(w), None, None, None, None) for w, k in Counter(words).items()]
-                cols = [list(c) for c in zip(*(docs + rare), strict=True)]
-                kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+        m, held, size = gru.views(weights, HEAD + TAIL, 0), [], 0
+
+        def rows():
+            t = pa.Table.from_batches(held).combine_chunks()
+            logp = gru.score(m, [np.frombuffer(x, "<i2").astype(np.int32) for x in t.column("ids").to_pylist()]) / np.log(10)
+            t = t.append_column("score", pa.array(logp + t.column("own").to_numpy()))
+            return t.select(_SCORED).to_batches(5000)
+
+        for b in batches:
+            held.append(b)
+            size += sum(map(len, b.column("ids").to_pylist())) // 2
+            if size >= SCORED:
+                yield from rows()
+                held, size = [], 0
+        if held:
+            yield from rows()
 
     return run
 
@@ -208,27 +240,29 @@ def _score(v_of, weights: np.ndarray):
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
     spark = docs.sparkSession
-    rows = C.of_documents(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), (C.remainder("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "text")
-    training = rows.filter(~F.col("held_out"))
-    counts = count_tokens(training)
+    deal = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text")
+    rows = C.of_documents(docs, "doc_id", "text").select("doc_id", (C.remainder("doc_id", FOLDS) == HELD_OUT).alias("held_out"), deal.alias("deal"), "text")
+    counts = count_tokens(rows.filter(~F.col("held_out")))
     v = vocabulary(counts)
-    v_of = spark.sparkContext.broadcast(v)  # at most KNOWN words
-    weights = train(training, v, v_of)
-    schema = "row long, doc_id long, held_out boolean, word binary, times long, class int, n_tokens long, n_known long, base double, score double"
-    parts = C.keep(C.map_batches(rows, _score(v_of, weights), schema), "scored")
-    sums = F.broadcast(spark.createDataFrame([(i, float(n + w + 1)) for i, (n, w) in enumerate(zip(v.tail_n.tolist(), v.tail_v.tolist(), strict=True))], "class int, room double"))
+    encoded = encode(rows, spark.sparkContext.broadcast(v))  # at most KNOWN words
+    weights = train(encoded, v)
+    kind = dict(encoded.dtypes)["doc_id"]
+    schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double"
+    scored = C.keep(C.map_batches(encoded.drop("deal", "rare", "places"), _score(weights), schema), "scored")
+    room = F.broadcast(spark.createDataFrame([(i, float(x + 1)) for i, x in enumerate((v.n + v.v).tolist())], "place short, room double"))  # PLACES rows
     c = F.coalesce("n", F.lit(0))
     rare = (
-        parts.filter(F.col("word").isNotNull()).select("row", "word", "times", "class").join(counts.select("word", "n"), "word", "left").join(sums, "class")
+        encoded.select("row", F.inline(F.arrays_zip(F.col("rare").alias("word"), F.col("places").alias("place"))))
+        .join(counts.select("word", "n"), "word", "left").join(room, "place")
         .groupBy("row")
         .agg(
-            F.sum(F.when(c > 0, F.col("times"))).alias("more"),
-            F.sum(F.col("times") * F.log10((c + 1) / F.lit(float(v.total + v.distinct + 1)))).alias("base_more"),
-            F.sum(F.col("times") * F.log10((c + 1) / F.col("room"))).alias("score_more"),
+            F.sum((c > 0).cast("long")).alias("more"),
+            F.sum(F.log10((c + 1) / F.lit(float(v.total + v.distinct + 1)))).alias("base_more"),
+            F.sum(F.log10((c + 1) / F.col("room"))).alias("score_more"),
         )
     )
     add = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
-    return parts.filter(F.col("word").isNull()).join(rare, "row", "left").select(
+    return scored.join(rare, "row", "left").select(
         "doc_id", "held_out", "n_tokens", add("n_known", "more").alias("n_known"), F.lit(v.total).cast("long").alias("train_tokens"),
         add("base", "base_more").alias("base_score"), add("score", "score_more").alias("score"),
     )

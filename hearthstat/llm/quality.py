@@ -163,5 +163,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
 def only_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **parameters) -> DataFrame:
     """The rows of ``docs`` that score at least ``threshold``."""
     model = train(docs, labels, **parameters)
-    C.small_batches(docs.sparkSession)
-    return docs.mapInArrow(_filtered(model, threshold), docs.schema)
+    return C.map_batches(docs, _filtered(model, threshold), docs.schema)

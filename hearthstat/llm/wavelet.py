@@ -187,7 +187,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
     """Encode every text, append ``end_id``, write the shards in ascending doc_id order."""
     rows = C.of_documents(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    C.map_batches(ordered, _shards(tokenizer_path, end_id, shard_tokens), SHARDS).write.option("maxRecordsPerFile", 1).parquet(path)
+    with C.bounded_batches(docs.sparkSession):
+        C.map_batches(ordered, _shards(tokenizer_path, end_id, shard_tokens), SHARDS).write.option("maxRecordsPerFile", 1).parquet(path)
 
 
 def _documents(batches):
@@ -207,9 +208,8 @@ def _documents(batches):
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files alone."""
     shards = spark.read.schema(SHARDS).parquet(path)
-    C.small_batches(spark, 2)  # two shards at a time in a worker
-    rows = C.keep(shards.mapInArrow(_documents, "range int, shard int, doc_id long, at long, n_tokens long, ids_crc32 long"), "tokens")
-    C.small_batches(spark)
+    read = shards.mapInArrow(_documents, "range int, shard int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    rows = C.keep(read, "tokens", batch_rows=2)  # two shards at a time in a worker
     sizes = shards.select("range", "shard", "n_tokens")
     # One row a range of ids, so as many as the shuffle has partitions, then the shards of each range.
     ranges = sizes.groupBy("range").agg(F.sum("n_tokens").alias("n")).withColumn("base", F.sum("n").over(Window.orderBy("range")) - F.col("n"))
