@@ -1,8 +1,8 @@
 """A gated recurrent language model in numpy: truncated backpropagation and a class-factored softmax.
 
-Tokens are classes and, in the first ``head`` classes, words of a class: p(token | past) = p(class | state) * p(word |
-class, state), with id = class * ``LEAVES`` + word.  The other classes follow with one id each; what a token of theirs is
-within its class is left to the caller (counts).
+Tokens are words of classes, id = class * ``LEAVES`` + word, and p(token | past) = p(class | state) * p(word | class, state).
+The unit is gated with diagonal recurrent weights: z = sigmoid(a + p h), c = tanh(b + q h), h' = h + z (c - h), where a and
+b are learned for each token; without matrices between states, most of a step's work is the softmax.
 
 Sequences (whole documents) are laid end to end in streams that run side by side; the state is zero where a sequence
 begins and is carried over windows of ``STEPS`` tokens, over a sequence's whole length.  Gradients stop at a window's
@@ -15,34 +15,35 @@ import numpy as np
 
 STEPS = 24
 LEAVES = 64
+HIDDEN = 16
 CHUNK = 512  # columns of logits that stay in a core's cache
-MOST = 3.0  # of a weight of the gates and softmaxes (biases apart), so that no exponential overflows
-SIZES = {"embedding": 24, "hidden": 24}
-
-
-def shapes(head: int, tail: int) -> dict[str, tuple[int, ...]]:
-    """E: embeddings; Z: update and reset gates from (input, state, 1); W, U: candidate from (input, 1) and from the state; C, V: softmaxes from (state, 1)."""
-    e, h = SIZES["embedding"], SIZES["hidden"]
-    return {"E": (head * LEAVES + tail, e), "Z": (2 * h, e + h + 1), "W": (h, e + 1), "U": (h, h), "C": (head + tail, h + 1), "V": (head, LEAVES, h + 1)}
-
-
-def start(head: int, tail: int, class_counts: np.ndarray, word_counts: np.ndarray) -> np.ndarray:
-    """Small fixed pseudo-random weights; the biases give the model of the counts (a word's below 0: no word)."""
-    g = np.random.default_rng(7)
-    x = (g.standard_normal(sum(int(np.prod(s)) for s in shapes(head, tail).values())) * 0.15).astype(np.float32)
-    m = views(x, head, tail)
-    m["C"] *= 0.1
-    m["V"] *= 0.1
-    m["C"][:, -1] = np.log((class_counts + 1) / (class_counts + 1).sum())
-    n = np.maximum(word_counts, 0) + 1.0
-    m["V"][:, :, -1] = np.where(word_counts < 0, -30, np.log(n / n.sum(1, keepdims=True)))
+MOST = 3.0  # of a weight of the softmaxes and of the recurrence (biases apart), so that no exponential overflows
+
+
+def shapes(classes: int) -> dict[str, tuple[int, ...]]:
+    """E: gate (first half) and candidate of each token; R: recurrent weights of both; C, V: softmaxes from (state, 1)."""
+    h = HIDDEN
+    return {"E": (2 * h, classes * LEAVES), "R": (2 * h, 1), "C": (classes, h + 1), "V": (classes * LEAVES, h + 1)}
+
+
+def start(counts: np.ndarray) -> np.ndarray:
+    """Small fixed pseudo-random weights; the biases give the model of the counts (classes x words; below 0: no word)."""
+    g, h, classes = np.random.default_rng(7), HIDDEN, len(counts)
+    x = (g.standard_normal(sum(int(np.prod(s)) for s in shapes(classes).values())) * 0.015).astype(np.float32)
+    m = views(x, classes)
+    m["E"] *= 20
+    m["E"][:h] -= 1
+    m["R"][:] = 0
+    n = np.maximum(counts, 0) + 1.0
+    m["C"][:, -1] = np.log(n.sum(1) / n.sum())
+    m["V"][:, -1] = np.where(counts < 0, -30, np.log(n / n.sum(1, keepdims=True))).ravel()
     return x
 
 
-def views(x: np.ndarray, head: int, tail: int) -> dict[str, np.ndarray]:
+def views(x: np.ndarray, classes: int) -> dict[str, np.ndarray]:
     """Weights by name, as views into one array."""
     out, at = {}, 0
-    for k, s in shapes(head, tail).items():
+    for k, s in shapes(classes).items():
         n = int(np.prod(s))
         out[k] = x[at : at + n].reshape(s)
         at += n
@@ -50,97 +51,94 @@ def views(x: np.ndarray, head: int, tail: int) -> dict[str, np.ndarray]:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place; weights stay within ``MOST``, so the exponential does not overflow."""
     np.negative(x, out=x)
+    np.minimum(x, 80, out=x)
     np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
 
 
-def _steps(m, rows, news, h, keep):
-    """Inputs and states before each token of a window, the state after it and, if wanted, what the gradients need.
-
-    A column of the first array is (embedding, state before, 1).
-    """
-    e, hidden, total = SIZES["embedding"], SIZES["hidden"], sum(map(len, rows))
-    both = np.empty((e + hidden + 1, total), h.dtype)
-    both[-1] = 1
-    ones = np.ones((1, len(rows[0])), h.dtype)
-    kept, at, h = [], 0, h.copy()
-    for ids, new in zip(rows, news, strict=True):
-        n = len(ids)
-        own = both[:, at : at + n]
-        x, before = own[:e], own[e:-1]
-        x[:] = m["E"][ids].T
+def _steps(m, rows, news, h):
+    """States before each token of a window (and a row of ones), gates, candidates and the state after it."""
+    hidden, ids = HIDDEN, np.concatenate(rows)
+    pre = np.take(m["E"], ids, axis=1)
+    states = np.empty((hidden + 1, len(ids)), h.dtype)
+    states[-1] = 1
+    at, h, (p, q) = 0, h.copy(), np.split(m["R"], 2)
+    for new in news:
+        n = len(new)
+        own = slice(at, at + n)
+        before, z, c = states[:-1, own], pre[:hidden, own], pre[hidden:, own]
         before[:] = h[:, :n]
         if new.any():
             before[:, new] = 0
-        zr = _sigmoid(m["Z"] @ own)
-        z, r = zr[:hidden], zr[hidden:]
-        u = m["U"] @ before
-        c = r * u
-        c += m["W"] @ np.concatenate([x, ones[:, :n]])
+        z += p * before
+        z[:] = _sigmoid(z.copy())
+        c += q * before
         np.tanh(c, out=c)
-        after = before - c
+        after = c - before
         after *= z
-        after += c
+        after += before
         h[:, :n] = after
-        if keep:
-            kept.append((z, r, u, c))
         at += n
-    return both, h, kept
-
-
-def _softmax_loss(logits: np.ndarray, target: np.ndarray, grad: bool):
-    """Logits start as logarithms of probabilities and stay near them, see ``MOST``."""
-    columns = np.arange(len(target))
-    own = logits[target, columns]
-    np.exp(logits, out=logits)
-    total = logits.sum(axis=0)
-    if grad:
-        logits /= total
-        logits[target, columns] -= 1
-    return own - np.log(total)
+    return ids, states, pre[:hidden], pre[hidden:], h
 
 
 def _outputs(m, states, ids, grads=None):
     """Natural log-probabilities; with ``grads``, also the gradients of both softmaxes and of the states.
 
-    ``states`` ends with a row of ones.
+    Works on tokens in order of id, so that a class's, and a word's, are neighbours.  Gradients of a softmax are those of
+    its normaliser less the sums of states by target.
     """
-    head = len(m["V"])
-    of = np.where(ids < head * LEAVES, ids // LEAVES, ids - head * (LEAVES - 1))
-    order = np.argsort(of.astype(np.uint8), kind="stable")
-    of, leaf, s = of[order], (ids % LEAVES)[order], states[:, order]
+    order = np.argsort(ids.astype(np.uint16), kind="stable")
+    ids, s = ids[order], np.take(states, order, axis=1)
+    of = ids // LEAVES
     logp = np.empty(len(ids), states.dtype)
-    back = np.empty((len(s) - 1, len(ids)), s.dtype) if grads is not None else None
+    back = np.empty((HIDDEN, len(ids)), s.dtype) if grads is not None else None
+
+    def softmax(w, g, part, target):
+        logits = w @ s[:, part]
+        own = logits[target, np.arange(len(target))]
+        np.exp(logits, out=logits)  # logits start as logarithms of probabilities and stay near them, see ``MOST``
+        total = logits.sum(axis=0)
+        if g is not None:
+            share = 1 / total
+            g += logits @ (s[:, part] * share).T
+            back_part = w[:, :-1].T @ logits
+            back_part *= share
+            return own - np.log(total), back_part
+        return own - np.log(total), None
+
     for i in range(0, len(ids), CHUNK):
         part = slice(i, i + CHUNK)
-        logits = m["C"] @ s[:, part]
-        logp[part] = _softmax_loss(logits, of[part], grads is not None)
+        logp[part], d = softmax(m["C"], None if grads is None else grads["C"], part, of[part])
         if grads is not None:
-            grads["C"] += logits @ s[:, part].T
-            back[:, part] = m["C"][:, :-1].T @ logits
-    edges = np.searchsorted(of, np.arange(head + 1)).tolist()
+            back[:, part] = d
+    edges = np.searchsorted(of, np.arange(len(m["C"]) + 1)).tolist()
     for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-        if a == b:
-            continue
-        logits = m["V"][k] @ s[:, a:b]
-        logp[a:b] += _softmax_loss(logits, leaf[a:b], grads is not None)
-        if grads is not None:
-            grads["V"][k] = logits @ s[:, a:b].T
-            back[:, a:b] += m["V"][k, :, :-1].T @ logits
+        words = slice(k * LEAVES, (k + 1) * LEAVES)
+        for i in range(a, b, CHUNK):
+            part = slice(i, min(b, i + CHUNK))
+            lp, d = softmax(m["V"][words], None if grads is None else grads["V"][words], part, ids[part] - k * LEAVES)
+            logp[part] += lp
+            if grads is not None:
+                back[:, part] += d
     out = np.empty_like(logp)
     out[order] = logp
     if grads is None:
         return out, None
+    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+    sums, word = np.add.reduceat(s, first, axis=1), ids[first]
+    grads["V"][word] -= sums.T
+    np.subtract.at(grads["C"], word // LEAVES, sums.T)
+    back -= np.repeat((m["C"][word // LEAVES, :-1] + m["V"][word, :-1]).T, np.diff(np.r_[first, len(ids)]), axis=1)
     dealt = np.empty_like(back)
     dealt[:, order] = back
-    return out, dealt
+    return out, (dealt, order, first, word)
 
 
 def _windows(tokens, new, begins, lengths):
-    """Rows of ids and of marks for new sequences, ``STEPS`` at a time; streams come by falling length."""
+    """Places, ids and marks of new sequences, ``STEPS`` at a time; streams come by falling length."""
     longest = int(lengths.max(initial=0))
     for t0 in range(0, longest, STEPS):
         running = [int(np.searchsorted(-lengths, -t, side="left")) for t in range(t0, min(longest, t0 + STEPS))]
@@ -150,10 +148,10 @@ def _windows(tokens, new, begins, lengths):
 
 def score(m: dict, sequences: list[np.ndarray], streams: int = 512) -> np.ndarray:
     """Natural log-probability of each whole sequence."""
-    if not sequences:
-        return np.zeros(0)
-    size = np.array([len(s) for s in sequences])
-    dealt = [[] for _ in range(min(streams, len(sequences)))]
+    size = np.array([len(s) for s in sequences], np.int64)
+    if not size.sum():
+        return np.zeros(len(sequences))
+    dealt = [[] for _ in range(max(1, min(streams, int(size.sum() // max(size.max(), STEPS)))))]
     loads = np.zeros(len(dealt), np.int64)
     for i in np.argsort(-size, kind="stable").tolist():  # the longest first, each to the shortest stream
         k = int(loads.argmin())
@@ -164,20 +162,20 @@ def score(m: dict, sequences: list[np.ndarray], streams: int = 512) -> np.ndarra
     tokens, owner = np.concatenate([sequences[i] for i in order]), np.repeat(order, size[order])
     new = np.zeros(len(tokens), bool)
     new[(np.cumsum(size[order]) - size[order])[size[order] > 0]] = True
-    out, h = np.zeros(len(sequences)), np.zeros((SIZES["hidden"], len(dealt)), m["E"].dtype)
+    out, h = np.zeros(len(sequences)), np.zeros((HIDDEN, len(dealt)), m["E"].dtype)
     for at, rows, news in _windows(tokens, new, np.cumsum(lengths) - lengths, lengths):
-        both, h, _ = _steps(m, rows, news, h, False)
-        logp, _ = _outputs(m, both[SIZES["embedding"] :], np.concatenate(rows))
+        ids, states, _, _, h = _steps(m, rows, news, h)
+        logp, _ = _outputs(m, states, ids)
         out += np.bincount(owner[np.concatenate(at)], weights=logp, minlength=len(out))
     return out
 
 
-def train(weights: np.ndarray, head: int, tail: int, sequences: list[np.ndarray], state: dict, rate: float = 0.01, streams: int = 512) -> None:
+def train(weights: np.ndarray, classes: int, sequences: list[np.ndarray], state: dict, rate: float = 0.015, streams: int = 512) -> None:
     """One pass in the given order, in place; ``state`` holds Adam's moments and goes on over calls.
 
     The sequences are laid end to end and cut into equal streams; one that a cut divides starts anew there.
     """
-    m = views(weights, head, tail)
+    m = views(weights, classes)
     tokens = np.concatenate(sequences)
     size = np.array([len(s) for s in sequences])
     new = np.zeros(len(tokens), bool)
@@ -187,51 +185,43 @@ def train(weights: np.ndarray, head: int, tail: int, sequences: list[np.ndarray]
     lengths[: len(tokens) % count] += 1
     begins = np.cumsum(lengths) - lengths
     new[begins] = True
-    e, hidden = SIZES["embedding"], SIZES["hidden"]
+    hidden = HIDDEN
     h = np.zeros((hidden, count), m["E"].dtype)
+    p, q = np.split(m["R"], 2)
     for _, rows, news in _windows(tokens, new, begins, lengths):
         slopes = np.zeros_like(weights)
-        g = views(slopes, head, tail)
-        both, after, kept = _steps(m, rows, news, h, True)
-        ids = np.concatenate(rows)
-        _, back = _outputs(m, both[e:], ids, g)
-        dh = np.zeros_like(h)
-        dx = np.empty((len(ids), e), h.dtype)
-        end = len(ids)
-        for i in range(len(rows) - 1, -1, -1):
-            n = len(rows[i])
-            z, r, u, c = kept[i]
-            own, d = both[:, end - n : end], dh[:, :n]
-            x, before = own[:e], own[e:-1]
-            dc = d * (1 - z)
-            dc *= 1 - c * c
-            d_zr = np.empty((2 * hidden, n), h.dtype)
-            np.multiply(d, before - c, out=d_zr[:hidden])
-            d_zr[:hidden] *= z * (1 - z)
-            np.multiply(dc, u, out=d_zr[hidden:])
-            d_zr[hidden:] *= r * (1 - r)
-            d_u = dc * r
-            g["Z"] += d_zr @ own.T
-            g["W"][:, :e] += dc @ x.T
-            g["W"][:, e] += dc.sum(1)
-            g["U"] += d_u @ before.T
-            into = m["Z"][:, :-1].T @ d_zr
-            dx[end - n : end] = (into[:e] + m["W"][:, :e].T @ dc).T
-            d = d * z
-            d += into[e:]
-            d += m["U"].T @ d_u
-            d += back[:, end - n : end]
-            if news[i].any():
-                d[:, news[i]] = 0
-            dh[:, :n] = d
+        g = views(slopes, classes)
+        ids, states, z, c, after = _steps(m, rows, news, h)
+        _, (back, order, first, word) = _outputs(m, states, ids, g)
+        # With d the gradient of the state after a token, d * by_gate and d * by_new are those of a and b, d * kept that of the state before.
+        by_gate, by_new = c - states[:-1], 1 - c * c
+        kept = 1 - z
+        by_gate *= z
+        by_gate *= kept
+        by_new *= z
+        kept += p * by_gate
+        kept += q * by_new
+        d = np.zeros((hidden, len(ids)), h.dtype)
+        dh, end = np.zeros_like(h), len(ids)
+        for new_here in reversed(news):
+            n = len(new_here)
+            own = slice(end - n, end)
+            d[:, own] = dh[:, :n]
+            x = dh[:, :n] * kept[:, own]
+            x += back[:, own]
+            if new_here.any():
+                x[:, new_here] = 0
+            dh[:, :n] = x
             end -= n
-        order = np.argsort(ids.astype(np.uint16), kind="stable")
-        first = np.flatnonzero(np.r_[True, np.diff(ids[order]) > 0])
-        g["E"][ids[order][first]] = np.add.reduceat(dx[order], first, axis=0)
+        by_gate *= d
+        by_new *= d
+        g["R"][:hidden, 0] = (by_gate * states[:-1]).sum(1)
+        g["R"][hidden:, 0] = (by_new * states[:-1]).sum(1)
+        for half, x in ((slice(hidden), by_gate), (slice(hidden, None), by_new)):
+            g["E"][half, word] = np.add.reduceat(np.take(x, order, axis=1), first, axis=1)
         h = after
         _adam(weights, slopes, state, rate, max(len(ids), 1000))
-        for k in ("Z", "W", "C", "V"):
-            own = m[k][..., :-1]
+        for own in (m["R"], m["C"][:, :-1], m["V"][:, :-1]):
             np.clip(own, -MOST, MOST, out=own)
 
 

@@ -19,7 +19,7 @@ Then every document is scored, with state carried over its whole length.  Rarer
 join and are added up by document.
 
 Scale: the driver sees ``KNOWN`` hashes at most (found by a cutoff of frequency, so no task sorts the vocabulary), sums
-of TAIL * 64 places and one set of weights (104,000 numbers), whatever the corpus; lanes grow in number with it.
+of TAIL * 64 places and one set of weights (151,000 numbers), whatever the corpus; lanes grow in number with it.
 
 Defined results: a null text is empty and has its end token alone; a null id counts as '' in the remainder; ids keep their
 type; repeated rows are scored each and all count in training; without training documents N and c are 0 and the model is
@@ -130,7 +130,7 @@ def _first_weights(v: Vocabulary) -> np.ndarray:
     n = np.full(WORDS, -1.0)
     n[: min(WORDS, len(v.counts))] = v.counts[:WORDS]
     n = np.r_[n, v.n].reshape(HEAD + TAIL, -1)
-    return gru.start(HEAD + TAIL, 0, np.maximum(n, 0).sum(1), n)
+    return gru.start(n)
 
 
 _ENCODED = ["row", "doc_id", "held_out", "deal", "n_tokens", "n_known", "base", "own", "ids", "rare", "places"]
@@ -170,7 +170,7 @@ def _train(weights: np.ndarray):
         def block():
             nonlocal held, size
             if size:
-                gru.train(mine, HEAD + TAIL, 0, held, state)
+                gru.train(mine, HEAD + TAIL, held, state)
             held, size = [], 0
 
         def done():
@@ -217,7 +217,7 @@ _SCORED = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
 
 def _score(weights: np.ndarray):
     def run(batches):
-        m, held, size = gru.views(weights, HEAD + TAIL, 0), [], 0
+        m, held, size = gru.views(weights, HEAD + TAIL), [], 0
 
         def rows():
             t = pa.Table.from_batches(held).combine_chunks()

@@ -75,20 +75,20 @@ def test_quality_accuracy(spark):
 def test_gradients():
     """Backpropagation within a window equals numerical differences."""
     g = np.random.default_rng(1)
-    n = 2 * gru.LEAVES + 2
-    seqs = [g.integers(0, n, k) for k in (7, 5, 3, 9)]
-    weights = gru.start(2, 2, np.ones(4) * 5, np.ones((2, gru.LEAVES))).astype(np.float64)
+    seqs = [g.integers(0, 4 * gru.LEAVES, k) for k in (7, 5, 3, 9)]
+    weights = gru.start(np.ones((4, gru.LEAVES)) * 5).astype(np.float64)
     weights += g.standard_normal(len(weights)) * 0.05
-    loss = lambda x: -gru.score(gru.views(x, 2, 2), seqs).sum()
+    loss = lambda x: -gru.score(gru.views(x, 4), seqs).sum()
     seen = {}
     real, gru._adam = gru._adam, lambda w, slopes, *_: seen.update(slopes=slopes.copy())
     try:
-        gru.train(weights.copy(), 2, 2, seqs, {})
+        gru.train(weights.copy(), 4, [*seqs], {})
     finally:
         gru._adam = real
-    at = gru.views(np.arange(len(weights)), 2, 2)
-    for k, v in at.items():
-        for i in g.choice(v.ravel(), 4) if k != "E" else at["E"][seqs[0][:4], 3]:
+    at = gru.views(np.arange(len(weights)), 4)
+    some = {k: g.choice(v.ravel(), 6) for k, v in at.items()} | {"E": at["E"][:, seqs[3][:4]].ravel(), "R": at["R"].ravel()}
+    for k, v in some.items():
+        for i in v:
             up, down = weights.copy(), weights.copy()
             up[i] += 1e-4
             down[i] -= 1e-4
@@ -98,8 +98,8 @@ def test_gradients():
 def test_scores_do_not_depend_on_the_sequences_beside():
     """State runs over a whole sequence and starts anew with the next, however sequences share streams."""
     g = np.random.default_rng(2)
-    m = gru.views(gru.start(3, 4, np.arange(1.0, 8), np.ones((3, gru.LEAVES))).astype(np.float64), 3, 4)
-    seqs = [g.integers(0, 3 * gru.LEAVES + 4, n) for n in (1, 70, 3, 200, 24, 25, 0, 2, 48)]
+    m = gru.views(gru.start(np.ones((4, gru.LEAVES))).astype(np.float64), 4)
+    seqs = [g.integers(0, 4 * gru.LEAVES, n) for n in (1, 70, 3, 200, 24, 25, 0, 2, 48)]
     alone = [gru.score(m, [s])[0] for s in seqs]
     for streams in (1, 2, 4, 64):
         assert np.allclose(gru.score(m, seqs, streams), alone)
@@ -144,8 +144,8 @@ def test_word_hashes_over_slices(monkeypatch):
 
 
 def test_lm_probabilities_add_up():
-    m = gru.views(gru.start(3, 4, np.arange(1.0, 8), np.ones((3, gru.LEAVES))), 3, 4)
-    every = [np.array([5, t]) for t in range(3 * gru.LEAVES + 4)]
+    m = gru.views(gru.start(np.arange(4.0 * gru.LEAVES).reshape(4, -1)), 4)
+    every = [np.array([5, t]) for t in range(4 * gru.LEAVES)]
     first = gru.score(m, [np.array([5])])[0]
     assert math.isclose(np.exp(gru.score(m, every) - first).sum(), 1, rel_tol=1e-4)
 
