@@ -1,23 +1,25 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are learned from labelled training texts: one of ordinary text, by the library's trainer,
-and one of toxic text.  What toxic texts mostly hold is ordinary too and the trainer would pick just that, so the
-toxic dictionary is made of the word beginnings whose document frequency in toxic texts stands out against ordinary
-ones, the strongest last, where matches cost least.  Each window of a text is compressed with the ordinary dictionary
-and with both; what the toxic one saves is the window's distance.  Windows overlap nowhere and cover the whole text.
-
-A document's largest savings, their mean, and its counts of windows beyond fixed savings are turned into a
-probability by a logistic calibration on the same training texts.  Labels serve training only; language, source and
-id are no inputs.
-
-Scale: training uses a bounded sample of labelled rows, ``TOXIC`` and ``ORDINARY`` texts at most, chosen by a hash
-of the id; their statistics are aggregated in Spark, and the calibration's intercept is moved to the share of toxic rows
-among all training rows.  The ordinary dictionary is trained on 5 pieces of 4 windows of each of these texts at most,
-20,000 pieces in all, chosen by a hash.  Scoring is one scan without a shuffle; the model is about 20 kB.
-
-Defined results: null and empty texts have no window and get the score of a text without savings; conflicting labels
-of one id count as toxic; repeated rows repeat; if either class has no training row every score is the share of toxic
-training rows (0 without labels); an empty table gives no rows; other columns are ignored.
+Two zstandard dictionaries are trained by the library on labelled texts of their own class: the ordinary one on whole
+ordinary texts, the toxic one on what sets toxic texts apart.  Most of a toxic text is ordinary too, and the trainer
+would fill the dictionary with that; so its samples are the occurrences, in toxic texts, of word beginnings whose
+document frequency there is beyond chance (likelihood ratio ``STANDS_OUT`` or more).  Each window of a text is compressed
+with either dictionary; by how much the toxic one makes it shorter is the window's distance.  Windows overlap nowhere and
+cover the whole text.
+
+A document's largest distances, their mean, and its counts of windows beyond fixed distances are turned into a
+probability by a logistic calibration on labelled texts that neither dictionary was trained on.  Labels serve training
+only; language, source and id are no inputs.
+
+Scale: training uses a bounded sample of labelled rows: about ``TOXIC`` and ``ORDINARY`` rows and ``BYTES`` of text a
+class, drawn by a hash of id and text, each read whole; a text of over a sixteenth of ``BYTES`` is not drawn (it is
+scored whole like any other).  Of these, ``SHARE`` of ten parts train the dictionaries and the rest the calibration, whose
+intercept is moved to the share of toxic rows among all training rows.  Scoring is one scan without a shuffle; the model
+is about 10 kB.
+
+Defined results: null and empty texts have no window and get the score of a text without distances; conflicting labels
+of one id count as toxic; repeated rows repeat, in training too; if either class has no training row every score is the
+share of toxic training rows (0 without labels); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,27 +30,30 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
-TOXIC, ORDINARY = 6_000, 12_000
-WINDOW = 32  # bytes
-ORDINARY_BYTES, TOXIC_BYTES = 8192, 8192
-SAVED = (1, 2, 3, 4, 5)
+TOXIC, ORDINARY, BYTES = 6_000, 12_000, 32 << 20
+SHARE = 6  # tenths of the sample that train the dictionaries
+WINDOW = 20  # bytes
+ORDINARY_BYTES, TOXIC_BYTES = 8192, 1024
+STANDS_OUT = 20.0
+LONGEST = 12  # bytes of a word beginning
+SAVED = (1, 2, 3, 4, 5, 6)
 #: A-Z to a-z, other ASCII but letters and digits to spaces.
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
-def windows(text: str) -> list[bytes]:
-    """The text in order, cut before words where one begins late enough in a window."""
-    b = b" " + text.encode().translate(_PLAIN)
+def windows(text: str, size: int = WINDOW) -> list[bytes]:
+    """The words of the text in order, cut before words where one begins late enough in a window."""
+    b = b" " + b" ".join(text.encode().translate(_PLAIN).split())
     out, i, n = [], 0, len(b)
     while i < n:
-        e = min(n, i + WINDOW)
+        e = min(n, i + size)
         if e < n:
-            cut = b.rfind(b" ", i + 8, e)
+            cut = b.rfind(b" ", i + size // 3, e)
             e = cut if cut > i else e
         out.append(b[i:e])
         i = e
@@ -57,11 +62,12 @@ def windows(text: str) -> list[bytes]:
 
 def word_beginnings(text: str) -> set[bytes]:
     words = {w for w in set(text.encode().translate(_PLAIN).split()) if len(w) >= 5}
-    return {w[:k] for w in words for k in range(5, min(12, len(w)) + 1)}
+    return {w[:k] for w in words for k in range(5, min(LONGEST, len(w)) + 1)}
 
 
 @cache
 def _compressor(dictionary: bytes):
+    """Matches are what differs between the two: the trained content serves without its tables of literals."""
     import zstandard as z
 
     p = z.ZstdCompressionParameters(
@@ -71,32 +77,63 @@ def _compressor(dictionary: bytes):
     return z.ZstdCompressor(dict_data=z.ZstdCompressionDict(dictionary, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=p)
 
 
+def distances(text: str, ordinary: bytes, toxic: bytes) -> np.ndarray:
+    """Of each window, the compressed bytes that the toxic dictionary saves against the ordinary one."""
+    one, other = _compressor(ordinary).compress, _compressor(toxic).compress
+    return np.array([len(one(w)) - len(other(w)) for w in windows(text)] if text else [0.0], float)
+
+
 def features(text: str, ordinary: bytes, toxic: bytes) -> list[float]:
-    one, both = _compressor(ordinary).compress, _compressor(ordinary + toxic).compress
-    saved = np.array([len(one(w)) - len(both(w)) for w in windows(text)] if text else [0.0])
+    saved = distances(text, ordinary, toxic)
     top = np.sort(saved)[::-1][:3]
     return [*top, *[0.0] * (3 - len(top)), saved.mean(), *[math.log1p((saved >= s).sum()) for s in SAVED], math.log(len(saved))]
 
 
 def _terms(batches):
     counts = [Counter(), Counter()]
+
+    def rows():
+        terms = [*counts[1], *(t for t in counts[0] if t not in counts[1])]
+        for i in range(0, len(terms), 50_000):
+            part = terms[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), *(pa.array([c[t] for t in part], pa.int64()) for c in counts[::-1])], ["term", "toxic", "ordinary"])
+
     for b in batches:
         for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
             counts[toxic].update(word_beginnings(text))
-    terms = list(counts[1])  # what no toxic text of this task holds may still stand in another's: ordinary counts go along
-    rows = terms + [t for t in counts[0] if t not in counts[1]]
-    for i in range(0, len(rows), 50_000):
-        part = rows[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([counts[1][t] for t in part], pa.int64()), pa.array([counts[0][t] for t in part], pa.int64())], ["term", "toxic", "ordinary"])
+        if sum(map(len, counts)) > 500_000:
+            yield from rows()
+            counts = [Counter(), Counter()]
+    yield from rows()
+
+
+def _pieces(strong: frozenset):
+    def run(batches):
+        for b in batches:
+            out = []
+            for text in b.column("text").to_pylist():
+                for w in text.encode().translate(_PLAIN).split():
+                    k = next((k for k in range(min(LONGEST, len(w)), 4, -1) if w[:k] in strong), 0)
+                    if k:
+                        out.append(b" " + w[:k])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["sample"])
+
+    return run
 
 
-def _ordinary_windows(batches):
+def _windows(batches):
     for b in batches:
-        out = []
-        for text in b.column("text").to_pylist():
-            w = windows(text)
-            out += [b"".join(w[i : i + 4]) for i in range(0, len(w), max(4, len(w) // 4))][:5]
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["sample"])
+        yield pa.RecordBatch.from_arrays([pa.array([w for t in b.column("text").to_pylist() for w in windows(t, 64)], pa.binary())], ["sample"])
+
+
+def dictionary(samples: list[bytes], size: int, **parameters) -> bytes:
+    """The content that zstandard's trainer selects; of too few samples for it, the samples themselves."""
+    import zstandard
+
+    try:
+        return zstandard.train_dictionary(size, samples, **parameters).as_bytes()[-size:]
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:].rjust(8)
 
 
 def _features(ordinary: bytes, toxic: bytes):
@@ -132,36 +169,47 @@ def apply_logistic(x: np.ndarray, model: tuple[np.ndarray, np.ndarray, np.ndarra
     return 1 / (1 + np.exp(-np.clip(((x - mean) / scale) @ w[:-1] + w[-1], -30, 30)))
 
 
+def likelihood_ratio(a: Column, b: Column, n1: int, n0: int) -> Column:
+    """2 ln of how much likelier a of n1 and b of n0 are with a share for each than with one share."""
+    log = lambda k, n, p: F.when(k > 0, k * F.log(p)).otherwise(0.0) + F.when(n - k > 0, (n - k) * F.log(1 - p)).otherwise(0.0)
+    one, zero = F.lit(float(n1)), F.lit(float(n0))
+    p = (a + b) / (one + zero)
+    return F.when(a / one > b / zero, 2 * (log(a, one, a / one) + log(b, zero, b / zero) - log(a, one, p) - log(b, zero, p))).otherwise(0.0)
+
+
 def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC, ordinary_rows: int = ORDINARY):
     """(ordinary dictionary, toxic dictionary, calibration) or, without both classes, the share of toxic rows."""
-    import zstandard
-
     known = labels.filter(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    known = known.filter(C.remainder("doc_id", 5) != 0).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    size = dict(C.of_documents(docs, "doc_id").join(known, "doc_id").groupBy("toxic").count().collect())  # rows, before the sample
-    pick = lambda v, n: known.filter(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    chosen = C.keep(pick(1, toxic_rows).union(pick(0, ordinary_rows)), "chosen")  # at most toxic_rows + ordinary_rows ids
-    texts = C.of_documents(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    known = known.filter(C.remainder("doc_id", 5) != 0)
+    rows = C.of_documents(docs, "doc_id", "text").join(known, "doc_id").withColumn("hash", F.xxhash64("doc_id", "text"))
+    drawn = rows.filter(F.octet_length("text") <= BYTES // 16)
+    size = {r[0]: r[1:] for r in rows.groupBy("toxic").agg(F.count("*"), F.sum(F.octet_length("text").cast("long"))).collect()}
+    if len(size) < 2:
+        return float(size.get(1, (0,))[0]) / max(1, sum(n for n, _ in size.values()))
+    part = {c: min(1.0, most / size[c][0], BYTES / max(1, size[c][1])) for c, most in ((1, toxic_rows), (0, ordinary_rows))}
+    within = F.when(F.col("toxic") == 1, F.lit(part[1])).otherwise(F.lit(part[0]))
+    texts = drawn.filter(F.pmod(F.xxhash64("hash"), F.lit(1 << 30)) < within * (1 << 30)).select("text", "toxic", (F.pmod("hash", F.lit(10)) < SHARE).alias("fit"))
     texts = C.keep(texts, "labelled")
-    n = dict(texts.groupBy("toxic").count().collect())
-    n1, n0 = n.get(1, 0), n.get(0, 0)
+    n = {(r[0], r[1]): r[2] for r in texts.groupBy("toxic", "fit").count().collect()}
+    alone = all((c, f) in n for c in (0, 1) for f in (True, False))  # else too few rows: all of them serve both
+    fit, rest = (texts.filter("fit"), texts.filter("not fit")) if alone else (texts, texts)
+    n1, n0 = (n.get((c, True), 0) + (0 if alone else n.get((c, False), 0)) for c in (1, 0))
     if not n1 or not n0:
-        return size.get(1, 0) / max(1, size.get(1, 0) + size.get(0, 0))
-    terms = C.map_batches(texts, _terms, "term binary, toxic long, ordinary long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    a, b = F.col("toxic") + 0.5, F.col("ordinary") + 0.5
-    ratio = F.log(a / (n1 + 1) / (b / (n0 + 1)))
-    strong = terms.filter("toxic >= 4").withColumn("ratio", ratio).withColumn("z", ratio / F.sqrt(1 / a + 1 / b)).filter((F.col("ratio") > math.log(12)) & (F.col("z") > 3.5))
-    best = strong.orderBy(F.col("z").desc(), F.col("ratio").desc(), "term").limit(TOXIC_BYTES // 6).collect()
-    toxic = b"".join(b" " + bytes(r["term"]) for r in reversed(best))[-TOXIC_BYTES:] or b" "
-    wins = C.map_batches(texts.filter("toxic = 0"), _ordinary_windows, "sample binary").orderBy(F.xxhash64("sample"), "sample").limit(20_000).collect()
-    samples = [bytes(r["sample"]) for r in wins]
-    try:
-        ordinary = zstandard.train_dictionary(ORDINARY_BYTES, samples).as_bytes()[-ORDINARY_BYTES:]
-    except zstandard.ZstdError:  # too little text for the trainer: the text itself
-        ordinary = b"".join(samples)[-ORDINARY_BYTES:] or b" "
-    rows = C.map_batches(texts, _features(ordinary, toxic), "toxic int, x array<double>").collect()
-    x, y = np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows], float)
-    return ordinary, toxic, fit_logistic(x, y, share=size[1] / (size[1] + size[0]))
+        return size[1][0] / (size[1][0] + size[0][0])
+    terms = C.map_batches(fit, _terms, "term binary, toxic long, ordinary long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    strong = terms.filter("toxic >= 3").filter(likelihood_ratio(F.col("toxic"), F.col("ordinary"), n1, n0) >= STANDS_OUT).select("term").collect()  # of at most BYTES of text
+    pieces = C.map_batches(fit.filter("toxic = 1"), _pieces(frozenset(bytes(r[0]) for r in strong)), "sample binary")
+
+    def samples(df: DataFrame) -> list[bytes]:  # at most BYTES of text
+        """In a fixed mixed order: the trainer picks from stretches of its input, which copies side by side would fill."""
+        got = sorted(bytes(r[0]) for r in df.collect())
+        return [got[i] for i in np.random.default_rng(1).permutation(len(got))]
+
+    toxic = dictionary(samples(pieces), TOXIC_BYTES, k=64, d=6)
+    ordinary = dictionary(samples(C.map_batches(fit.filter("toxic = 0"), _windows, "sample binary")), ORDINARY_BYTES)
+    got = C.map_batches(rest, _features(ordinary, toxic), "toxic int, x array<double>").orderBy("toxic", "x").collect()
+    x, y = np.array([r["x"] for r in got]), np.array([r["toxic"] for r in got], float)
+    return ordinary, toxic, fit_logistic(x, y, share=size[1][0] / (size[1][0] + size[0][0]))
 
 
 def _score(model):

@@ -31,14 +31,32 @@ def test_toxicity_rows(docs, labels, none):
 
 def test_toxicity_windows_cover_the_text():
     text = "Some Words, and more! " * 40 + "x" * 500
-    assert b"".join(toxicity.windows(text)) == b" " + text.encode().translate(toxicity._PLAIN)
+    assert b"".join(toxicity.windows(text)) == b" " + b" ".join(text.encode().translate(toxicity._PLAIN).split())
+
+
+def test_toxicity_features():
+    """Against whole-text compression of each window, one after the other."""
+    import zstandard as z
+
+    ordinary, bad = b"the quick brown fox jumps over the lazy dog and the other things", b" idiot moron scoundrel" * 3
+    text = "The quick brown idiot and the other, things over scoundrel! The lazy dog jumps."
+
+    def size(w, d):
+        p = z.ZstdCompressionParameters(compression_level=1, min_match=5, strategy=z.STRATEGY_GREEDY, window_log=15, search_log=3, hash_log=14, chain_log=14, write_content_size=False, write_checksum=False, write_dict_id=False)
+        return len(z.ZstdCompressor(dict_data=z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=p).compress(w))
+
+    saved = sorted((size(w, ordinary) - size(w, bad) for w in toxicity.windows(text)), reverse=True)
+    got = toxicity.features(text, ordinary, bad)
+    assert got[:3] == saved[:3] and got[0] > 0 and math.isclose(got[3], sum(saved) / len(saved))
+    assert got[4:-1] == [math.log1p(sum(x >= s for x in saved)) for s in toxicity.SAVED] and got[-1] == math.log(len(saved))
 
 
 def test_toxicity_held_out(spark):
-    d, y = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    sf = "/root/testdata/sf0.1"
+    d, y = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     rows = toxicity.score_toxicity(d, y).filter("held_out").join(y, "doc_id").collect()
     bad, good = [r["score"] for r in rows if r["toxic"]], [r["score"] for r in rows if not r["toxic"]]
-    assert sum(a > b for a in bad for b in good) / (len(bad) * len(good)) > 0.6
+    assert sum((a > b) + 0.5 * (a == b) for a in bad for b in good) / (len(bad) * len(good)) > 0.85
 
 
 def test_toxicity_calibration_keeps_the_share_of_classes_beyond_the_caps(spark, monkeypatch):
@@ -54,7 +72,7 @@ def test_toxicity_calibration_keeps_the_share_of_classes_beyond_the_caps(spark,
     toxicity.train(d, labels, ordinary_rows=40)
     toxicity.train(d, labels)
     (capped, share), (every, same) = seen
-    assert math.isclose(share, same) and math.isclose(every, same) and capped > 1.5 * share
+    assert math.isclose(share, same) and abs(every - same) < 0.05 and capped > 1.5 * share
 
 
 def test_quality_rows(docs, labels, none):
