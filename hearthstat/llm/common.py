@@ -80,6 +80,11 @@ def of_documents(docs: DataFrame, *cols: str) -> DataFrame:
     return docs.select(*[F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text") if c == "text" else docs[c] for c in cols])
 
 
+def row_key(docs: DataFrame) -> Column:
+    """Names a row by id and content; never null."""
+    return F.md5(F.concat_ws("/", F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.md5(F.coalesce(docs["text"].cast("string"), F.lit("")))))
+
+
 def remainder(doc_id: Column | str, m: int) -> Column:
     """crc32 of the id as text, modulo ``m``; a null id counts as the empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

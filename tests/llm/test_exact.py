@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -212,8 +213,30 @@ def test_tiles(item, doc, least):
     for at in (0, 1):
         places = [t[at] + d for t in got for d in range(t[2])]
         assert len(places) == len(set(places))
-    want = plain_tiles(item, doc, least)
-    assert sorted(t[2] for t in got)[-1:] == sorted(t[2] for t in want)[-1:]
+    assert sorted(got) == sorted(plain_tiles(item, doc, least))
+
+
+def test_tiles_of_one_repeated_word_take_no_squares():
+    began = time.time()
+    assert decontamination.tiles(np.zeros(8_000, int), np.zeros(1_000_000, int), 4) == [(0, 0, 8_000)]
+    block = decontamination.Items([(1, "a " * 300), (2, "a b " * 200)], 4)
+    assert block.match("a " * 1_000_000, 0.5) == [(1, 1.0, 1)]
+    assert block.match("a b " * 500_000, 0.5)[-1] == (2, 1.0, 1)
+    assert time.time() - began < 60
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 4), max_size=25), min_size=1, max_size=4), st.lists(st.integers(0, 6), max_size=60), st.sampled_from([0.3, 0.5, 0.9]))
+def test_matches_against_tiling_of_every_pair(items, doc, threshold):
+    text = lambda ids: " ".join(f"w{i}" for i in ids)
+    got = decontamination.Items([(k, text(x)) for k, x in enumerate(items)], 4).match(text(doc), threshold)
+    want = []
+    for k, x in enumerate(items):
+        all_tiles = plain_tiles(x, doc, min(4, len(x))) if x else []
+        share = sum(t[2] for t in all_tiles) / max(1, len(x))
+        if x and share >= threshold:
+            want.append((k, share, len(all_tiles)))
+    assert sorted(got) == want
 
 
 def test_leaks(spark):
@@ -229,9 +252,23 @@ def test_leaks(spark):
     got = {(r["doc_id"], r["item_id"]): (round(r["coverage"], 4), r["n_tiles"]) for r in decontamination.leaks(docs, bench).collect()}
     assert got == {(1, 1): (1.0, 1), (2, 1): (1.0, 4), (6, 2): (1.0, 1), (8, 5): (0.55, 1)}
     assert sorted(r["doc_id"] for r in decontamination.without_leaks(docs, bench).collect()) == [3, 4, 5, 7]
+    small = decontamination.leaks(docs, bench, block_bytes=100).collect()
+    assert {(r["doc_id"], r["item_id"]): (round(r["coverage"], 4), r["n_tiles"]) for r in small} == got
     assert decontamination.leaks(docs.limit(0), bench).count() == 0 and decontamination.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_rows_without_leaks_keep_their_columns(spark):
+    words = " ".join(f"b{i}" for i in range(20))
+    bench = spark.createDataFrame([("x1", words)], "item_id string, text string")
+    rows = [(None, "clean", 1), (None, words, 2), (5, words, 3), (5, "shares its id", 4), (6, None, 5), (6, None, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _bad int").selectExpr("*", "'k' as key", "'r' as row")
+    out = decontamination.without_leaks(docs, bench)
+    assert out.columns == docs.columns
+    assert sorted((r["_bad"], r["key"], r["row"]) for r in out.collect()) == [(1, "k", "r"), (4, "k", "r"), (5, "k", "r"), (5, "k", "r")]
+    named = decontamination.leaks(docs.selectExpr("concat('d', _bad) as doc_id", "text"), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in named) == [("d2", "x1"), ("d3", "x1")]
+
+
 def test_line_chunks(docs, none, tmp_path):
     import duckdb
 
