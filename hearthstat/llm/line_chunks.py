@@ -1,22 +1,26 @@
 """Line dedup by content-defined chunks of lines, with DataFrame functions only.
 
 A text's lines are hashed (the first 32 bits of MD5); a rolling hash over the last two lines' hashes ends a chunk
-where it is divisible by ``divisor``, so the boundaries depend on nearby lines alone and return after an insertion.
-Chunks of several lines that occur again anywhere in the corpus are removed but for their first occurrence (smallest
-doc_id, then position).  Equal hashes only nominate chunks: they are then grouped by their bytes.
+where it is divisible by ``divisor``, so the boundaries depend on nearby lines alone and return after an insertion.  A
+passage of few lines seldom holds a whole chunk, and one of many reaches beyond its chunks at both ends; so the smallest
+chunks of several lines, each pair of neighbours, stand beside those between boundaries.  Chunks that occur again
+anywhere in the corpus are removed but for their first occurrence (smallest doc_id, then text's MD5, then position): of a
+repeated run of two lines or more every line goes, and of every line one copy stays somewhere.  Equal hashes only
+nominate chunks: they are then grouped by their bytes.
 
 Scale: hashes of chunks are counted with partial aggregation, so the rows of a chunk that stands in a third of all
 documents shrink before the shuffle; only nominated chunks carry text, and a chunk's text meets its copies through
-partial aggregation as well.  Removals return to documents as positions, by document.
+partial aggregation as well.  Copies of a row are one row with a count.  Removals return to documents as positions, and a
+document's work is in proportion to its lines and removals (sets and places in arrays, no searches or slices).
 
 Defined results: null text stays null and counts no line; an empty text is one empty line; repeated rows are
-documents of their own, told apart by their order of text and counted in turn; an empty table gives no rows; other
-columns are ignored.
+documents of their own: the first is treated like any document, the others lose every repeated chunk; a null id comes
+first; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -33,64 +37,82 @@ def held(df: DataFrame, **cols: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
 
 
+def span(first: Column, last: Column) -> Column:
+    """First line number and length less one in one long; Spark's sets hash the halves' XOR, which differs between these."""
+    return F.shiftleft(first.cast("long"), 32).bitwiseOR((last - first).cast("long"))
+
+
+def first_of(s: Column) -> Column:
+    return F.shiftright(s, 32).cast("int")
+
+
+def last_of(s: Column) -> Column:
+    return first_of(s) + s.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+
+
 def with_chunks(df: DataFrame, divisor: int = DIVISOR) -> DataFrame:
-    """``spans`` beside ``lines``: (first, last) line numbers, from 0, of each chunk of several lines."""
-    size = F.size("hashes")
-    none = F.array().cast("array<int>")
-    before = F.slice(F.concat(F.array(F.lit(0).cast("long")), "hashes"), 1, size)
-    rolled = F.slice(F.zip_with(before, "hashes", lambda p, h: (p * 31 + h) % divisor), 1, size - 1)
+    """``spans`` beside ``lines``: the chunks of several lines between boundaries, and all pairs of neighbours."""
+    size = F.size("lines")
+    before = F.concat(F.array(F.lit(0).cast("long")), F.slice("hashes", 1, F.greatest(size - 1, F.lit(0))))
     df = held(df, hashes=F.transform("lines", line_hash))
-    inner = F.filter(F.transform(F.when(size > 1, rolled).otherwise(F.array().cast("array<bigint>")), lambda r, i: F.when(r == 0, i)), lambda e: e.isNotNull())
-    df = held(df, ends=F.when(size > 0, F.concat(inner, F.array(size - 1))).otherwise(none))
-    spans = F.zip_with(F.concat(F.array(F.lit(-1)), "ends"), "ends", lambda a, e: F.struct((a + 1).alias("first"), e.alias("last")))
-    return held(df, spans=F.filter(spans, lambda s: s["last"] > s["first"])).drop("hashes", "ends")
+    df = held(df, rolled=F.zip_with(before, "hashes", lambda p, h: (p * 31 + h) % divisor))
+    ends = F.filter(F.transform("rolled", lambda r, i: F.when((r == 0) | (i == size - 1), i)), lambda e: e.isNotNull())
+    df = held(df, ends=ends)
+    starts = F.concat(F.array(F.lit(0)), F.transform(F.slice("ends", 1, F.greatest(F.size("ends") - 1, F.lit(0))), lambda e: e + 1))
+    between = F.filter(F.zip_with(starts, "ends", span), lambda s: last_of(s) > first_of(s))
+    pairs = F.when(size > 1, F.transform(F.sequence(F.lit(0), F.greatest(size - 2, F.lit(0))), lambda i: span(i, i + 1))).otherwise(F.array().cast("array<long>"))
+    return held(df, spans=F.array_union(between, pairs)).drop("hashes", "rolled", "ends")
 
 
 def dedup_lines(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     """doc_id, text without repeated chunks, n_lines, n_removed for every row."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    # ``rk`` names a row by id and content. One exchange of texts by it serves the comparison and the removal.
-    base = docs.select("doc_id", "text", F.md5(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text))).alias("rk"))
-    lines = F.split(text, "\n", -1)
-    part = lambda s: F.slice("lines", s["first"] + 1, s["last"] - s["first"] + 1)
-    spans = with_chunks(held(base.select("rk", "text"), lines=lines).drop("text"), divisor)
-    hashed = F.transform("spans", lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"), F.xxhash64(part(s)).alias("hash")))
-    found = C.keep(spans.select("rk", F.inline(hashed)), "chunks")
+    # ``rk`` names a row by id and content; copies are one row. One exchange of texts by it serves the comparison and the removal.
+    base = docs.select("doc_id", F.col("text").cast("string").alias("text"), C.row_key(docs).alias("rk"), F.col("text").isNull().alias("gap"))
+    once = base.groupBy("rk", "gap").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("times"))
+    once = C.keep(once.withColumn("text", F.coalesce("text", F.lit(""))), "rows")
+    lines = F.split("text", "\n", -1)
+    part = lambda s: F.transform(F.sequence(first_of(s), last_of(s)), lambda i: F.get("lines", i))  # noqa: E731  # a slice would copy all lines
+    spans = with_chunks(held(once.filter("not gap").select("rk", "text", "times"), lines=lines).drop("text"), divisor)
+    hashed = F.transform("spans", lambda s: F.struct(s.alias("span"), F.xxhash64(part(s)).alias("hash")))
+    found = C.keep(spans.select("rk", "times", F.inline(hashed)), "chunks")
     # A plain table, so that adaptive execution can split a hash that very many documents hold.
-    again = C.keep(found.groupBy("hash").count().filter("count > 1").select("hash"), "again")
-    nominated = C.keep(found.join(again, "hash", "left_semi").groupBy("rk").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "nominated")
-    dealt = base.repartition(F.col("rk"))
-    texts = held(dealt.join(nominated, "rk"), lines=lines)
-    texts = texts.select("rk", F.struct("doc_id", F.md5(text)).alias("of"), F.inline(F.transform("spans", lambda s: F.struct(s["first"].alias("first"), F.array_join(part(s), "\n").alias("chunk")))))
+    again = C.keep(found.groupBy("hash").agg(F.sum("times").alias("n")).filter("n > 1").select("hash"), "again")
+    nominated = C.keep(found.join(again, "hash", "left_semi").groupBy("rk").agg(F.collect_set("span").alias("spans")), "nominated")
+    texts = held(once.filter("not gap").join(nominated, "rk"), lines=lines, of=F.struct("doc_id", F.md5("text")))
+    texts = texts.select("rk", "of", "times", F.inline(F.transform("spans", lambda s: F.struct(s.alias("span"), F.array_join(part(s), "\n").alias("chunk")))))
     # Of each group of equal bytes the first occurrence stays, also of a chunk that only shares its hash with others.
-    kept = texts.groupBy("chunk").agg(F.min(F.struct("of", "first", "rk")).alias("at"))
-    kept = kept.groupBy(F.col("at.rk").alias("rk")).agg(F.collect_set("at.first").alias("kept"))
-    marks = nominated.join(kept, "rk", "left").select("rk", "spans", F.coalesce("kept", F.array().cast("array<int>")).alias("kept"))
-    nth = F.row_number().over(Window.partitionBy("rk").orderBy("rk"))
-    rows = dealt.join(marks, "rk", "left").withColumn("nth", nth)
-    gone = F.filter(F.coalesce("spans", F.array().cast("array<struct<first:int,last:int>>")), lambda s: (F.col("nth") > 1) | ~F.array_contains("kept", s["first"]))
+    groups = texts.groupBy("chunk").agg(F.min(F.struct("of", "span", "rk")).alias("at"), F.sum("times").alias("n"))
+    kept = groups.select(F.col("at.rk").alias("rk"), F.col("at.span").alias("span"), F.col("n") == 1).toDF("rk", "span", "single")
+    kept = kept.groupBy("rk").agg(F.collect_set("span").alias("kept"), F.collect_set(F.when(F.col("single"), F.col("span"))).alias("singles"))
+    none = F.array().cast("array<long>")
+    marks = nominated.join(kept, "rk", "left").select("rk", *[F.coalesce(c, none).alias(c) for c in ("spans", "kept", "singles")])
+    rows = once.join(marks, "rk", "left").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    gone = F.coalesce(F.when(F.col("nth") > 1, F.array_except("spans", "singles")).otherwise(F.array_except("spans", "kept")), none)
     rows = held(rows, lines=lines, gone=gone)
-    rows = held(rows, left=F.filter("lines", lambda _, i: ~F.exists("gone", lambda s: (i >= s["first"]) & (i <= s["last"]))))
-    count = F.when(F.col("text").isNull(), 0)
+    out = F.array_distinct(F.flatten(F.transform("gone", lambda s: F.sequence(first_of(s), last_of(s)))))
+    rows = held(rows, out=F.when(F.size("gone") > 0, out).otherwise(F.array().cast("array<int>")))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "out")
+    rows = held(rows, left=F.when(F.size("out") > 0, F.transform(left, lambda i: F.get("lines", i))).otherwise(F.col("lines")))
+    count = F.when(F.col("gap"), 0)
     return rows.select(
         "doc_id",
-        F.when(F.col("text").isNotNull(), F.array_join("left", "\n")).alias("text"),
+        F.when(~F.col("gap"), F.array_join("left", "\n")).alias("text"),
         count.otherwise(F.size("lines")).cast("long").alias("n_lines"),
-        count.otherwise(F.size("lines") - F.size("left")).cast("long").alias("n_removed"),
+        count.otherwise(F.size("out")).cast("long").alias("n_removed"),
     )
 
 
 SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, md5(coalesce(text, '')) AS tk, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-l AS (SELECT r, doc_id, tk, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM d),
+l AS (SELECT r, doc_id, tk, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM d WHERE text IS NOT NULL),
 h AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h FROM l),
 b AS (SELECT *, (coalesce(lag(h) OVER (PARTITION BY r ORDER BY i), 0) * 31 + h) % {DIVISOR} = 0 AS ends FROM h),
 c AS (SELECT *, coalesce(sum(CAST(ends AS INT)) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM b),
-g AS (SELECT r, doc_id, tk, c, min(i) AS first, string_agg(line, chr(10) ORDER BY i) AS chunk FROM c GROUP BY r, doc_id, tk, c HAVING count(*) > 1),
-x AS (SELECT r, c, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, tk, first, r) > 1 AS gone FROM g),
-o AS (SELECT c.r, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT coalesce(x.gone, false)) AS text, count(*) AS n_lines,
-  count(*) FILTER (WHERE coalesce(x.gone, false)) AS n_removed FROM c LEFT JOIN x USING (r, c) GROUP BY c.r)
-SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(o.text, '') END AS text,
-  CASE WHEN d.text IS NULL THEN 0 ELSE n_lines END AS n_lines, CASE WHEN d.text IS NULL THEN 0 ELSE n_removed END AS n_removed
-FROM d JOIN o USING (r)
+g AS (SELECT r, doc_id, tk, min(i) AS first, max(i) AS last, string_agg(line, chr(10) ORDER BY i) AS chunk FROM c GROUP BY r, doc_id, tk, c HAVING count(*) > 1
+  UNION SELECT r, doc_id, tk, i, i + 1, line || chr(10) || after FROM (SELECT *, lead(line) OVER (PARTITION BY r ORDER BY i) AS after FROM l) WHERE after IS NOT NULL),
+x AS (SELECT r, first, last, row_number() OVER (PARTITION BY chunk ORDER BY doc_id NULLS FIRST, tk, first, last, r) > 1 AS gone FROM g),
+u AS (SELECT DISTINCT r, unnest(range(first, last + 1)) AS i FROM x WHERE gone),
+o AS (SELECT l.r, string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE u.i IS NULL) AS text, count(*) AS n_lines, count(u.i) AS n_removed FROM l LEFT JOIN u ON u.r = l.r AND u.i = l.i GROUP BY l.r)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(o.text, '') END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed
+FROM d LEFT JOIN o USING (r)
 """

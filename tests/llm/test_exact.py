@@ -280,6 +280,32 @@ def test_line_chunks(docs, none, tmp_path):
     key = lambda r: (r[0] is None, r[0] or 0, r[1] or "", r[3])
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
     texts = {r["doc_id"]: r for r in got}
-    assert texts[0]["text"] is None and texts[1]["text"] == "" and texts[10]["n_removed"] > 0
-    assert texts[9]["n_removed"] == 0 and texts[10]["text"].startswith("other start") and texts[10]["text"].endswith("tail ten")
+    assert texts[0]["text"] is None and texts[1]["text"] == "" and texts[10]["n_removed"] == 24
+    assert texts[9]["n_removed"] == 0 and texts[10]["text"] == "other start\ntail ten"
     assert line_chunks.dedup_lines(none).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_every_repeated_run_of_lines_goes(spark, seed):
+    """By position: a line goes if it stands in a pair of neighbours that an earlier place has, or in a later copy of a row."""
+    g = np.random.default_rng(seed)
+    rows = [(int(g.integers(0, 30)), "\n".join(f"line {g.integers(0, 25)}" for _ in range(g.integers(1, 12)))) for _ in range(40)]
+    rows += rows[:4] + [(None, rows[5][1]), (50, "a\nb"), (50, "a\nb"), (51, "b\na\nb"), (52, "")]
+    seen, want = set(), []
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest()))
+    for i, text in order:
+        lines, gone = text.split("\n"), set()
+        for k in range(len(lines) - 1):
+            if tuple(lines[k : k + 2]) in seen:
+                gone |= {k, k + 1}
+            seen.add(tuple(lines[k : k + 2]))
+        want.append((i, "\n".join(x for k, x in enumerate(lines) if k not in gone), len(lines), len(gone)))
+    got = line_chunks.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_line_chunks_of_a_long_document(spark):
+    text = "\n".join(f"line {i}" for i in range(200_000))
+    began = time.time()
+    got = sorted(map(tuple, line_chunks.dedup_lines(spark.createDataFrame([(1, text), (2, text + "\nmore")], "doc_id long, text string")).select("doc_id", "n_lines", "n_removed").collect()))
+    assert got == [(1, 200_000, 0), (2, 200_001, 200_000)] and time.time() - began < 60
