@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import common as C
 from .hamming import components, links_within, permuted_block_keys
 
-RANGE_BYTES, MOST_RANGES = 4 << 20, 4096  # text of a range of ids; so many rows at most reach the driver
+RANGE_BYTES, RANGES = 4 << 20, 4096  # text of a range of ids, and ranges, up to 16 GB; beyond, both grow by the root of the size
 NULL_FIRST = -(1 << 63)
 
 
@@ -97,7 +97,8 @@ def edited_pairs(docs: DataFrame, k: int = 3, range_bytes: int = RANGE_BYTES) ->
     spark = docs.sparkSession
     rows = C.of_documents(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    parts = min(MOST_RANGES, max(1, size // range_bytes))
+    parts = max(1, size // range_bytes)
+    parts = int(min(parts, (RANGES * parts) ** 0.5)) if parts > RANGES else parts  # 320,000 ranges of 300 MB for 100 TB
     bounds = np.array(sorted({int(x) for x in rows.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts)} if parts > 1 else ()), np.int64)
 
     @F.pandas_udf("int")
@@ -122,8 +123,10 @@ def near_classes(fps: DataFrame, radius: int = 3) -> DataFrame:
     """``class_id`` beside ``doc_id`` and ``fp``: the smallest id that links within ``radius`` (up to 3) bits lead to."""
     words = C.keep(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "words")
     linked = components(links_within(words.select("fp"), radius, permuted_block_keys))
-    named = words.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    classes = named.join(named.groupBy("root").agg(F.min("doc_id").alias("class_id")), "root").select("fp", "class_id")
+    # Plain tables, so that adaptive execution can split the joins of a giant class and of a hot fingerprint.
+    named = C.keep(words.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "named")
+    first = C.keep(named.groupBy("root").agg(F.min("doc_id").alias("class_id")), "first")
+    classes = C.keep(named.join(first, "root").select("fp", "class_id"), "classes")
     return fps.join(classes, "fp")
 
 

@@ -67,13 +67,21 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFrame:
     rows = C.keep(fingerprints(docs, k), "fingerprints")
     words = C.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "words")
     linked = components(links_within(words.select("fp"), radius, multi_index_keys))
-    named = words.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    first = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # Plain tables, so that adaptive execution can split the join of a giant component.
+    named = C.keep(words.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "named")
+    first = C.keep(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "first")
     classes = C.keep(named.join(first, "root").select("fp", "component_id"), "classes")
     return rows.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, **parameters) -> DataFrame:
-    """``docs`` without the documents whose component has a smaller id; repeated rows of a kept id leave one."""
-    first = near_duplicates(docs, **parameters).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One row of each component: that of the smallest id, then of the smallest ``common.row_key``; a null id comes last.
+
+    Rows are told apart by id and content, so texts with a null id or a shared id are rows of their own.
+    """
+    rows = docs.select(C.row_key(docs).alias("key"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    of = C.keep(near_duplicates(rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), **parameters).select(F.col("doc_id").alias("key"), "component_id"), "components")
+    ids = rows.select("key", F.col("row.doc_id").alias("doc_id")).distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("key"))
+    first = of.distinct().join(ids, "key").groupBy("component_id").agg(F.min(order).alias("m")).select(F.col("m.key").alias("key"))
+    return rows.join(first, "key", "left_semi").dropDuplicates(["key"]).select("row.*")

@@ -183,10 +183,17 @@ def _shards(path: str, end_id: int, most: int):
     return run
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2, shard_tokens: int = SHARD) -> None:
-    """Encode every text, append ``end_id``, write the shards in ascending doc_id order."""
-    rows = C.of_documents(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+def file_order(docs: DataFrame) -> DataFrame:
+    """``docs``, read from Parquet files of one write, with ``place``: the order of its partitions and rows."""
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long")
+    return docs.select("doc_id", "text", F.struct(part.alias("part"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")).alias("place"))
+
+
+def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2, shard_tokens: int = SHARD, by: str | None = None) -> None:
+    """Encode every text, append ``end_id``, write the shards in ascending doc_id order or in that of the column ``by``."""
+    rows = C.of_documents(docs, "doc_id", "text", *([by] if by else [])).withColumn("doc_id", F.col("doc_id").cast("long"))
+    order = [F.col(by)] if by else [F.col("doc_id").asc_nulls_first(), F.col("text")]
+    ordered = rows.repartitionByRange(by or "doc_id").sortWithinPartitions(*order).select("doc_id", "text")
     with C.bounded_batches(docs.sparkSession):
         C.map_batches(ordered, _shards(tokenizer_path, end_id, shard_tokens), SHARDS).write.option("maxRecordsPerFile", 1).parquet(path)
 

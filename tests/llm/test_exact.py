@@ -81,7 +81,15 @@ def test_near_duplicates(docs, rows, none):
     assert simhash_dedup.near_duplicates(none).count() == 0
     kept = simhash_dedup.keep_first(docs)
     assert kept.columns == docs.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({w[2] for w in want if w[2] is not None})
+    assert {r["doc_id"] for r in kept.collect()} == {w[2] for w in want} and kept.count() == len(set(of[f] for f in fp.values()))
+
+
+def test_near_duplicates_keep_null_and_shared_ids(spark):
+    rows = [(None, "alpha " * 9), (1, "alpha " * 9), (2, "zzz one two three four"), (2, "other text with words of its own"), (None, "no id at all, a text apart"), (3, ""), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'k' as key", "'r' as row")
+    kept = simhash_dedup.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([*rows[1:6]], key=str)
 
 
 @pytest.mark.parametrize(("radius", "scheme"), [(4, hamming.multi_index_keys), (3, hamming.permuted_block_keys)])
@@ -164,6 +172,28 @@ def test_mix(docs, rows, none):
     assert {k: v for k, v in taken.items() if v} == {k: v for k, v in told.items() if v}
 
 
+def test_positions_follow_the_schedules(spark, docs):
+    """Each copy stands where its source's integrated weight has made as many words due, and rows come in that order."""
+    rows = mixing.schedule(mixing.plan(docs)).collect()
+    assert len(rows) == sum(r["copies"] for r in mixing.plan(docs).collect())
+    slopes = dict(zip((1.0, 2.0, 3.0), mixing.SLOPES, strict=True))
+    for r in rows:
+        a, t = slopes[r["weight"]], r["position"]
+        due = min(1.0, (r["copy"] * r["source_size"] + r["before"] + r["size"] / 2) / r["target"]) if r["target"] else 0.0
+        steps = 20_000  # the integral of 1 - a + 2 a u over [0, t], added up
+        area = sum(1 - a + 2 * a * (t * (i + 0.5) / steps) for i in range(0, steps, 200)) * 200 * t / steps
+        assert 0 <= t <= 1 and abs(area - due) < 0.01
+    clash = docs.selectExpr("*", "1 as _key", "2 as _nth", "3 as name", "4 as nth", "5 as place")
+    out = mixing.mixed(clash)
+    assert out.columns == clash.columns and {(r["_key"], r["_nth"], r["name"], r["nth"], r["place"]) for r in out.collect()} == {(1, 2, 3, 4, 5)}
+    place = {}
+    for r in rows:
+        place.setdefault(r["doc_id"], []).append(r["position"])
+    got = [r["doc_id"] for r in mixing.mixed(docs).collect()]
+    single = [place[i][0] for i in got if len(place[i]) == 1]
+    assert single == sorted(single) and len(got) == len(rows)
+
+
 def test_fingerprints(docs, rows, none):
     got = {(r["doc_id"], r["edited_sha256"]): r for r in fingerprints.fingerprint_documents(docs).collect()}
     assert len(got) == len(rows)
