@@ -67,18 +67,18 @@ def with_chunks(df: DataFrame, divisor: int = DIVISOR) -> DataFrame:
 def dedup_lines(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     """doc_id, text without repeated chunks, n_lines, n_removed for every row."""
     # ``rk`` names a row by id and content; copies are one row. One exchange of texts by it serves the comparison and the removal.
-    base = docs.select("doc_id", F.col("text").cast("string").alias("text"), C.row_key(docs).alias("rk"), F.col("text").isNull().alias("gap"))
-    once = base.groupBy("rk", "gap").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("times"))
-    once = C.keep(once.withColumn("text", F.coalesce("text", F.lit(""))), "rows")
+    gap = F.col("text").isNull()
+    base = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.concat(C.row_key(docs), F.when(docs["text"].isNull(), "-").otherwise("+")).alias("rk"))
+    once = base.groupBy("rk").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("times"))
     lines = F.split("text", "\n", -1)
     part = lambda s: F.transform(F.sequence(first_of(s), last_of(s)), lambda i: F.get("lines", i))  # noqa: E731  # a slice would copy all lines
-    spans = with_chunks(held(once.filter("not gap").select("rk", "text", "times"), lines=lines).drop("text"), divisor)
+    spans = with_chunks(held(base.filter(~gap).select("rk", "text"), lines=lines).drop("text"), divisor)
     hashed = F.transform("spans", lambda s: F.struct(s.alias("span"), F.xxhash64(part(s)).alias("hash")))
-    found = C.keep(spans.select("rk", "times", F.inline(hashed)), "chunks")
+    found = C.keep(spans.select("rk", F.inline(hashed)), "chunks")
     # A plain table, so that adaptive execution can split a hash that very many documents hold.
-    again = C.keep(found.groupBy("hash").agg(F.sum("times").alias("n")).filter("n > 1").select("hash"), "again")
+    again = C.keep(found.groupBy("hash").count().filter("count > 1").select("hash"), "again")
     nominated = C.keep(found.join(again, "hash", "left_semi").groupBy("rk").agg(F.collect_set("span").alias("spans")), "nominated")
-    texts = held(once.filter("not gap").join(nominated, "rk"), lines=lines, of=F.struct("doc_id", F.md5("text")))
+    texts = held(once.join(nominated, "rk"), lines=lines, of=F.struct("doc_id", F.md5("text")))
     texts = texts.select("rk", "of", "times", F.inline(F.transform("spans", lambda s: F.struct(s.alias("span"), F.array_join(part(s), "\n").alias("chunk")))))
     # Of each group of equal bytes the first occurrence stays, also of a chunk that only shares its hash with others.
     groups = texts.groupBy("chunk").agg(F.min(F.struct("of", "span", "rk")).alias("at"), F.sum("times").alias("n"))
@@ -88,15 +88,15 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     marks = nominated.join(kept, "rk", "left").select("rk", *[F.coalesce(c, none).alias(c) for c in ("spans", "kept", "singles")])
     rows = once.join(marks, "rk", "left").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     gone = F.coalesce(F.when(F.col("nth") > 1, F.array_except("spans", "singles")).otherwise(F.array_except("spans", "kept")), none)
-    rows = held(rows, lines=lines, gone=gone)
+    rows = held(rows, lines=F.coalesce(lines, F.array(F.lit(""))), gone=gone)
     out = F.array_distinct(F.flatten(F.transform("gone", lambda s: F.sequence(first_of(s), last_of(s)))))
     rows = held(rows, out=F.when(F.size("gone") > 0, out).otherwise(F.array().cast("array<int>")))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "out")
     rows = held(rows, left=F.when(F.size("out") > 0, F.transform(left, lambda i: F.get("lines", i))).otherwise(F.col("lines")))
-    count = F.when(F.col("gap"), 0)
+    count = F.when(gap, 0)
     return rows.select(
         "doc_id",
-        F.when(~F.col("gap"), F.array_join("left", "\n")).alias("text"),
+        F.when(~gap, F.array_join("left", "\n")).alias("text"),
         count.otherwise(F.size("lines")).cast("long").alias("n_lines"),
         count.otherwise(F.size("out")).cast("long").alias("n_removed"),
     )
