@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,14 +44,34 @@ def parcel_evidence(tx: DataFrame) -> DataFrame:
     return tx.filter(F.col("neighborhood_id").isNotNull()).groupBy("parcel_id", "neighborhood_id").agg(n.alias("sales"), F.round(F.when(n >= 5, 0.98).when(n >= 2, 0.90).otherwise(0.72), 4).alias("confidence"))
 
 
-def closure(edges: DataFrame, most: int = 7) -> DataFrame:
-    """Ancestors of every node of a parent table (child, parent), up to ``most`` levels."""
-    level = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
-    out = level
-    for i in range(2, most + 1):
-        level = level.join(edges, level["ancestor"] == edges["child"]).select("node", F.col("parent").alias("ancestor"), F.lit(i).alias("depth"))
-        out = out.unionByName(level)
-    return out.groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
+def _cut(df: DataFrame) -> DataFrame:
+    """Checkpoint in the session's shared folder; only a local session without one gets a temporary folder."""
+    spark = df.sparkSession
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="hearthstat-"))
+    return df.checkpoint()
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """Ancestors of every node of a parent table (child, parent), of however many levels, each with its least depth.
+
+    Each level is one join of the pairs found last, checkpointed where ``spark.checkpoint.dir`` says; a cycle is an error.
+    """
+    up = edges.select("child", "parent").distinct()
+    out, depth = None, 1
+    last = up.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"))
+    while True:
+        last = _cut(last)
+        if last.filter(F.col("node") == F.col("ancestor")).head(1):
+            raise ValueError("the parent table has a cycle")
+        if depth > 1 and last.isEmpty():
+            return out.groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
+        level = last.withColumn("depth", F.lit(depth))
+        out = level if out is None else out.unionByName(level)
+        depth += 1
+        last = last.join(up, F.col("ancestor") == F.col("child")).select("node", F.col("parent").alias("ancestor")).distinct()
 
 
 def official_crosswalk(keys: DataFrame, hoods: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -27,12 +27,22 @@ def contained(points: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
 
 
 def nearest(points: DataFrame, anchors: DataFrame, km: float) -> DataFrame:
-    """The nearest anchor within ``km`` of each point; anchors are spread over the cells that the radius can reach."""
-    deg = km / 111.0 * 1.3  # a degree of longitude is shorter, down to 0.77 of one of latitude at 40 degrees
-    at = lambda c: F.floor(c / deg)
-    near = lambda c: F.explode(F.sequence(at(F.col(c)) - 1, at(F.col(c)) + 1))
-    a = anchors.withColumn("cx", near("a_lon")).withColumn("cy", near("a_lat"))
-    d = points.withColumn("cx", at(F.col("lon"))).withColumn("cy", at(F.col("lat"))).join(a, ["cx", "cy"]).withColumn("km", haversine_km(F.col("lon"), F.col("lat"), F.col("a_lon"), F.col("a_lat")))
+    """The nearest anchor within ``km`` of each point; anchors are spread over the cells that the radius can reach.
+
+    Rows of cells are as high as the radius; in each row cells are as wide as the radius at its latitude furthest from the
+    equator, neighbours included, so all latitudes are covered (beyond 85 degrees a row is one cell).
+    """
+    high = km / 111.0 * 1.01
+    row = lambda lat: F.floor(lat / high)
+
+    def column(lon, r):
+        far = F.greatest(F.abs(r - 1), F.abs(r + 2)) * high
+        return F.floor(lon / F.when(far > 85, 360.0).otherwise(F.lit(high * 1.1) / F.cos(F.radians(far))))
+
+    a = anchors.withColumn("cy", F.explode(F.sequence(row(F.col("a_lat")) - 1, row(F.col("a_lat")) + 1)))
+    a = a.withColumn("cx", F.explode(F.sequence(column(F.col("a_lon"), F.col("cy")) - 1, column(F.col("a_lon"), F.col("cy")) + 1)))
+    p = points.withColumn("cy", row(F.col("lat"))).withColumn("cx", column(F.col("lon"), F.col("cy")))
+    d = p.join(a, ["cx", "cy"]).withColumn("km", haversine_km(F.col("lon"), F.col("lat"), F.col("a_lon"), F.col("a_lat")))
     best = d.filter(F.col("km") <= km).withColumn("rank", F.row_number().over(Window.partitionBy("point_id").orderBy(F.round("km", 6), "anchor_id"))).filter("rank = 1")
     return best.select("point_id", "anchor_id", F.round("km", 6).alias("km"))
 
