@@ -3,7 +3,7 @@
 Two zstandard dictionaries are trained by the library on labelled texts of their own class: the ordinary one on whole
 ordinary texts, the toxic one on what sets toxic texts apart.  Most of a toxic text is ordinary too, and the trainer
 would fill the dictionary with that; so its samples are the occurrences, in toxic texts, of word beginnings whose
-document frequency there is beyond chance (likelihood ratio ``STANDS_OUT`` or more).  Each window of a text is compressed
+document frequency there is over ``RATIO`` times that of ordinary texts, beyond chance (``STANDS_OUT``).  Each window of a text is compressed
 with either dictionary; by how much the toxic one makes it shorter is the window's distance.  Windows overlap nowhere and
 cover the whole text.
 
@@ -38,8 +38,8 @@ from . import common as C
 TOXIC, ORDINARY, BYTES = 6_000, 12_000, 32 << 20
 SHARE = 6  # tenths of the sample that train the dictionaries
 WINDOW = 20  # bytes
-ORDINARY_BYTES, TOXIC_BYTES = 8192, 1024
-STANDS_OUT = 20.0
+ORDINARY_BYTES, TOXIC_BYTES = 8192, 2048
+STANDS_OUT, RATIO = 20.0, 12.0  # likelihood ratio, and share of toxic texts against that of ordinary ones
 LONGEST = 12  # bytes of a word beginning
 SAVED = (1, 2, 3, 4, 5, 6)
 #: A-Z to a-z, other ASCII but letters and digits to spaces.
@@ -197,7 +197,8 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC, ordinary_
     if not n1 or not n0:
         return size[1][0] / (size[1][0] + size[0][0])
     terms = C.map_batches(fit, _terms, "term binary, toxic long, ordinary long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    strong = terms.filter("toxic >= 3").filter(likelihood_ratio(F.col("toxic"), F.col("ordinary"), n1, n0) >= STANDS_OUT).select("term").collect()  # of at most BYTES of text
+    often = (F.col("toxic") + 0.5) / (n1 + 1) > RATIO * (F.col("ordinary") + 0.5) / (n0 + 1)
+    strong = terms.filter("toxic >= 3").filter(often).filter(likelihood_ratio(F.col("toxic"), F.col("ordinary"), n1, n0) >= STANDS_OUT).select("term").collect()  # of at most BYTES of text
     pieces = C.map_batches(fit.filter("toxic = 1"), _pieces(frozenset(bytes(r[0]) for r in strong)), "sample binary")
 
     def samples(df: DataFrame) -> list[bytes]:  # at most BYTES of text
