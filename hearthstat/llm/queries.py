@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import decontamination, filter_audit, fingerprints, line_chunks, lm_scoring, mixing, quality, simhash_dedup, token_counts, toxicity, wavelet
+from . import collocations, decontamination, filter_audit, fingerprints, line_chunks, lm_scoring, mixing, quality, simhash_dedup, token_counts, toxicity, wavelet
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,14 +56,18 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(C.documents(spark, sf_dir), C.table(spark, sf_dir, "labels"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(C.documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_token_counts, op2_quality, op3_simhash_dedup, op4_lm_scoring, op5_toxicity,
         op6_wavelet_shards, op7_curriculum_mix, op8_fingerprints, op9_decontamination, op10_line_chunks,
-        op12_filter_audit,
+        op12_filter_audit, op13_phrases,
     )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_chunks": line_chunks.SQL, "op12_filter_audit": filter_audit.SQL}
+    return {"op10_line_chunks": line_chunks.SQL, "op12_filter_audit": filter_audit.SQL, "op13_phrases": collocations.SQL}
