@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import collocations, decontamination, filter_audit, fingerprints, line_chunks, lm_scoring, mixing, quality, simhash_dedup, token_counts, toxicity, wavelet
+from . import collocations, decontamination, filter_audit, fingerprints, line_chunks, lm_scoring, mixing, quality, secret_scan, simhash_dedup, token_counts, toxicity, wavelet
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_chunks.dedup_lines(C.documents(spark, sf_dir))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.find_secrets(C.documents(spark, sf_dir)))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(C.documents(spark, sf_dir), C.table(spark, sf_dir, "labels"))
 
@@ -64,7 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_token_counts, op2_quality, op3_simhash_dedup, op4_lm_scoring, op5_toxicity,
         op6_wavelet_shards, op7_curriculum_mix, op8_fingerprints, op9_decontamination, op10_line_chunks,
-        op12_filter_audit, op13_phrases,
+        op11_secret_scan, op12_filter_audit, op13_phrases,
     )
     return {f.__name__: f for f in own}
 
