@@ -7,15 +7,10 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthstat.functions.clean import discount_pct, haversine_km, median_of, normalize_address, pct_change, street_key
+from hearthstat.functions.clean import discount_pct, median_of, pct_change
 from hearthstat.operators import ranks
-from hearthstat.operators.comparables import band_join
+from hearthstat.operators.comparables import OFFERS, SALES, band_join, most_alike, round_half_up
 
-#: Fixed scores of how a comparable lies to its subject, nearest first.
-RELATIONS = {"same_building": 1.0, "same_street": 0.92, "nearby": 0.82, "neighborhood": 0.68, "fallback": 0.45}
-#: Fixed weights of similarity between offers, and between a subject and past sales.
-OFFER_WEIGHTS = {"address": 0.25, "area": 0.40, "rooms": 0.25, "floor": 0.10}
-SALE_WEIGHTS = {"address": 0.35, "area": 0.35, "rooms": 0.20, "floor": 0.10}
 #: Fixed order of states of evidence, worst first.
 STATES = ("conflict", "insufficient", "stale", "provisional", "supported")
 
@@ -26,53 +21,74 @@ def sale_once(sales: DataFrame) -> DataFrame:
     return sales.groupBy(*same).agg(F.min("transaction_id").alias("transaction_id"), F.count("*").alias("copies"))
 
 
-def address_relation(pairs: DataFrame, km: float = 1.2) -> DataFrame:
-    """``relation`` and its score of pairs that hold both sides' address, lon, lat and place; the first that holds."""
-    a, b = F.col("s_address"), F.col("address")
-    close = haversine_km(F.col("s_lon"), F.col("s_lat"), F.col("lon"), F.col("lat")) <= km
-    relation = (
-        F.when((normalize_address(a) == normalize_address(b)) & (normalize_address(a) != ""), "same_building").when((street_key(a) == street_key(b)) & (street_key(a) != ""), "same_street")
-        .when(close, "nearby").when(F.col("s_place") == F.col("place"), "neighborhood").otherwise("fallback")
-    )
-    scores = F.create_map(*[F.lit(x) for pair in RELATIONS.items() for x in pair])
-    return pairs.withColumn("relation", relation).withColumn("relation_score", F.element_at(scores, F.col("relation")))
-
-
-def likeness(weights: dict[str, float]) -> Column:
-    """Weighted mean of the parts that both sides have, from columns s_street, street, s_area, area_sqm, ... ."""
-    share = lambda a, b, most: F.when((F.col(a) - F.col(b)).isNotNull(), F.greatest(F.lit(0.0), 1 - F.abs(F.col(a) - F.col(b)) / most))
-    parts = {
-        "address": F.when(F.col("s_street") == F.col("street"), 1.0).otherwise(F.when(F.col("street").isNotNull() & F.col("s_street").isNotNull(), 0.5)),
-        "area": share("area_sqm", "s_area", F.col("s_area")), "rooms": share("rooms", "s_rooms", F.lit(3.0)), "floor": share("floor", "s_floor", F.lit(10.0)),
-    }
-    top = sum((F.coalesce(w * parts[k], F.lit(0.0)) for k, w in weights.items()), F.lit(0.0))
-    have = sum((F.when(parts[k].isNotNull(), w).otherwise(0.0) for k, w in weights.items()), F.lit(0.0))
-    return F.when(have > 0, top / have)
-
-
 def as_subjects(df: DataFrame) -> DataFrame:
-    names = {"area_sqm": "s_area", "rooms": "s_rooms", "floor": "s_floor", "street": "s_street"}
+    names = {"area_sqm": "s_area", "rooms": "s_rooms", "floor": "s_floor", "address": "s_address"}
     return df.select("listing_id", "neighborhood_id", *[F.col(a).alias(b) for a, b in names.items()])
 
 
-def similar_active(offers: DataFrame, most: int = 20) -> DataFrame:
-    """The most alike offers of the same place: area within a quarter, rooms within one, a price, and not the subject."""
-    other = offers.select(F.col("listing_id").alias("other_id"), "neighborhood_id", "area_sqm", "rooms", "floor", "street", "asking_price").filter("asking_price IS NOT NULL")
-    pairs = band_join(as_subjects(offers), other).filter((F.col("other_id") != F.col("listing_id")) & (F.coalesce(F.abs(F.col("rooms") - F.col("s_rooms")), F.lit(0)) <= 1))
-    scored = pairs.withColumn("similarity", F.round(likeness(OFFER_WEIGHTS), 12))
-    order = Window.partitionBy("listing_id").orderBy(F.col("similarity").desc(), "other_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("listing_id", "other_id", "rank", "similarity", "asking_price", "area_sqm")
+def similar_active(offers: DataFrame) -> DataFrame:
+    """The 20 most alike offers of the same place that pass the gates: area within a quarter, rooms within one, a price."""
+    other = offers.select(F.col("listing_id").alias("id"), "neighborhood_id", "area_sqm", "rooms", "floor", "address", "asking_price", "days").filter("asking_price > 0")
+    top = most_alike(as_subjects(offers), other, OFFERS, OFFERS.most, peers=True).filter(F.col("similarity") >= OFFERS.least)
+    return top.select("listing_id", F.col("id").alias("other_id"), "rank", "relation", "similarity", "asking_price", "area_sqm", "days")
+
+
+def similar_market(offers: DataFrame, similar: DataFrame) -> DataFrame:
+    """Each offer against the similar ones: their number, medians, its percentile among their prices and its distance to
+    the median, with status and confidence.  At most twenty rows a subject, so plain medians do."""
+    s = similar.join(offers.select("listing_id", F.col("asking_price").alias("ask")), "listing_id")
+    med = lambda c: F.percentile(c, F.lit(0.5))
+    own = F.when(F.col("ask") > 0, F.col("ask"))
+    m = s.groupBy("listing_id").agg(
+        F.count("*").alias("n"), F.avg("similarity").alias("mean"), med(F.col("asking_price")).alias("ask_mid"), med(F.when(F.col("area_sqm") > 0, F.col("asking_price") / F.col("area_sqm"))).alias("unit_mid"),
+        med(F.col("days")).alias("days_mid"), F.count_if(F.col("asking_price") <= own).alias("up_to"))
+    n = F.coalesce("n", F.lit(0))
+    return offers.join(m, "listing_id", "left").select(
+        "listing_id", n.alias("inventory"), F.round("ask_mid", 2).alias("median_ask"), F.round("unit_mid", 4).alias("median_ask_sqm"), F.round("days_mid", 2).alias("median_days"),
+        F.when(F.col("asking_price") > 0, round_half_up(100 * F.col("up_to") / F.col("n"), 1)).alias("percentile"), F.when(F.col("asking_price") > 0, round_half_up(100 * (F.col("asking_price") - F.col("ask_mid")) / F.col("ask_mid"), 2)).alias("delta_pct"),
+        F.when((n >= 5) & (F.col("mean") >= 0.7), "supported").when(n > 0, "provisional").otherwise("insufficient_evidence").alias("status"),
+        F.when(n > 0, round_half_up(F.least(F.lit(0.82), 0.18 + F.least(n, F.lit(10)) * 0.055 + F.col("mean") * 0.18), 3)).alias("confidence"))
+
+
+def _gate_reasons() -> Column:
+    c = F.col
+    ratio, rooms = c("area_sqm") / c("s_area"), F.abs(c("rooms") - c("s_rooms"))
+    area = F.when(c("s_area") > 0, F.when(~F.coalesce(c("area_sqm") > 0, F.lit(False)), "missing_area").when(~ratio.between(1 - OFFERS.area_gate, 1 + OFFERS.area_gate), "area_outside_25pct_band"))
+    room = F.when(c("s_rooms").isNotNull(), F.when(c("rooms").isNull(), "missing_rooms").when(rooms > OFFERS.rooms_gate, "rooms_outside_1_room_band"))
+    return F.array_join(F.array_compact(F.array(area, room, F.when(~c("priced"), "missing_asking_price"))), ",")
+
+
+def _rejections(offers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Offers by their features, and pairs of a subject's features with those that a gate turns away."""
+    theirs = ["area_sqm", "rooms", "priced"]
+    o = offers.withColumn("priced", F.coalesce(F.col("asking_price") > 0, F.lit(False)))
+    o = o.withColumn("feature", F.xxhash64("neighborhood_id", F.to_json(F.struct(*theirs)))).withColumn("own", F.xxhash64("neighborhood_id", F.to_json(F.struct("area_sqm", "rooms"))))
+    s = o.groupBy("neighborhood_id", "own").agg(F.first("area_sqm").alias("s_area"), F.first("rooms").alias("s_rooms"))
+    f = o.groupBy("neighborhood_id", "feature").agg(*[F.first(c).alias(c) for c in theirs], F.count("*").alias("members"))
+    return o, s.join(f, "neighborhood_id").withColumn("reasons", _gate_reasons()).filter("reasons <> ''")
+
+
+def rejection_counts(offers: DataFrame) -> DataFrame:
+    """How many of its place's other offers the gates turn away for each offer, by all reasons that hold.
+
+    Features (area, rooms, priced) meet features, not offers offers; an offer without a price is not counted as its own.
+    """
+    o, pairs = _rejections(offers)
+    counts = pairs.groupBy("own", "reasons").agg(F.sum("members").alias("n"))
+    own = o.select("listing_id", "own", F.when(~F.col("priced"), "missing_asking_price").alias("self"))
+    return own.join(counts, "own").withColumn("n", F.col("n") - F.when(F.col("self") == F.col("reasons"), 1).otherwise(0)).filter("n > 0").select("listing_id", "reasons", "n")
 
 
 def rejected_offers(offers: DataFrame, most: int = 20) -> DataFrame:
-    """Offers in the place's area band that a gate turns away, nearest areas first, with every reason."""
-    other = offers.select(F.col("listing_id").alias("other_id"), "neighborhood_id", "area_sqm", "rooms", "asking_price")
-    pairs = band_join(as_subjects(offers), other, 0.4).filter(F.col("other_id") != F.col("listing_id"))
+    """Of all offers of the place that a gate turns away, those nearest in area (unknown areas last), with every reason."""
+    o, pairs = _rejections(offers)
     gap = F.abs(F.col("area_sqm") - F.col("s_area"))
-    reasons = F.array_compact(F.array(F.when(gap > 0.25 * F.col("s_area"), "area"), F.when(F.abs(F.col("rooms") - F.col("s_rooms")) > 1, "rooms"), F.when(F.col("asking_price").isNull(), "no_price")))
-    order = Window.partitionBy("listing_id").orderBy("gap", "other_id")
-    out = pairs.withColumn("reasons", reasons).filter(F.size("reasons") > 0).withColumn("gap", gap).withColumn("rank", F.row_number().over(order))
-    return out.filter(F.col("rank") <= most).select("listing_id", "other_id", "rank", F.array_join("reasons", ",").alias("reasons"))
+    near = Window.partitionBy("own").orderBy(F.col("gap").asc_nulls_last())
+    # Features in order of their distance until the members suffice; one more, for the subject may be among them.
+    few = pairs.withColumn("gap", gap).withColumn("before", F.sum("members").over(near) - F.sum("members").over(Window.partitionBy("own", "gap"))).filter(F.col("before") <= most)
+    rows = o.select("listing_id", "own").join(few.select("own", "feature", "gap", "reasons"), "own").join(o.select(F.col("listing_id").alias("other_id"), "feature"), "feature").filter("other_id <> listing_id")
+    order = Window.partitionBy("listing_id").orderBy(F.col("gap").asc_nulls_last(), "other_id")
+    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("listing_id", "other_id", "rank", "reasons")
 
 
 def active_market_summary(offers: DataFrame) -> DataFrame:
@@ -102,11 +118,13 @@ def listing_benchmarks(asked: DataFrame, comps: DataFrame) -> DataFrame:
         F.round(100 * F.col("up_to") / F.col("total"), 6).alias("percentile"))
 
 
-def similar_sales(subjects: DataFrame, sales: DataFrame, least: float = 0.6, most: int = 24) -> DataFrame:
-    """Past sales alike each subject, the best first, distinct sales only."""
-    pairs = band_join(as_subjects(subjects), sales).withColumn("similarity", F.round(likeness(SALE_WEIGHTS), 12)).filter(F.col("similarity") >= least)
-    order = Window.partitionBy("listing_id").orderBy(F.col("similarity").desc(), F.col("deal_date").desc(), "transaction_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("listing_id", "transaction_id", "rank", "similarity", F.round(F.col("similarity") * F.col("similarity"), 12).alias("weight"), "deal_date", "pp_sqm")
+def similar_sales(subjects: DataFrame, sales: DataFrame, as_of: dt.date, years: int = 5) -> DataFrame:
+    """The 24 past sales of ``years`` most alike each subject, behind gates of area and rooms; of equal sales one counts."""
+    recent = sales.filter((F.col("deal_date") >= F.add_months(F.lit(as_of), -12 * years)) & (F.col("amount") > 0) & (F.col("pp_sqm") > 0))
+    once = recent.groupBy("neighborhood_id", "deal_date", "amount", "area_sqm", "rooms", "floor").agg(F.min(F.struct(F.col("transaction_id").alias("id"), "address", "pp_sqm")).alias("one"))
+    once = once.select("neighborhood_id", "deal_date", "amount", "area_sqm", "rooms", "floor", "one.*")
+    top = most_alike(as_subjects(subjects), once, SALES, SALES.most, ties=(F.col("deal_date").desc(),)).filter(F.col("similarity") >= SALES.least)
+    return top.select("listing_id", F.col("id").alias("transaction_id"), "rank", "relation", "similarity", "deal_date", "pp_sqm")
 
 
 def historical_trend(comps: DataFrame) -> DataFrame:

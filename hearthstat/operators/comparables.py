@@ -1,16 +1,51 @@
-"""Comparables for all subjects at once: an equi-join on place and a logarithmic band of area, then exact gates and top-k."""
+"""The most alike sales or offers of every subject at once, and what a subject is worth by them.
+
+Candidates of a subject lie in its place; their number grows with the place, so pairs are not formed and then ranked.
+Candidates fall into cells of like features (area, rooms, floor, age), each with the least and greatest value of its
+members, and so do subjects.  From these intervals follow an upper and a lower bound of the similarity of any pair of
+two cells.  Cells are taken best first: the k-th best lower bound, by the number of members, is a floor that no needed
+pair can fall under, so only cells whose upper bound reaches it go on, first as coarse cells on both sides, then
+as fine cells against exact subjects, and only what is left is paired row by row.  The result is that of all pairs.
+
+A place's cells are as many as its distinct features, whatever the number of its rows.  Candidates on a subject's own
+street are searched apart (their address counts more), by the same cells within the street.
+"""
 
 from __future__ import annotations
 
 import datetime as dt
 import math
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearthstat.functions.clean import haversine_km, normalize_address, street_key
+
 BAND = math.log(1.25)
 
 
+@dataclass(frozen=True)
+class Likeness:
+    """Fixed weights of the parts of a similarity, scores of how addresses relate, and gates that a candidate must pass."""
+
+    weights: dict[str, float]
+    relations: dict[str, float]
+    least: float
+    most: int
+    area_gate: float | None = None  # part of the subject's area
+    rooms_gate: float | None = None
+    near_km: float | None = None
+
+
+#: Fixed scores of how a comparable lies to its subject, nearest first.
+RELATIONS = {"same_building": 1.0, "same_street": 0.92, "nearby": 0.82, "same_neighborhood": 0.68, "fallback": 0.45}
+VALUATION = Likeness({"relation": 0.35, "area": 0.30, "rooms": 0.15, "floor": 0.05, "recency": 0.15}, RELATIONS, 0.55, 12, near_km=1.2)
+OFFERS = Likeness({"relation": 0.25, "area": 0.40, "rooms": 0.25, "floor": 0.10}, RELATIONS | {"same_street": 0.90}, 0.55, 20, 0.25, 1)
+SALES = Likeness({"relation": 0.35, "area": 0.35, "rooms": 0.20, "floor": 0.10}, RELATIONS, 0.60, 24, 0.25, 1)
+REJECTED = 20
+
+
 def band_join(subjects: DataFrame, comps: DataFrame, width: float = 0.25) -> DataFrame:
     """Pairs of one place whose areas differ by up to ``width`` of the subject's; bands make it an equi-join."""
     step = -math.log(1 - width)
@@ -20,25 +55,175 @@ def band_join(subjects: DataFrame, comps: DataFrame, width: float = 0.25) -> Dat
     return pairs.filter(F.col("area_sqm").between(F.col("s_area") * (1 - width), F.col("s_area") * (1 + width))).drop("band")
 
 
-def similarity(pairs: DataFrame, as_of: dt.date) -> DataFrame:
-    """Weighted mean of the parts that both sides have: area .30, rooms .15, floor .05, recency .15."""
-    years = F.datediff(F.lit(as_of), "deal_date") / 365.25
-    parts = [
-        (0.30, F.greatest(F.lit(0.0), 1 - F.abs(F.col("area_sqm") - F.col("s_area")) / F.col("s_area") / 0.5)),
-        (0.15, F.greatest(F.lit(0.0), 1 - F.abs(F.col("rooms") - F.col("s_rooms")) / 3)),
-        (0.05, F.greatest(F.lit(0.0), 1 - F.abs(F.col("floor") - F.col("s_floor")) / 10)),
-        (0.15, F.exp(-years / 3)),
-    ]
-    known = [F.when(F.col(c).isNotNull(), p) for c, (_, p) in zip(("area_sqm", "rooms", "floor", "deal_date"), parts, strict=True)]
-    top = sum((F.coalesce(w * p, F.lit(0.0)) for (w, _), p in zip(parts, known, strict=True)), F.lit(0.0))
-    weight = sum((F.when(p.isNotNull(), w).otherwise(0.0) for (w, _), p in zip(parts, known, strict=True)), F.lit(0.0))
-    return pairs.withColumn("similarity", F.when(weight > 0, top / weight))
-
-
-def valuation_range(subjects: DataFrame, comps: DataFrame, as_of: dt.date, least: float = 0.55, most: int = 12) -> DataFrame:
-    """Quartiles of the unit prices of the most similar sales, times the subject's area; at least three sales."""
-    scored = similarity(band_join(subjects, comps), as_of).filter(F.col("similarity") >= least)
-    order = Window.partitionBy("listing_id").orderBy(F.round("similarity", 9).desc(), F.col("deal_date").desc(), "transaction_id")
-    top = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
-    q = lambda p: F.round(F.when(F.count("*") >= 3, F.percentile("pp_sqm", F.lit(p)) * F.first("s_area")), 2)
-    return top.groupBy("listing_id").agg(F.count("*").alias("sample_count"), q(0.25).alias("low"), q(0.5).alias("base"), q(0.75).alias("high"))
+def address_relation(pairs: DataFrame, scores: dict[str, float] = RELATIONS, km: float | None = 1.2) -> DataFrame:
+    """``relation`` and its score of pairs that hold both sides' address, place and (for ``km``) lon and lat; the first that holds."""
+    a, b = normalize_address(F.col("s_address")), normalize_address(F.col("address"))
+    relation = F.when((a == b) & (a != ""), "same_building").when((street_key(a) == street_key(b)) & (street_key(a) != ""), "same_street")
+    if km is not None:
+        relation = relation.when(haversine_km(F.col("s_lon"), F.col("s_lat"), F.col("lon"), F.col("lat")) <= km, "nearby")
+    relation = relation.when(F.col("s_place") == F.col("place"), "same_neighborhood").otherwise("fallback")
+    return pairs.withColumn("relation", relation).withColumn("relation_score", F.element_at(F.create_map(*[F.lit(x) for p in scores.items() for x in p]), F.col("relation")))
+
+
+def _mean(like: Likeness, parts: dict[str, Column]) -> Column:
+    """Weighted mean of the parts that both sides have, each held between 0 and 1."""
+    weights = {k: w for k, w in like.weights.items() if k in parts}
+    # greatest and least pass over NULL, so a missing part is asked for first
+    top = sum((F.when(parts[k].isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), parts[k])) * w).otherwise(0.0) for k, w in weights.items()), F.lit(0.0))
+    return top / sum((F.when(parts[k].isNotNull(), w).otherwise(0.0) for k, w in weights.items()), F.lit(0.0))
+
+
+def similarity(like: Likeness, relation: Column) -> Column:
+    """Of one pair: columns s_area, area_sqm, s_rooms, rooms, s_floor, floor and age, the candidate's days."""
+    gap = lambda a, b: F.abs(F.col(a) - F.col(b))
+    return _mean(like, {
+        "relation": relation, "area": 1 - gap("s_area", "area_sqm") / F.greatest(F.col("s_area"), F.lit(1.0)), "rooms": 1 - gap("s_rooms", "rooms") / F.greatest(F.col("s_rooms").cast("double"), F.lit(1.0)),
+        "floor": 1 - gap("s_floor", "floor") / 10.0, "recency": F.exp(-F.col("age") / (365 * 3)),
+    })
+
+
+def _bound(like: Likeness, upper: bool) -> Column:
+    """The greatest (or least) similarity that a pair of two cells can have."""
+    c = F.col
+
+    def gap(s: str, o: str) -> Column:
+        far = F.greatest(c(f"{o}_hi") - c(f"{s}_lo"), c(f"{s}_hi") - c(f"{o}_lo"))
+        near = F.greatest(c(f"{o}_lo") - c(f"{s}_hi"), c(f"{s}_lo") - c(f"{o}_hi"), F.lit(0.0))
+        both = c(f"{o}_lo").isNotNull() & c(f"{s}_lo").isNotNull()
+        return F.when(both, near if upper else far)
+
+    r = like.relations
+    own, elsewhere = (r["same_building"], r["nearby"] if like.near_km else r["same_neighborhood"]) if upper else (r["same_street"], r["same_neighborhood"])
+    scale = lambda s: F.greatest(c(f"{s}_hi" if upper else f"{s}_lo").cast("double"), F.lit(1.0))
+    return _mean(like, {
+        "relation": F.when(c("street") != "", own).otherwise(elsewhere), "area": 1 - gap("s_area", "area_sqm") / scale("s_area"), "rooms": 1 - gap("s_rooms", "rooms") / scale("s_rooms"),
+        "floor": 1 - gap("s_floor", "floor") / 10.0, "recency": F.exp(-c("age_lo" if upper else "age_hi") / (365 * 3)),
+    })
+
+
+def _gates(like: Likeness, every: bool) -> Column:
+    """Whether any pair of two cells (or every one) passes the gates."""
+    c, out = F.col, F.lit(True)
+    if like.area_gate is not None:
+        low, high = 1 - like.area_gate, 1 + like.area_gate
+        a, b = ("_lo", "_hi") if every else ("_hi", "_lo")
+        within = (c(f"area_sqm{a}") >= low * c(f"s_area{'_hi' if every else '_lo'}")) & (c(f"area_sqm{b}") <= high * c(f"s_area{'_lo' if every else '_hi'}"))
+        out = out & (c("s_area_lo").isNull() | F.coalesce(within, F.lit(False)))
+    if like.rooms_gate is not None:
+        near = F.abs(c("rooms_lo") - c("s_rooms_lo")) <= like.rooms_gate  # a cell has one number of rooms
+        out = out & (c("s_rooms_lo").isNull() | F.coalesce(near, F.lit(False)))
+    return out
+
+
+def _cells(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    spread = [f(v).cast("double").alias(f"{v}_{n}") for v in values for f, n in ((F.min, "lo"), (F.max, "hi"))]
+    return df.groupBy(*keys).agg(*spread, F.count("*").alias("members"))
+
+
+def _floor(pairs: DataFrame, like: Likeness, subject: list[str], k: int) -> DataFrame:
+    """The pairs of cells that can hold one of a subject's k best."""
+    b = pairs.filter(_gates(like, False)).withColumn("upper", _bound(like, True)).withColumn("lower", _bound(like, False))
+    sure = F.when(_gates(like, True), F.col("members")).otherwise(0)
+    best = Window.partitionBy(*subject).orderBy(F.col("lower").desc())
+    b = b.withColumn("ahead", F.sum(sure).over(best)).withColumn("floor_at", F.max(F.when(F.col("ahead") >= k, F.col("lower"))).over(Window.partitionBy(*subject)))
+    return b.filter(F.col("upper") >= F.coalesce("floor_at", F.lit(-1.0)) - 1e-9)
+
+
+def most_alike(subjects: DataFrame, candidates: DataFrame, like: Likeness, k: int, as_of: dt.date | None = None, ties: tuple[Column, ...] = (), peers: bool = False) -> DataFrame:
+    """The k most alike candidates of each subject that pass the gates: relation, similarity and rank beside both sides' columns.
+
+    Subjects: listing_id, neighborhood_id, s_address, s_area, s_rooms, s_floor (s_lon, s_lat for ``near_km``).  Candidates:
+    id, neighborhood_id, address, area_sqm, rooms, floor (deal_date; lon, lat).  ``peers``: candidates are
+    subjects too, and none is its own.  Missing rooms, floors, areas and dates leave their part out, or fail its gate.  Ties of similarity go by
+    ``ties``, then by id.
+    """
+    place, room = F.col("neighborhood_id"), lambda c: F.coalesce(F.col(c).cast("double"), F.lit(-1.0))
+    some = lambda c: F.when(F.col(c) > 0, F.col(c))
+    bucket = lambda c, step: F.when(F.col(c).isNull(), -1).otherwise(F.floor(F.log(F.greatest(F.col(c).cast("double"), F.lit(1.0))) / math.log1p(step)))
+    age = F.when(F.col("deal_date").isNotNull(), F.greatest(F.lit(0), F.datediff(F.lit(as_of), "deal_date"))) if as_of else F.lit(None).cast("int")
+    cand = candidates.filter(place.isNotNull()).withColumn("age", age).withColumn("area_sqm", some("area_sqm")).withColumn("own_street", F.coalesce(street_key(normalize_address(F.col("address"))), F.lit("")))
+    subj = subjects.filter(place.isNotNull()).withColumn("s_area", some("s_area")).withColumn("s_street", F.coalesce(street_key(normalize_address(F.col("s_address"))), F.lit("")))
+    known = lambda c: F.col(c).isNotNull()
+    days = lambda n: F.when(F.col("age").isNull(), -1).otherwise(F.floor(F.least(F.col("age"), F.lit(7300)) / n))
+    # A row stands in its place and once more in its street.
+    both = lambda df, street: df.withColumn("street", F.explode(F.when(F.col(street) != "", F.array(F.lit(""), F.col(street))).otherwise(F.array(F.lit("")))))
+    coarse = both(cand, "own_street").withColumn("c1", F.xxhash64("neighborhood_id", "street", bucket("area_sqm", 0.1), room("rooms"), known("floor"), days(182)))
+    rows = coarse.withColumn("c2", F.xxhash64("c1", bucket("area_sqm", 0.01), F.coalesce(F.col("floor"), F.lit(-999)), days(30)))
+    mine = both(subj, "s_street").withColumn("s1", F.xxhash64("neighborhood_id", "street", bucket("s_area", 0.1), room("s_rooms"), known("s_floor")))
+    mine = mine.withColumn("s2", F.xxhash64("s1", "s_area", "s_floor"))
+    own, theirs, scope = ["s_area", "s_rooms", "s_floor"], ["area_sqm", "rooms", "floor", "age"], ["neighborhood_id", "street"]
+    k1 = k + peers
+    first = _floor(_cells(mine, [*scope, "s1"], own).drop("members").join(_cells(rows, [*scope, "c1"], theirs), scope), like, ["s1"], k1).select("s1", "c1")
+    pairs = first.join(_cells(mine, ["street", "s1", "s2"], own).drop("members"), "s1").join(_cells(rows, ["c1", "c2"], theirs), "c1")
+    second = _floor(pairs, like, ["s2"], k1).select("s2", "c2")
+    found = mine.drop("s1").withColumnRenamed("neighborhood_id", "s_place").join(second, "s2").join(rows.drop("c1", "street"), "c2").filter(F.col("s_place") == place)
+    found = found.filter(F.col("id") != F.col("listing_id")) if peers else found
+    found = found.filter((F.col("street") != "") | (F.col("s_street") != F.col("own_street")) | (F.col("s_street") == ""))
+    if like.area_gate is not None:
+        found = found.filter(F.col("s_area").isNull() | F.coalesce((F.col("area_sqm") / F.col("s_area")).between(1 - like.area_gate, 1 + like.area_gate), F.lit(False)))
+    if like.rooms_gate is not None:
+        found = found.filter(F.col("s_rooms").isNull() | F.coalesce(F.abs(F.col("rooms") - F.col("s_rooms")) <= like.rooms_gate, F.lit(False)))
+    scored = address_relation(found.withColumn("place", place), like.relations, like.near_km)
+    scored = scored.withColumn("similarity", F.round(similarity(like, F.col("relation_score")), 12))
+    order = Window.partitionBy("listing_id").orderBy(F.col("similarity").desc(), *ties, "id")
+    ranked = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.drop("c2", "s2", "street", "s_street", "own_street", "s_place", "place", "relation_score")
+
+
+def round_half_up(c: Column, digits: int = 0) -> Column:
+    """Halves upwards, also below zero."""
+    return F.floor(c * 10**digits + 0.5) / 10**digits
+
+
+def relation_counts(subjects: DataFrame, sales: DataFrame) -> DataFrame:
+    """How many of its place's sales relate to each subject in each way: sites (address and point) meet sites, not rows rows."""
+    site = lambda *c: F.xxhash64("neighborhood_id", F.to_json(F.struct(*c)))
+    s = subjects.withColumn("site", site("s_address", "s_lon", "s_lat"))
+    mine = s.groupBy("neighborhood_id", "site").agg(*[F.first(c).alias(c) for c in ("s_address", "s_lon", "s_lat")])
+    theirs = sales.groupBy("neighborhood_id", "address", "lon", "lat").agg(F.count("*").alias("members"))
+    pairs = address_relation(mine.join(theirs, "neighborhood_id").withColumn("s_place", F.col("neighborhood_id")).withColumn("place", F.col("neighborhood_id")))
+    counts = pairs.groupBy("site", "relation", "relation_score").agg(F.sum("members").alias("n"))
+    return s.select("listing_id", "site").join(counts, "site").drop("site")
+
+
+def valuation_rows(subjects: DataFrame, sales: DataFrame, as_of: dt.date, years: int = 5, like: Likeness = VALUATION) -> DataFrame:
+    """Each subject's selected comparables and the best ones not selected, with reasons and weights.
+
+    Sales of the last ``years``; of sales that agree in place, date, amount, area, rooms and floor one counts.  Selected:
+    the ``most`` most alike of at least ``least``.  Then up to 20 others, which are either too unlike or beyond the number.
+    """
+    recent = sales.filter((F.col("deal_date") >= F.add_months(F.lit(as_of), -12 * years)) & (F.col("amount") > 0) & (F.col("pp_sqm") > 0))
+    once = recent.groupBy("neighborhood_id", "deal_date", "amount", "area_sqm", "rooms", "floor").agg(
+        F.min(F.struct(F.col("transaction_id").alias("id"), "address", "pp_sqm", "lon", "lat")).alias("one"))
+    once = once.select("neighborhood_id", "deal_date", "amount", "area_sqm", "rooms", "floor", "one.*")
+    top = most_alike(subjects, once, like, like.most + REJECTED, as_of, (F.col("deal_date").desc(),))
+    selected = (F.col("similarity") >= like.least) & (F.col("rank") <= like.most)
+    numbered = top.withColumn("selected", selected).withColumn("n_selected", F.count_if("selected").over(Window.partitionBy("listing_id")))
+    shown = numbered.filter(F.col("rank") <= F.col("n_selected") + REJECTED)
+    area = F.abs(F.col("s_area") - F.col("area_sqm")) / F.greatest(F.col("s_area"), F.lit(1.0)) <= 0.2
+    why = F.array_compact(F.array(F.replace(F.col("relation"), F.lit("_"), F.lit(" ")), F.when(area, "similar area"), F.when(F.abs(F.col("s_rooms") - F.col("rooms")) <= 1, "similar room count")))
+    none = F.array().cast("array<string>")
+    return shown.select(
+        "listing_id", F.col("id").alias("transaction_id"), "rank", "selected", "relation", "similarity", F.when(F.col("selected"), F.round(F.col("similarity") * F.col("similarity"), 4)).otherwise(0.0).alias("weight"),
+        F.when(F.col("selected"), why).otherwise(none).alias("selection_reasons"), F.when(F.col("similarity") < like.least, F.array(F.lit("similarity below selection threshold"))).otherwise(none).alias("rejection_reasons"),
+        "deal_date", "amount", "pp_sqm", "area_sqm", "rooms", "floor",
+    )
+
+
+def valuation_range(subjects: DataFrame, rows: DataFrame) -> DataFrame:
+    """Every subject's range from its selected comparables (``valuation_rows``): quartiles of their unit prices times its
+    area, the discount of its asking price to the base, confidence and status.  Nothing selected: NULL figures."""
+    p = F.col("pp_sqm")
+    q = lambda x: F.percentile(p, F.lit(x))  # noqa: E731  of twelve rows at most
+    sel = rows.filter("selected").groupBy("listing_id").agg(
+        F.count("*").alias("n"), q(0.25).alias("p25"), q(0.5).alias("p50"), q(0.75).alias("p75"), F.avg("similarity").alias("mean"),
+        F.count_if(F.col("relation").isin("same_building", "same_street")).alias("close"), F.min_by("deal_date", "rank").alias("observed_at"),
+    )
+    n, area, ask = F.coalesce("n", F.lit(0)), F.when(F.col("s_area") > 0, F.col("s_area")), F.col("asking_price")
+    base = F.col("p50") * area
+    conf = F.least(F.lit(0.92), F.least(n, F.lit(10)) / 10 * 0.55 + F.col("mean") * 0.25 + F.least(F.col("close"), F.lit(3)) * 0.04)
+    return subjects.join(sel, "listing_id", "left").select(
+        "listing_id", n.alias("sample_count"), *[round_half_up(F.col(c) * area).alias(name) for c, name in (("p25", "low"), ("p50", "base"), ("p75", "high"))], round_half_up(F.col("p50")).alias("base_sqm"),
+        F.when((base > 0) & (ask > 0), round_half_up(100 * (base - ask) / base, 2)).alias("discount_pct"), F.when(n > 0, round_half_up(conf, 3)).alias("confidence"),
+        F.when(n >= 3, "supported").when(n > 0, "provisional").otherwise("insufficient_evidence").alias("status"), "observed_at",
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hearthstat.functions import clean
-from hearthstat.operators import appraisal, comparables, identity, lifecycle, market, quality, scenarios, scoring, spatial
+from hearthstat.operators import appraisal, identity, lifecycle, market, quality, scenarios, scoring, spatial
 from hearthstat.plans.bindings import LISTING_AS_OF, TX_AS_OF
 from hearthstat.plans.catalog import BOUNDS, comps, query
 from hearthstat.sources import landing
@@ -149,18 +149,6 @@ def place_percentiles(t):
     return scoring.percentile_rank(m.withColumn("peers", F.lit(1)), "m", ["peers"]).select("neighborhood_id", "city_id", F.round("m", 4).alias("median_pp_sqm"), F.round("percentile", 6).alias("percentile"))
 
 
-@query("""WITH {B}, s AS (SELECT listing_id, neighborhood_id, area_sqm AS s_area, rooms AS s_rooms, floor AS s_floor FROM listings WHERE status = 'active'),
-  j AS (SELECT *, (0.30 * greatest(0, 1 - abs(area_sqm - s_area) / s_area / 0.5) + coalesce(0.15 * greatest(0, 1 - abs(rooms - s_rooms) / 3), 0) + 0.05 * greatest(0, 1 - abs(floor - s_floor) / 10)
-    + 0.15 * exp(-date_diff('day', deal_date, DATE '2001-08-02') / 365.25 / 3)) / (0.5 + CASE WHEN rooms IS NOT NULL THEN 0.15 ELSE 0 END) AS sim
-    FROM s JOIN comps USING (neighborhood_id) WHERE area_sqm BETWEEN s_area * 0.75 AND s_area * 1.25),
-  r AS (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY round(sim, 9) DESC, deal_date DESC, transaction_id) AS n FROM j WHERE sim >= 0.55)
-  SELECT listing_id, count(*) AS sample_count, round(CASE WHEN count(*) >= 3 THEN quantile_cont(pp_sqm, 0.25) * any_value(s_area) END, 2) AS low, round(CASE WHEN count(*) >= 3 THEN quantile_cont(pp_sqm, 0.5) * any_value(s_area) END, 2) AS base,
-  round(CASE WHEN count(*) >= 3 THEN quantile_cont(pp_sqm, 0.75) * any_value(s_area) END, 2) AS high FROM r WHERE n <= 12 GROUP BY 1""")
-def valuation_range(t):
-    s = t.listings().filter("status = 'active'").select("listing_id", "neighborhood_id", F.col("area_sqm").alias("s_area"), F.col("rooms").alias("s_rooms"), F.col("floor").alias("s_floor"))
-    return comparables.valuation_range(s, comps(t), TX_AS_OF)
-
-
 def _polygons(t):
     n = F.col("n_nationkey")
     x, y = F.lit(34.0) + 0.2 * (n % 5), F.lit(31.0) + 0.2 * F.floor(n / 5)
