@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthstat.functions.clean import discount_pct, median_of, pct_change
+from hearthstat.functions.clean import median_of, pct_change
 from hearthstat.operators import ranks
 from hearthstat.operators.comparables import OFFERS, SALES, band_join, most_alike, round_half_up
 
@@ -103,21 +103,6 @@ def active_market_summary(offers: DataFrame) -> DataFrame:
         F.round(100 * F.col("up_to") / F.col("total"), 6).alias("percentile"), F.round(pct_change(F.col("unit"), F.col("median_unit")), 6).alias("delta_pct"))
 
 
-def listing_benchmarks(asked: DataFrame, comps: DataFrame) -> DataFrame:
-    """Asking unit prices (listing_id, neighborhood_id, pp_sqm) against the place's executed ones: discount to the median and percentile.
-
-    Both lie in one ranked table in which only sales weigh, so there is no join of offers with sales.
-    """
-    place = ["neighborhood_id"]
-    sold = comps.filter(F.col("neighborhood_id").isNotNull()).select("neighborhood_id", "pp_sqm")
-    both = sold.withColumn("w", F.lit(1)).unionByName(asked.select("neighborhood_id", "pp_sqm").withColumn("w", F.lit(0)))
-    base = ranks.quantile(ranks.up_to(sold, place, "pp_sqm", F.lit(1)), place, "pp_sqm")
-    r = asked.join(ranks.up_to(both, place, "pp_sqm", F.col("w")).drop("total"), [*place, "pp_sqm"]).join(base, place)
-    return r.select(
-        "listing_id", "neighborhood_id", F.round("pp_sqm", 4).alias("ask_sqm"), F.round("quantile", 4).alias("base_sqm"), F.round(discount_pct(F.col("pp_sqm"), F.col("quantile")), 6).alias("discount_pct"), F.col("total").alias("sample_count"),
-        F.round(100 * F.col("up_to") / F.col("total"), 6).alias("percentile"))
-
-
 def similar_sales(subjects: DataFrame, sales: DataFrame, as_of: dt.date, years: int = 5) -> DataFrame:
     """The 24 past sales of ``years`` most alike each subject, behind gates of area and rooms; of equal sales one counts."""
     recent = sales.filter((F.col("deal_date") >= F.add_months(F.lit(as_of), -12 * years)) & (F.col("amount") > 0) & (F.col("pp_sqm") > 0))

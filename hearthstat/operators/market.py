@@ -51,24 +51,6 @@ def market_confidence(comps: DataFrame, as_of: dt.date) -> DataFrame:
     ).withColumn("confidence", sample_label(F.col("sample_count")))
 
 
-def periods_monthly(comps: DataFrame, snaps: DataFrame, listings: DataFrame) -> DataFrame:
-    """Month by place: executed medians and quartiles beside the median of each listing's last asking price in that month."""
-    p = F.col("pp_sqm")
-    sold = comps.filter(F.col("neighborhood_id").isNotNull()).groupBy("neighborhood_id", F.trunc("deal_date", "MM").alias("month")).agg(
-        F.count("*").alias("executed_count"), F.round(median_of(p), 4).alias("median_pp_sqm"), F.round(median_of(p, q=0.25), 4).alias("p25_pp_sqm"), F.round(median_of(p, q=0.75), 4).alias("p75_pp_sqm")
-    )
-    last = snaps.groupBy("listing_id", F.trunc("observed_at", "MM").alias("month")).agg(F.max_by("asking_price", "sequence").alias("asking_price"))
-    asked = last.join(listings.select("listing_id", "neighborhood_id", "area_sqm"), "listing_id").groupBy("neighborhood_id", "month").agg(
-        F.count("*").alias("listing_count"), F.round(median_of(F.col("asking_price") / F.col("area_sqm")), 4).alias("median_ask_sqm")
-    )
-    out = sold.join(asked, ["neighborhood_id", "month"], "full")
-    n = lambda c: F.coalesce(c, F.lit(0))
-    return out.select(
-        "neighborhood_id", "month", n("executed_count").alias("executed_count"), "median_pp_sqm", "p25_pp_sqm", "p75_pp_sqm", n("listing_count").alias("listing_count"), "median_ask_sqm",
-        F.round(F.least(n("executed_count") / 15, F.lit(1.0)), 6).alias("transaction_confidence"), F.round(F.least(n("listing_count") / 10, F.lit(1.0)), 6).alias("listing_confidence"),
-    )
-
-
 def place_trend(comps: DataFrame, as_of: dt.date) -> DataFrame:
     """Median unit prices 0-12, 12-24 and 24-36 months back and the changes between them."""
     d = F.col("deal_date")

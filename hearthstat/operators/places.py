@@ -16,18 +16,6 @@ from hearthstat.operators.scoring import WEIGHTS
 COMPONENTS = {"change_1y": ("market", True), "gross_yield_pct": ("rental", True), "expansion": ("renewal", True), "employment_pct": ("demographics", True), "growth_pct": ("demographics", True), "median_pp_sqm": ("supply", False)}
 
 
-def periods_rolling(comps: DataFrame, snaps: DataFrame, listings: DataFrame, as_of: dt.date) -> DataFrame:
-    """Twelve months of sales beside the offers of now: medians, premium, monthly velocity of the last quarter, months of inventory."""
-    recent = comps.filter((F.col("deal_date") > since(as_of, 12)) & (F.col("deal_date") <= F.lit(as_of)) & F.col("neighborhood_id").isNotNull())
-    sold = recent.groupBy("neighborhood_id").agg(F.count("*").alias("sold"), median_of(F.col("pp_sqm")).alias("sold_m"), (F.count_if(F.col("deal_date") > since(as_of, 3)) / 3).alias("velocity"))
-    offered = listings.filter("status = 'active'").join(latest(snaps, "asking_price"), "listing_id").groupBy("neighborhood_id").agg(F.count("*").alias("offers"), median_of(F.col("asking_price") / F.col("area_sqm")).alias("ask_m"))
-    n = lambda c: F.coalesce(c, F.lit(0))
-    return sold.join(offered, "neighborhood_id", "full").select(
-        "neighborhood_id", n("sold").alias("executed_count"), F.round("sold_m", 4).alias("median_pp_sqm"), n("offers").alias("listing_count"), F.round("ask_m", 4).alias("median_ask_sqm"),
-        F.round(pct_change(F.col("ask_m"), F.col("sold_m")), 6).alias("premium_pct"), F.round("velocity", 6).alias("velocity_3m"), F.round(F.when(F.col("velocity") > 0, n("offers") / F.col("velocity")), 6).alias("inventory_months"),
-        F.round(F.when(F.col("sold") > 0, n("offers") / F.col("sold")), 6).alias("listing_ratio"), F.round(F.least(n("sold") / 20, F.lit(1.0)), 6).alias("transaction_confidence"), F.round(F.least(n("offers") / 10, F.lit(1.0)), 6).alias("listing_confidence"))
-
-
 def settlement_trend(records: DataFrame) -> DataFrame:
     """Medians per settlement of the last twelve months and the twelve before, counted back from the newest date in the data.
 

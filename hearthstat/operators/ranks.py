@@ -27,3 +27,21 @@ def quantile(table: DataFrame, keys: list[str], value: str, q: float = 0.5) -> D
     at = lambda p: F.min(F.when(F.col("up_to") > p, F.col(value)))
     g = table.groupBy(*keys).agg(at(F.floor(place)).alias("lo"), at(F.ceil(place)).alias("hi"), F.max(place - F.floor(place)).alias("part"), F.max("total").alias("total"))
     return g.select(*keys, (F.col("lo") + F.col("part") * (F.col("hi") - F.col("lo"))).alias("quantile"), "total")
+
+
+def quantiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[Column, float]], counts: dict[str, Column]) -> DataFrame:
+    """Several exact quantiles and counts of each group in one pass: every value becomes a row (measure, value) of its group.
+
+    ``wanted``: name -> (value, q), NULL values have no part; ``counts``: name -> condition.
+    """
+    of = {str(c): c for c, _ in wanted.values()}
+    cells = [F.struct(F.lit(m).alias("measure"), c.cast("double").alias("value")) for m, c in of.items()] + [F.struct(F.lit(n).alias("measure"), F.when(c, 0.0).alias("value")) for n, c in counts.items()]
+    t = up_to(df.select(*keys, F.inline(F.array(*cells))), [*keys, "measure"], "value", F.lit(1))
+    aggs = []
+    for name, (c, q) in wanted.items():
+        at, own = q * (F.col("total") - 1), F.col("measure") == str(c)
+        first = lambda p, own=own: F.min(F.when(own & (F.col("up_to") > p), F.col("value")))
+        aggs += [first(F.floor(at)).alias(f"{name}_lo"), first(F.ceil(at)).alias(f"{name}_hi"), F.max(F.when(own, at - F.floor(at))).alias(f"{name}_part")]
+    aggs += [F.coalesce(F.max(F.when(F.col("measure") == n, F.col("total"))), F.lit(0)).alias(n) for n in counts]
+    g = t.groupBy(*keys).agg(*aggs)
+    return g.select(*keys, *[(F.col(f"{n}_lo") + F.col(f"{n}_part") * (F.col(f"{n}_hi") - F.col(f"{n}_lo"))).alias(n) for n in wanted], *counts)

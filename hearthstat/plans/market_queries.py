@@ -28,17 +28,6 @@ def market_confidence(t):
     return market.market_confidence(comps(t), TX_AS_OF)
 
 
-@query("""SELECT coalesce(s.neighborhood_id, a.neighborhood_id) AS neighborhood_id, coalesce(s.month, a.month) AS month, coalesce(executed_count, 0) AS executed_count, median_pp_sqm, p25_pp_sqm, p75_pp_sqm,
-  coalesce(listing_count, 0) AS listing_count, median_ask_sqm, round(least(coalesce(executed_count, 0) / 15, 1.0::DOUBLE), 6) AS transaction_confidence, round(least(coalesce(listing_count, 0) / 10, 1.0::DOUBLE), 6) AS listing_confidence
-  FROM (SELECT neighborhood_id, CAST(date_trunc('month', deal_date) AS DATE) AS month, count(*) AS executed_count, round(quantile_cont(pp_sqm, 0.5), 4) AS median_pp_sqm, round(quantile_cont(pp_sqm, 0.25), 4) AS p25_pp_sqm,
-    round(quantile_cont(pp_sqm, 0.75), 4) AS p75_pp_sqm FROM comps WHERE neighborhood_id IS NOT NULL GROUP BY 1, 2) s
-  FULL JOIN (SELECT neighborhood_id, month, count(*) AS listing_count, round(quantile_cont(asking_price / area_sqm, 0.5), 4) AS median_ask_sqm FROM
-    (SELECT listing_id, CAST(date_trunc('month', observed_at) AS DATE) AS month, arg_max(asking_price, sequence) AS asking_price FROM snaps GROUP BY 1, 2) JOIN listings USING (listing_id) GROUP BY 1, 2) a
-  ON s.neighborhood_id = a.neighborhood_id AND s.month = a.month""")
-def market_periods_monthly(t):
-    return market.periods_monthly(comps(t), t.snapshots(), t.listings())
-
-
 _TREND = ", ".join(f"quantile_cont(pp_sqm, 0.5) FILTER (WHERE deal_date > DATE '{2000 - k}-08-02' AND deal_date <= DATE '{2001 - k}-08-02') AS m{k}, count(*) FILTER (WHERE deal_date > DATE '{2000 - k}-08-02' AND deal_date <= DATE '{2001 - k}-08-02') AS n{k}" for k in range(3))
 
 
@@ -284,11 +273,3 @@ def structured_query(t):
 @query(r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '([?&])(utm_[a-z]+|fbclid|gclid)=[^&]*', '\1', 'g'), '[?&]+$', ''), '/$', '') AS url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages""")
 def page_metadata(t):
     return t.raw("pages").select("page_id", clean.normalize_url(F.col("url")).alias("url"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
-
-
-@query("""SELECT l.listing_id, l.neighborhood_id, round(asking_price / area_sqm, 4) AS ask_sqm, round(base, 4) AS base_sqm, round(100 * (base - asking_price / area_sqm) / base, 6) AS discount_pct, n AS sample_count,
-  round(100 * (SELECT count(*) FROM comps c WHERE c.neighborhood_id = l.neighborhood_id AND c.pp_sqm <= asking_price / l.area_sqm) / n, 6) AS percentile FROM listings l JOIN latest USING (listing_id)
-  JOIN (SELECT neighborhood_id, quantile_cont(pp_sqm, 0.5) AS base, count(*) AS n FROM comps GROUP BY 1) b ON b.neighborhood_id = l.neighborhood_id WHERE status = 'active'""")
-def listing_benchmarks(t):
-    asked = t.listings().filter("status = 'active'").join(market.latest(t.snapshots(), "asking_price"), "listing_id").select("listing_id", "neighborhood_id", (F.col("asking_price") / F.col("area_sqm")).alias("pp_sqm"))
-    return appraisal.listing_benchmarks(asked, comps(t))

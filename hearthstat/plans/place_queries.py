@@ -9,15 +9,6 @@ from hearthstat.plans.bindings import TX_AS_OF
 from hearthstat.plans.catalog import comps, query, sql_of
 
 
-@query("""WITH {B}, e AS (SELECT neighborhood_id, count(*) AS n, quantile_cont(pp_sqm, 0.5) AS m, count(*) FILTER (WHERE deal_date > DATE '2001-05-02') / 3 AS v FROM comps WHERE deal_date > DATE '2000-08-02' AND deal_date <= DATE '2001-08-02' AND neighborhood_id IS NOT NULL GROUP BY 1),
-  a AS (SELECT neighborhood_id, count(*) AS n, quantile_cont(asking_price / area_sqm, 0.5) AS m FROM listings JOIN latest USING (listing_id) WHERE status = 'active' GROUP BY 1)
-  SELECT neighborhood_id, coalesce(e.n, 0) AS executed_count, round(e.m, 4) AS median_pp_sqm, coalesce(a.n, 0) AS listing_count, round(a.m, 4) AS median_ask_sqm, round(100 * (a.m / e.m - 1), 6) AS premium_pct, round(v, 6) AS velocity_3m,
-  round(CASE WHEN v > 0 THEN coalesce(a.n, 0) / v END, 6) AS inventory_months, round(coalesce(a.n, 0) / e.n, 6) AS listing_ratio, round(least(coalesce(e.n, 0) / 20, 1.0::DOUBLE), 6) AS transaction_confidence, round(least(coalesce(a.n, 0) / 10, 1.0::DOUBLE), 6) AS listing_confidence
-  FROM e FULL JOIN a USING (neighborhood_id)""")
-def market_periods_rolling(t):
-    return places.periods_rolling(comps(t), t.snapshots(), t.listings(), TX_AS_OF)
-
-
 @query("""WITH {B}, r AS (SELECT c_nationkey AS settlement, CAST(o_orderdate AS DATE) AS d, o_totalprice AS p, (SELECT max(CAST(o_orderdate AS DATE)) FROM orders WHERE o_orderkey % 23 <> 0) AS a FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 23 <> 0),
   m AS (SELECT settlement, count(*) FILTER (WHERE d > a - INTERVAL 12 MONTH) AS n, count(*) FILTER (WHERE d <= a - INTERVAL 12 MONTH) AS k, quantile_cont(p, 0.5) FILTER (WHERE d > a - INTERVAL 12 MONTH) AS x, quantile_cont(p, 0.5) FILTER (WHERE d <= a - INTERVAL 12 MONTH) AS y FROM r WHERE d > a - INTERVAL 24 MONTH GROUP BY 1)
   SELECT settlement, n AS sales, k AS prior_sales, round(x, 4) AS median_price, round(y, 4) AS prior_median, round(100 * (x / y - 1), 4) AS change_pct FROM m""")
