@@ -1,12 +1,13 @@
 """Line dedup by content-defined chunks of lines, with DataFrame functions only.
 
-A text's lines are hashed (the first 32 bits of MD5); a rolling hash over the last two lines' hashes ends a chunk
-where it is divisible by ``divisor``, so the boundaries depend on nearby lines alone and return after an insertion.  A
-passage of few lines seldom holds a whole chunk, and one of many reaches beyond its chunks at both ends; so the smallest
-chunks of several lines, each pair of neighbours, stand beside those between boundaries.  Chunks that occur again
-anywhere in the corpus are removed but for their first occurrence (smallest doc_id, then text's MD5, then position): of a
-repeated run of two lines or more every line goes, and of every line one copy stays somewhere.  Equal hashes only
-nominate chunks: they are then grouped by their bytes.
+A text's lines are hashed (the first 32 bits of MD5); a rolling hash over a line's hash and the next one's begins a chunk
+at the line unless ``divisor`` divides it, so a boundary depends on two lines alone and returns after an insertion.  A
+chunk has two lines at least and ends before the next boundary, or after ``LONGEST`` lines.  Where a repeated passage
+begins or ends within chunks, only a part of them is repeated: so a chunk also counts by its beginnings (two lines or
+more, up to the next boundary's line), and the lines before a boundary with the boundary's two.  What occurs again
+anywhere in the corpus is removed but for its first occurrence (smallest doc_id, then text's MD5, then position): a
+repeated run of lines goes whole if it holds a boundary with its two lines, and of every line one copy stays somewhere.
+Equal hashes only nominate: chunks are then grouped by their bytes.
 
 Scale: hashes of chunks are counted with partial aggregation, so the rows of a chunk that stands in a third of all
 documents shrink before the shuffle; only nominated chunks carry text, and a chunk's text meets its copies through
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-DIVISOR = 3
+DIVISOR = 8  # seven of eight pairs of neighbouring lines begin a chunk: most texts have few lines
+LONGEST = 8  # lines of a chunk
 
 
 def line_hash(line: Column) -> Column:
@@ -51,17 +53,19 @@ def last_of(s: Column) -> Column:
 
 
 def with_chunks(df: DataFrame, divisor: int = DIVISOR) -> DataFrame:
-    """``spans`` beside ``lines``: the chunks of several lines between boundaries, and all pairs of neighbours."""
-    size = F.size("lines")
-    before = F.concat(F.array(F.lit(0).cast("long")), F.slice("hashes", 1, F.greatest(size - 1, F.lit(0))))
+    """``spans`` beside ``lines``: each chunk's beginnings, and the lines before each boundary with the boundary's two."""
+    none, size = F.array().cast("array<int>"), F.size("lines")
     df = held(df, hashes=F.transform("lines", line_hash))
-    df = held(df, rolled=F.zip_with(before, "hashes", lambda p, h: (p * 31 + h) % divisor))
-    ends = F.filter(F.transform("rolled", lambda r, i: F.when((r == 0) | (i == size - 1), i)), lambda e: e.isNotNull())
-    df = held(df, ends=ends)
-    starts = F.concat(F.array(F.lit(0)), F.transform(F.slice("ends", 1, F.greatest(F.size("ends") - 1, F.lit(0))), lambda e: e + 1))
-    between = F.filter(F.zip_with(starts, "ends", span), lambda s: last_of(s) > first_of(s))
-    pairs = F.when(size > 1, F.transform(F.sequence(F.lit(0), F.greatest(size - 2, F.lit(0))), lambda i: span(i, i + 1))).otherwise(F.array().cast("array<long>"))
-    return held(df, spans=F.array_union(between, pairs)).drop("hashes", "rolled", "ends")
+    rolled = F.zip_with(F.slice("hashes", 1, F.greatest(size - 1, F.lit(0))), F.slice("hashes", 2, F.greatest(size - 1, F.lit(0))), lambda a, b: (a * 31 + b) % divisor)
+    df = held(df, rolled=rolled)
+    df = held(df, cut=F.filter(F.transform("rolled", lambda r, i: F.when((r != 0) | (i == 0), i)), lambda i: i.isNotNull()))
+    after = lambda c, n: F.concat(F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))), F.array(n))
+    long = F.flatten(F.zip_with("cut", after("cut", size), lambda a, b: F.sequence(a, b - 1, F.lit(LONGEST))))
+    df = held(df, starts=F.when(F.size("cut") > 0, F.filter(long, lambda s: s < size - 1)).otherwise(none))
+    df = held(df, ends=after("starts", size), before=F.concat(F.array(F.lit(-1)), F.slice("starts", 1, F.greatest(F.size("starts") - 1, F.lit(0)))))
+    begin = F.flatten(F.zip_with("starts", "ends", lambda s, n: F.transform(F.sequence(s + 1, F.greatest(s + 1, F.least(n, size - 1))), lambda e: span(s, e))))
+    lead = F.flatten(F.zip_with("before", "starts", lambda p, s: F.when(s - 1 > p, F.transform(F.sequence(p + 1, s - 1), lambda b: span(b, s + 1))).otherwise(F.array().cast("array<long>"))))
+    return held(df, spans=F.when(F.size("starts") > 0, F.concat(begin, lead)).otherwise(F.array().cast("array<long>"))).drop("hashes", "rolled", "cut", "starts", "ends", "before")
 
 
 def dedup_lines(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
@@ -106,10 +110,12 @@ SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, md5(coalesce(text, '')) AS tk, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT r, doc_id, tk, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM d WHERE text IS NOT NULL),
 h AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h FROM l),
-b AS (SELECT *, (coalesce(lag(h) OVER (PARTITION BY r ORDER BY i), 0) * 31 + h) % {DIVISOR} = 0 AS ends FROM h),
-c AS (SELECT *, coalesce(sum(CAST(ends AS INT)) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM b),
-g AS (SELECT r, doc_id, tk, min(i) AS first, max(i) AS last, string_agg(line, chr(10) ORDER BY i) AS chunk FROM c GROUP BY r, doc_id, tk, c HAVING count(*) > 1
-  UNION SELECT r, doc_id, tk, i, i + 1, line || chr(10) || after FROM (SELECT *, lead(line) OVER (PARTITION BY r ORDER BY i) AS after FROM l) WHERE after IS NOT NULL),
+b AS (SELECT *, lead(h) OVER (PARTITION BY r ORDER BY i) AS after, count(*) OVER (PARTITION BY r) AS n FROM h),
+c AS (SELECT r, i AS a, coalesce(lead(i) OVER (PARTITION BY r ORDER BY i), n) AS z, n FROM b WHERE i < n - 1 AND (i = 0 OR (h * 31 + after) % {DIVISOR} <> 0)),
+s AS (SELECT r, n, unnest(range(a, z, {LONGEST})) AS s FROM c),
+e AS (SELECT r, n, s, coalesce(lead(s) OVER (PARTITION BY r ORDER BY s), n) AS z, coalesce(lag(s) OVER (PARTITION BY r ORDER BY s), -1) AS p FROM s WHERE s < n - 1),
+w AS (SELECT r, s AS first, unnest(range(s + 1, greatest(s + 2, least(z + 1, n)))) AS last FROM e UNION ALL SELECT r, unnest(range(p + 1, s)) AS first, s + 1 AS last FROM e),
+g AS (SELECT w.r, doc_id, tk, first, last, array_to_string(ls[first + 1:last + 1], chr(10)) AS chunk FROM w JOIN d ON d.r = w.r),
 x AS (SELECT r, first, last, row_number() OVER (PARTITION BY chunk ORDER BY doc_id NULLS FIRST, tk, first, last, r) > 1 AS gone FROM g),
 u AS (SELECT DISTINCT r, unnest(range(first, last + 1)) AS i FROM x WHERE gone),
 o AS (SELECT l.r, string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE u.i IS NULL) AS text, count(*) AS n_lines, count(u.i) AS n_removed FROM l LEFT JOIN u ON u.r = l.r AND u.i = l.i GROUP BY l.r)

@@ -315,25 +315,50 @@ def test_line_chunks(docs, none, tmp_path):
     assert line_chunks.dedup_lines(none).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_every_repeated_run_of_lines_goes(spark, seed):
-    """By position: a line goes if it stands in a pair of neighbours that an earlier place has, or in a later copy of a row."""
+def plain_chunks(lines, divisor, longest):
+    """(first, last) of what counts as a chunk, read off the rule."""
+    h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
+    begins, since = [], 0
+    for i in range(len(lines) - 1):
+        if i == 0 or (h[i] * 31 + h[i + 1]) % divisor or i - since == longest:
+            begins.append(i)
+            since = i
+    out = []
+    for k, s in enumerate(begins):
+        end = begins[k + 1] if k + 1 < len(begins) else len(lines)
+        out += [(s, e) for e in range(s + 1, max(s + 2, min(end + 1, len(lines))))]
+        out += [(b, s + 1) for b in range(begins[k - 1] + 1 if k else 0, s)]
+    return out
+
+
+@pytest.mark.parametrize("seed, divisor", [(0, 2), (1, 3), (2, line_chunks.DIVISOR), (3, 1)])
+def test_repeated_chunks_go(spark, seed, divisor):
     g = np.random.default_rng(seed)
     rows = [(int(g.integers(0, 30)), "\n".join(f"line {g.integers(0, 25)}" for _ in range(g.integers(1, 12)))) for _ in range(40)]
-    rows += rows[:4] + [(None, rows[5][1]), (50, "a\nb"), (50, "a\nb"), (51, "b\na\nb"), (52, "")]
+    rows += rows[:4] + [(None, rows[5][1]), (50, "a\nb"), (50, "a\nb"), (51, "b\na\nb"), (52, ""), (53, "\n".join(["same"] * 40)), (54, "x\n" + "\n".join(["same"] * 21))]
     seen, want = set(), []
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest()))
     for i, text in order:
         lines, gone = text.split("\n"), set()
-        for k in range(len(lines) - 1):
-            if tuple(lines[k : k + 2]) in seen:
-                gone |= {k, k + 1}
-            seen.add(tuple(lines[k : k + 2]))
+        for first, last in sorted(plain_chunks(lines, divisor, line_chunks.LONGEST)):
+            chunk = "\n".join(lines[first : last + 1])
+            if chunk in seen:
+                gone |= set(range(first, last + 1))
+            seen.add(chunk)
         want.append((i, "\n".join(x for k, x in enumerate(lines) if k not in gone), len(lines), len(gone)))
-    got = line_chunks.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = line_chunks.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), divisor).collect()
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_boundaries_decide_what_goes(spark):
+    """Passages go whole where a boundary lies in them; the rolling hash, not every pair of lines, decides."""
+    passage = [f"shared {i} of it" for i in range(6)]
+    rows = [(k, "\n".join([f"own {k}", *passage, f"tail {k}"])) for k in range(4)]
+    gone = {d: {r["doc_id"]: r["n_removed"] for r in line_chunks.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), d).collect()} for d in (1, 2, 8, 10**6)}
+    assert gone[8] == gone[10**6] == gone[2] == {0: 0, 1: 6, 2: 6, 3: 6}
+    assert set(gone[1].values()) == {0}  # no boundary but each text's first line: no chunk is shared
+
+
 def test_line_chunks_of_a_long_document(spark):
     text = "\n".join(f"line {i}" for i in range(200_000))
     began = time.time()
