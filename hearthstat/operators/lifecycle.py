@@ -69,9 +69,11 @@ def listing_sessions(snaps: DataFrame, gap: str = "1 day") -> DataFrame:
 def missing_cycles(sightings: DataFrame, cycles: DataFrame, enabled: DataFrame, least: int = 3) -> DataFrame:
     """Completed cycles that each listing missed, the fewest over its enabled scopes; inactive from ``least`` missed in all of them.
 
-    sightings: scope, listing_id, cycle; cycles: scope, cycle of each completed cycle, in order of ``cycle``.
+    sightings: scope, listing_id, cycle; cycles: scope, cycle of each completed cycle, in order of ``cycle``.  A listing may
+    have been seen last in a cycle that is still open.
     """
-    after = F.row_number().over(Window.partitionBy("scope").orderBy(F.col("cycle").desc())) - 1
-    missed = cycles.distinct().withColumn("missed", after)
     seen = sightings.join(enabled, "scope", "left_semi").groupBy("scope", "listing_id").agg(F.max("cycle").alias("cycle"))
+    every = cycles.select("scope", "cycle", F.lit(1).alias("done")).unionByName(seen.select("scope", "cycle", F.lit(0).alias("done"))).groupBy("scope", "cycle").agg(F.max("done").alias("done"))
+    later = Window.partitionBy("scope").orderBy(F.col("cycle").desc()).rowsBetween(Window.unboundedPreceding, -1)  # a scope's cycles, not its listings
+    missed = every.withColumn("missed", F.coalesce(F.sum("done").over(later), F.lit(0)))
     return seen.join(missed, ["scope", "cycle"]).groupBy("listing_id").agg(F.min("missed").alias("missing_cycles")).withColumn("inactive", F.col("missing_cycles") >= least)

@@ -17,14 +17,18 @@ def write_pages(stream: DataFrame, path: str, checkpoint: str, keys: list[str])
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.dropDuplicates(keys).write.mode("overwrite").parquet(os.path.join(path, f"batch_id={batch_id}"))
+        rest = F.struct(*[c for c in batch.columns if c not in keys])
+        once = batch.groupBy(*keys).agg(F.min_by(rest, F.to_json(rest)).alias("row")).select(*keys, "row.*")  # the same one when it runs again
+        once.write.mode("overwrite").parquet(os.path.join(path, f"batch_id={batch_id}"))
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_pages(spark, path: str, keys: list[str]) -> DataFrame:
-    """The pages written so far; a key that came in several batches counts from its first one."""
-    return spark.read.parquet(path).groupBy(*keys).agg(F.min("batch_id").alias("batch_id"))
+    """The pages written so far, all columns and the batch; of a key that came in several batches the first one's row."""
+    pages = spark.read.parquet(path)
+    rest = F.struct(*[c for c in pages.columns if c not in keys])
+    return pages.groupBy(*keys).agg(F.min_by(rest, "batch_id").alias("row")).select(*keys, "row.*")
 
 
 def counts_within(stream: DataFrame, ts: str, width: str = "1 day", late: str = "2 days") -> DataFrame:

@@ -64,19 +64,6 @@ def test_simplify(spark):
     assert [tuple(p) for p in ring.select(spatial.simplify(F.col("ring"))).first()[0]] == [(1.0, 2.0), (1.1, 2.0)]
 
 
-def test_changes_stream(spark, tmp_path):
-    t = dt.datetime(2024, 1, 1)
-    rows = [(1, i, t + dt.timedelta(hours=i), p, s) for i, (p, s) in enumerate([(10.0, "active"), (9.0, "active"), (9.0, "active"), (12.0, "inactive"), (13.0, "inactive")])]
-    batch = spark.createDataFrame(rows, "listing_id long, sequence long, observed_at timestamp, asking_price double, status string")
-    batch.filter("sequence < 2").write.parquet(str(tmp_path / "in/a"))
-    batch.filter("sequence >= 2").write.parquet(str(tmp_path / "in/b"))
-    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 100).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    q = changes.listing_changes_stream(stream).writeStream.format("memory").queryName("changes").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    key = lambda df: sorted((r["sequence"], r["change"], r["new_price"]) for r in df.collect())
-    assert key(spark.table("changes")) == key(lifecycle.listing_changes(batch))
-
-
 def test_composite(spark):
     """Components present share the weight; below 60 per cent of it there is no score."""
     from hearthstat.operators import scoring

@@ -20,7 +20,7 @@ def test_pages_once(spark, tmp_path):
     run()
     spark.createDataFrame([("b", 9), ("c", 1)], schema).write.mode("append").parquet(source)
     run()
-    want = [("a", 0), ("b", 0), ("c", 1)]
+    want = [("a", 1, 0), ("b", 1, 0), ("c", 1, 1)]
     assert sorted(tuple(r) for r in pages.read_pages(spark, out, ["h"]).collect()) == want
     shutil.rmtree(f"{check}/commits/1", ignore_errors=True)
     (tmp_path / "ck/commits/1").unlink(missing_ok=True)  # as if the driver was lost after writing, before the commit
