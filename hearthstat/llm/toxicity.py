@@ -42,6 +42,8 @@ ORDINARY_BYTES, TOXIC_BYTES = 8192, 2048
 STANDS_OUT, RATIO = 20.0, 12.0  # likelihood ratio, and share of toxic texts against that of ordinary ones
 LONGEST = 12  # bytes of a word beginning
 SAVED = (1, 2, 3, 4, 5, 6)
+#: The three offsets that end a trained dictionary's tables, fixed by the format's trainer; content follows.
+OFFSETS = b"\x01\x00\x00\x00\x04\x00\x00\x00\x08\x00\x00\x00"
 #: A-Z to a-z, other ASCII but letters and digits to spaces.
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -127,11 +129,13 @@ def _windows(batches):
 
 
 def dictionary(samples: list[bytes], size: int, **parameters) -> bytes:
-    """The content that zstandard's trainer selects; of too few samples for it, the samples themselves."""
+    """The content that zstandard's trainer selects, without the tables before it; of too few samples for it, the samples
+    themselves."""
     import zstandard
 
     try:
-        return zstandard.train_dictionary(size, samples, **parameters).as_bytes()[-size:]
+        whole = zstandard.train_dictionary(size, samples, **parameters).as_bytes()
+        return whole[whole.index(OFFSETS) + len(OFFSETS) :]
     except zstandard.ZstdError:
         return b"".join(samples)[-size:].rjust(8)
 
