@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def to_text(c: Column) -> Column:
@@ -40,8 +44,48 @@ def normalize_name(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"[\s\p{P}\p{S}]", ""))
 
 
+@F.pandas_udf(StringType())
+def nfkc(c: pd.Series) -> pd.Series:
+    """Compatibility forms composed (NFKC); for columns of distinct texts, a batch at a time."""
+    return c.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def nfkd(c: pd.Series) -> pd.Series:
+    return c.map(lambda x: unicodedata.normalize("NFKD", x), na_action="ignore")
+
+
+def composed(df: DataFrame, column: str, form=nfkc) -> DataFrame:
+    """``df`` with a text column in one Unicode form: ASCII texts stay as they are, of others each distinct one is
+    rewritten once and joined back."""
+    odd = F.octet_length(column) > F.char_length(column)
+    forms = df.filter(odd).select(F.col(column).alias("_plain")).distinct().withColumn("_form", form("_plain"))
+    return df.join(forms, F.col(column) == F.col("_plain"), "left").withColumn(column, F.coalesce("_form", column)).drop("_plain", "_form")
+
+
+def project_address(c: Column) -> Column:
+    """An address of a project: quotation marks go, commas and runs of white space are one space."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[\"״׳']", ""), ",", " "), r"\s+", " "))
+
+
+#: Spellings of cities in sources and the names they stand for (fixed values); a city counts where its name occurs.
+SPELLINGS = (("קרית", "קריית"), ("פתח תקוה", "פתח תקווה"))
+CITIES = ("חיפה", "נתניה", "פתח תקווה")
+
+
+def city_name(c: Column, spellings: tuple = SPELLINGS, cities: tuple = CITIES) -> Column:
+    """The known city that source text names, whatever its spelling; NULL for others."""
+    for old, new in spellings:
+        c = F.regexp_replace(c, old, new)
+    c = F.trim(F.regexp_replace(c, r"\s+", " "))
+    out = F.lit(None).cast("string")
+    for name in reversed(cities):
+        out = F.when(F.contains(c, F.lit(name)), F.lit(name)).otherwise(out)
+    return out
+
+
 def normalize_address(c: Column) -> Column:
-    """Lower case, punctuation as single spaces."""
+    """Lower case, punctuation as single spaces; for Unicode forms see ``composed``."""
     return F.trim(F.regexp_replace(F.lower(c), r"[\s\p{P}\p{S}]+", " "))
 
 
@@ -52,7 +96,8 @@ def street_key(c: Column) -> Column:
 
 def normalize_url(c: Column) -> Column:
     """Lower-case scheme and host, no fragment, no tracking parameters, no trailing slash."""
-    bare = F.regexp_replace(c, "#.*$", "")
+    host = F.regexp_extract(c, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", 0)
+    bare = F.regexp_replace(F.concat(F.lower(host), F.substr(c, F.length(host) + 1)), "#.*$", "")
     query = F.filter(F.split(F.regexp_extract(bare, r"\?(.*)$", 1), "&"), lambda p: ~p.rlike("^(utm_[a-z]+|fbclid|gclid)=") & (p != ""))
     path = F.regexp_replace(F.regexp_replace(bare, r"\?.*$", ""), "/$", "")
     return F.when(F.size(query) > 0, F.concat(path, F.lit("?"), F.array_join(query, "&"))).otherwise(path)

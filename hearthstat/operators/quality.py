@@ -25,6 +25,16 @@ def source_health(fresh: DataFrame, as_of: dt.datetime, stale_hours: int = 48) -
     return fresh.withColumn("health", state)
 
 
+def dataset_health(datasets: DataFrame, as_of: dt.datetime, stale_hours: int = 48) -> DataFrame:
+    """disabled, never_run, failed, stale, syncing or healthy of datasets (enabled, last_checked, status, cursor), by the first rule that holds."""
+    c = F.col
+    state = (
+        F.when(~c("enabled"), "disabled").when(c("last_checked").isNull(), "never_run").when(c("status") == "failed", "failed")
+        .when(c("last_checked") < F.lit(as_of) - F.expr(f"interval {stale_hours} hours"), "stale").when(c("cursor").isNotNull(), "syncing").otherwise("healthy")
+    )
+    return datasets.withColumn("health", state)
+
+
 def entity_counts(tables: dict[str, DataFrame]) -> DataFrame:
     out = None
     for name, df in tables.items():

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearthstat.functions.clean import clamp
+
 #: Fixed weights of the composite place score; they add up to 100.
 WEIGHTS = {"deal": 25.0, "market": 15.0, "renewal": 20.0, "demographics": 15.0, "rental": 10.0, "infrastructure": 10.0, "supply": 5.0}
 
@@ -15,9 +17,9 @@ def bayesian_adjust(local: Column, n: Column, prior: Column, k: float = 5.0) ->
 
 
 def weighted_deals(deals: DataFrame, keys: list[str]) -> DataFrame:
-    """``score`` weighted by ``freshness`` and ``weight``; NULL when no deal weighs."""
-    w = F.col("freshness") * F.col("weight")
-    return deals.groupBy(*keys).agg(F.when(F.sum(w) > 0, F.sum(F.col("score") * w) / F.sum(w)).alias("local"), F.count_if(w > 0).alias("n"))
+    """``score`` (held between 0 and 100) weighted by ``freshness`` and ``weight`` (0 to 1); NULL when no deal weighs."""
+    w = F.col("freshness") * clamp(F.col("weight"), 0.0, 1.0)
+    return deals.groupBy(*keys).agg(F.when(F.sum(w) > 0, F.sum(clamp(F.col("score"), 0.0, 100.0) * w) / F.sum(w)).alias("local"), F.count_if(w > 0).alias("n"))
 
 
 def deal_heat(deals: DataFrame, k: float = 5.0) -> DataFrame:
@@ -42,3 +44,8 @@ def composite(df: DataFrame, weights: dict[str, float] = WEIGHTS, least: float =
     total = sum((F.coalesce(F.col(c) * w, F.lit(0.0)) for c, w in weights.items()), F.lit(0.0))
     out = df.withColumn("coverage", 100 * have / sum(weights.values()))
     return out.withColumn("score", F.when(F.col("coverage") >= least, total / have))
+
+
+def confidence_level(score: Column, high: float = 80, medium: float = 60, low: float = 35) -> Column:
+    """A label of a confidence in per cent; without one, or below ``low``, evidence is insufficient."""
+    return F.when(score.isNull() | (score < low), "insufficient").when(score >= high, "high").when(score >= medium, "medium").otherwise("low")

@@ -30,17 +30,21 @@ def nearest(points: DataFrame, anchors: DataFrame, km: float) -> DataFrame:
     """The nearest anchor within ``km`` of each point; anchors are spread over the cells that the radius can reach.
 
     Rows of cells are as high as the radius; in each row cells are as wide as the radius at its latitude furthest from the
-    equator, neighbours included, so all latitudes are covered (beyond 85 degrees a row is one cell).
+    equator, neighbours included, so all latitudes are covered (beyond 85 degrees a row is one cell).  An anchor near the
+    180th meridian also stands a turn further, beyond the other end.
     """
     high = km / 111.0 * 1.01
     row = lambda lat: F.floor(lat / high)
 
-    def column(lon, r):
+    def width(r):
         far = F.greatest(F.abs(r - 1), F.abs(r + 2)) * high
-        return F.floor(lon / F.when(far > 85, 360.0).otherwise(F.lit(high * 1.1) / F.cos(F.radians(far))))
+        return F.when(far > 85, 360.0).otherwise(F.lit(high * 1.1) / F.cos(F.radians(far)))
+
+    column = lambda lon, r: F.floor(lon / width(r))
 
     a = anchors.withColumn("cy", F.explode(F.sequence(row(F.col("a_lat")) - 1, row(F.col("a_lat")) + 1)))
-    a = a.withColumn("cx", F.explode(F.sequence(column(F.col("a_lon"), F.col("cy")) - 1, column(F.col("a_lon"), F.col("cy")) + 1)))
+    turns = F.filter(F.array(F.col("a_lon"), F.col("a_lon") - 360, F.col("a_lon") + 360), lambda x: F.abs(x) <= 180 + 2 * width(F.col("cy")))
+    a = a.withColumn("at", F.explode(turns)).withColumn("cx", F.explode(F.sequence(column(F.col("at"), F.col("cy")) - 1, column(F.col("at"), F.col("cy")) + 1))).drop("at")
     p = points.withColumn("cy", row(F.col("lat"))).withColumn("cx", column(F.col("lon"), F.col("cy")))
     d = p.join(a, ["cx", "cy"]).withColumn("km", haversine_km(F.col("lon"), F.col("lat"), F.col("a_lon"), F.col("a_lat")))
     best = d.filter(F.col("km") <= km).withColumn("rank", F.row_number().over(Window.partitionBy("point_id").orderBy(F.round("km", 6), "anchor_id"))).filter("rank = 1")

@@ -115,11 +115,11 @@ def _deals(t):
     last = t.snapshots().groupBy("listing_id").agg(F.max_by("asking_price", "sequence").alias("ask"), F.max("observed_at").alias("seen"))
     days = F.datediff(F.lit(LISTING_AS_OF.date()), F.col("seen").cast("date"))
     return t.listings().join(last, "listing_id").join(base, "neighborhood_id").join(t.neighborhoods(), "neighborhood_id").select(
-        "listing_id", "neighborhood_id", "city_id", (50 + clean.clamp(clean.discount_pct(F.col("ask") / F.col("area_sqm"), F.col("base")), -50, 50)).alias("score"), clean.freshness_weight(days).alias("freshness"), (1 + F.col("listing_id") % 3).cast("double").alias("weight"))
+        "listing_id", "neighborhood_id", "city_id", (50 + clean.clamp(clean.discount_pct(F.col("ask") / F.col("area_sqm"), F.col("base")), -50, 50)).alias("score"), clean.freshness_weight(days).alias("freshness"), ((1 + F.col("listing_id") % 3) / 4 + 0.4).alias("weight"))
 
 
 _DEALS = """deals AS (SELECT listing_id, neighborhood_id, city_id, 50 + least(greatest(100 * (base - ask / area_sqm) / base, -50), 50) AS score,
-  CASE WHEN d <= 7 THEN 1.0::DOUBLE WHEN d <= 14 THEN 0.9::DOUBLE WHEN d <= 30 THEN 0.75::DOUBLE WHEN d <= 60 THEN 0.5::DOUBLE ELSE 0::DOUBLE END AS freshness, CAST(1 + listing_id % 3 AS DOUBLE) AS weight
+  CASE WHEN d <= 7 THEN 1.0::DOUBLE WHEN d <= 14 THEN 0.9::DOUBLE WHEN d <= 30 THEN 0.75::DOUBLE WHEN d <= 60 THEN 0.5::DOUBLE ELSE 0::DOUBLE END AS freshness, least(greatest(CAST(1 + listing_id % 3 AS DOUBLE) / 4 + 0.4::DOUBLE, 0), 1) AS weight
   FROM (SELECT l.*, h.city_id, a.asking_price AS ask, base, date_diff('day', CAST(last_seen AS DATE), DATE '2024-01-31') AS d FROM listings l JOIN latest a USING (listing_id)
   JOIN (SELECT neighborhood_id, quantile_cont(pp_sqm, 0.5) AS base FROM comps GROUP BY 1) b USING (neighborhood_id) JOIN hoods h USING (neighborhood_id)))"""
 
@@ -244,6 +244,22 @@ def scenario_grid(t):
     return _scenarios(t).select("listing_id", "rate_pct", "loan_pct", r("payment", 4), r("net_yield_pct", 6), r("cash_on_cash_pct", 6), r("exit_equity", 2), r("profit", 2))
 
 
+@query("""WITH {B}, s AS (SELECT listing_id, asking_price AS p, asking_price * (listing_id % 4) / 4 AS l0, 1.5::DOUBLE * (listing_id % 4) AS rate, 10 + listing_id % 21 AS term, asking_price * 0.004::DOUBLE AS rent, listing_id % 5 * 4 AS vac, 1 + listing_id % 12 AS hold, CASE WHEN listing_id % 3 = 0 THEN asking_price * 1.2::DOUBLE END AS given FROM latest),
+  a AS (SELECT *, p + 15000 + p * 0.02::DOUBLE + 8000 AS total, least(l0, p + 15000 + p * 0.02::DOUBLE + 8000) AS loan, term * 12 AS months, rate / 1200 AS m, 12 * rent * (1 - vac / 100) AS er, 6000 + 2000 AS costs FROM s),
+  b AS (SELECT *, CASE WHEN loan <= 0 THEN 0 WHEN m = 0 THEN loan / months ELSE loan * m / (1 - pow(1 + m, -months)) END AS pay, coalesce(given, p * pow(1.025::DOUBLE, hold)) AS value FROM a),
+  d AS (SELECT *, er - costs AS noi, er - costs - 12 * pay AS cash, greatest(0, total - loan) AS eq, CASE WHEN loan <= 0 OR hold * 12 >= months THEN 0 WHEN m = 0 THEN loan * (1 - hold * 12 / months) ELSE greatest(0, loan * pow(1 + m, hold * 12) - pay * (pow(1 + m, hold * 12) - 1) / m) END AS owed FROM b),
+  e AS (SELECT *, greatest(0, value - value * 0.015::DOUBLE - owed) AS ex FROM d)
+  SELECT listing_id, floor(total + 0.5) AS total_cost, floor(eq + 0.5) AS equity, floor(pay + 0.5) AS monthly_debt, floor(er + 0.5) AS effective_rent, floor(100 * 12 * rent / p * 100 + 0.5) / 100 AS gross_yield_pct, floor(100 * noi / total * 100 + 0.5) / 100 AS net_yield_pct,
+  floor(cash + 0.5) AS annual_cash, CASE WHEN eq > 0 THEN floor(100 * cash / eq * 100 + 0.5) / 100 END AS cash_on_cash_pct, floor(value + 0.5) AS exit_value, floor(owed + 0.5) AS owed_at_exit, floor(ex + 0.5) AS exit_equity, floor(ex + cash * hold - eq + 0.5) AS profit, floor((12 * pay + costs) / (12 * greatest(0.0001::DOUBLE, 1 - vac / 100)) + 0.5) AS break_even_rent FROM e""")
+def deal_outputs(t):
+    k = F.col("listing_id")
+    s = t.snapshots().groupBy("listing_id").agg(F.max_by("asking_price", "sequence").alias("purchase_price")).withColumns({
+        "loan_amount": F.col("purchase_price") * (k % 4) / 4, "interest_rate_pct": 1.5 * (k % 4), "loan_term_years": 10 + k % 21, "monthly_rent": F.col("purchase_price") * 0.004, "vacancy_pct": k % 5 * 4, "exit_years": 1 + k % 12,
+        "exit_price": F.when(k % 3 == 0, F.col("purchase_price") * 1.2), "legal_fees": F.lit(15000), "purchase_tax": F.col("purchase_price") * 0.02, "renovation": F.lit(8000), "annual_maintenance": F.lit(6000), "annual_other_operating": F.lit(2000), "sale_costs_pct": F.lit(1.5)})
+    names = "total_cost equity monthly_debt effective_rent gross_yield_pct net_yield_pct annual_cash cash_on_cash_pct exit_value owed_at_exit exit_equity profit break_even_rent".split()
+    return scenarios.deal_outputs(s).select("listing_id", *names)
+
+
 @query()
 def scenario_irr(t):
     s = _scenarios(t)

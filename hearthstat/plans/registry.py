@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthstat.plans import market_queries, product_queries, appraisal_queries, place_queries, intake_queries, naming_queries, period_queries, polygon_queries, dataset_queries  # noqa: F401, I001  each registers its queries, in this order
+from hearthstat.plans import market_queries, product_queries, appraisal_queries, place_queries, intake_queries, naming_queries, period_queries, polygon_queries, dataset_queries, evaluation_queries  # noqa: F401, I001  each registers its queries, in this order
 from hearthstat.plans.bindings import SQL, Tables
 from hearthstat.plans.catalog import QUERIES
 
