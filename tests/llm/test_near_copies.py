@@ -58,3 +58,28 @@ def test_stage_keeps_one_row_of_each_group(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(map(tuple, corpus_pipeline.one_of_each(spark, docs, "").collect()), key=str)
     assert got == sorted([rows[0], rows[1], rows[2], rows[4], rows[5]], key=str)
+
+
+def test_work_on_texts_with_one_template_is_linear(spark):
+    """Texts that share half their words, no pair alike: few are nominated, and a row nominates a few at most."""
+    counts = []
+    for n in (300, 600):
+        g = random.Random(n)
+        shared = [f"s{i}" for i in range(60)]
+        texts = [" ".join(shared + [f"u{g.randrange(10**6)}" for _ in range(60)]) for _ in range(n)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        rows = shingle_dedup.C.map_batches(docs.selectExpr("doc_id", "text", "cast(doc_id as string) as row"), shingle_dedup._sketch(5), "row string, doc_id long, set long, keys array<long>, sig binary")
+        counts.append(shingle_dedup.nominated(shingle_dedup.C.keep(rows, "test")).count())
+    assert counts[1] <= max(20, 3 * counts[0]) and counts[1] < 600, counts
+
+
+def test_dense_values(spark, monkeypatch):
+    """Values that are dense at every level still find what is alike; copies give no pairs by their square."""
+    monkeypatch.setattr(shingle_dedup, "DENSE", 8)
+    g = random.Random(9)
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join(edited(g, base, 3)) for _ in range(60)] + [" ".join(edited(g, [f"x{i}" for i in range(200)], 2)) for _ in range(5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    of = {r["doc_id"]: r["root"] for r in shingle_dedup.groups(docs).collect()}
+    want = plain_groups(texts)
+    assert len(set(of.values())) == len(set(want)) and all((of[i] == of[j]) == (want[i] == want[j]) for i in range(65) for j in range(i))
