@@ -185,14 +185,16 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC, ordinary_
     """(ordinary dictionary, toxic dictionary, calibration) or, without both classes, the share of toxic rows."""
     known = labels.filter(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.filter(C.remainder("doc_id", 5) != 0)
-    rows = C.of_documents(docs, "doc_id", "text").join(known, "doc_id").withColumn("hash", F.xxhash64("doc_id", "text"))
-    drawn = rows.filter(F.octet_length("text") <= BYTES // 16)
-    size = {r[0]: r[1:] for r in rows.groupBy("toxic").agg(F.count("*"), F.sum(F.octet_length("text").cast("long"))).collect()}
+    # Rows without their texts meet the labels; only the sample's texts are fetched, by its hashes.
+    hashed = C.of_documents(docs, "doc_id", "text").withColumn("hash", F.xxhash64("doc_id", "text"))
+    rows = C.keep(hashed.select("doc_id", "hash", F.octet_length("text").cast("long").alias("bytes")).join(known, "doc_id"), "labelled-rows")
+    size = {r[0]: r[1:] for r in rows.groupBy("toxic").agg(F.count("*"), F.sum("bytes")).collect()}
     if len(size) < 2:
         return float(size.get(1, (0,))[0]) / max(1, sum(n for n, _ in size.values()))
     part = {c: min(1.0, most / size[c][0], BYTES / max(1, size[c][1])) for c, most in ((1, toxic_rows), (0, ordinary_rows))}
     within = F.when(F.col("toxic") == 1, F.lit(part[1])).otherwise(F.lit(part[0]))
-    texts = drawn.filter(F.pmod(F.xxhash64("hash"), F.lit(1 << 30)) < within * (1 << 30)).select("text", "toxic", (F.pmod("hash", F.lit(10)) < SHARE).alias("fit"))
+    drawn = rows.filter(F.col("bytes") <= BYTES // 16).filter(F.pmod(F.xxhash64("hash"), F.lit(1 << 30)) < within * (1 << 30)).select("hash", "toxic").distinct()
+    texts = hashed.join(F.broadcast(drawn), "hash").select("text", "toxic", (F.pmod("hash", F.lit(10)) < SHARE).alias("fit"))  # about toxic_rows + ordinary_rows hashes
     texts = C.keep(texts, "labelled")
     n = {(r[0], r[1]): r[2] for r in texts.groupBy("toxic", "fit").count().collect()}
     alone = all((c, f) in n for c in (0, 1) for f in (True, False))  # else too few rows: all of them serve both
