@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthstat.functions.clean import normalize_name, street_key
+from hearthstat.functions.clean import normalize_address, normalize_name, street_key
 
 
 def build_aliases(hoods: DataFrame, source_names: DataFrame) -> DataFrame:
@@ -43,14 +43,20 @@ def resolve_streets(df: DataFrame, rules: DataFrame, key: str) -> DataFrame:
     return df.select(key).join(best.select(key, "place_id", F.when(F.col("at") == F.col("rule"), "street").otherwise("part_of_street").alias("method"), "confidence"), key, "left")
 
 
-def project_places(projects: DataFrame, names: DataFrame) -> DataFrame:
-    """Places whose name is a run of words in a project's name, the longest first; runs up to the longest name are keys."""
-    known = names.select("city_id", "neighborhood_id", F.lower("name").alias("run")).filter("run <> ''")
+def project_places(projects: DataFrame, names: DataFrame, streets: DataFrame | None = None) -> DataFrame:
+    """Places whose name is a run of words in a project's name, the longest first; runs up to the longest name are keys.
+
+    ``streets`` (city_id, street, neighborhood_id): a project without a place's name takes that of a street in its name.
+    """
+    known = names.select("city_id", "neighborhood_id", normalize_address(F.col("name")).alias("run"), F.lit(0).alias("kind"))
+    if streets is not None:
+        known = known.unionByName(streets.select("city_id", "neighborhood_id", street_key(F.col("street")).alias("run"), F.lit(1).alias("kind")))
+    known = known.filter("run <> ''")
     longest = known.agg(F.coalesce(F.max(F.size(F.split("run", " "))), F.lit(1)).alias("longest"))
-    words = F.split(F.trim(F.lower("project_name")), " +")
+    words = F.split(normalize_address(F.col("project_name")), " ")
     w = projects.crossJoin(F.broadcast(longest)).select("project_id", "city_id", words.alias("w"), "longest").withColumn("i", F.explode(F.sequence(F.lit(1), F.size("w"))))
     runs = w.withColumn("len", F.explode(F.sequence(F.lit(1), F.least(F.col("longest"), F.size("w") - F.col("i") + 1)))).select("project_id", "city_id", F.array_join(F.slice("w", F.col("i"), F.col("len")), " ").alias("run"))
-    order = Window.partitionBy("project_id").orderBy(F.length("run").desc(), "neighborhood_id")
+    order = Window.partitionBy("project_id").orderBy("kind", F.length("run").desc(), "neighborhood_id")
     hit = runs.join(known, ["city_id", "run"]).withColumn("n", F.row_number().over(order)).filter("n = 1")
     return projects.select("project_id").join(hit.select("project_id", "neighborhood_id"), "project_id", "left")
 

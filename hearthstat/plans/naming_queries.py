@@ -49,6 +49,16 @@ def project_places(t):
     return naming.project_places(p.select(F.col("s_suppkey").alias("project_id"), "city_id", name.alias("project_name")), t.neighborhoods())
 
 
+@query("SELECT s_suppkey AS project_id, CASE WHEN s_suppkey % 3 = 0 THEN s_nationkey WHEN s_suppkey % 3 = 1 THEN s_nationkey + 100 END AS neighborhood_id FROM supplier")
+def project_streets(t):
+    """Every third project names its place (and a street elsewhere), every third a street of its own."""
+    k = F.col("s_suppkey")
+    p = t.raw("supplier").join(t.neighborhoods(), F.col("s_nationkey") == F.col("neighborhood_id"))
+    name = F.when(k % 3 == 0, F.concat(F.lit("Renewal at '"), F.upper("name"), F.lit("', Street"), F.col("s_nationkey").cast("string"), F.lit(" Road"))).when(k % 3 == 1, F.concat(F.lit("Complex street"), F.col("s_nationkey").cast("string"), F.lit(" road - B"))).otherwise("Renewal road")
+    streets = t.neighborhoods().select("city_id", F.concat(F.lit("Street"), F.col("neighborhood_id").cast("string"), F.lit(" road 12")).alias("street"), (F.col("neighborhood_id") + 100).alias("neighborhood_id"))
+    return naming.project_places(p.select(k.alias("project_id"), "city_id", name.alias("project_name")), t.neighborhoods(), streets)
+
+
 @query("""WITH {B}, p AS (SELECT c_custkey AS parcel_id, c_custkey % 50 AS block, c_custkey % 7 AS parcel, CASE WHEN c_custkey % 3 > 0 THEN CAST(100 + CASE WHEN c_custkey % 7 = 3 THEN c_custkey ELSE c_custkey % 50 END AS DOUBLE) END AS a, CASE WHEN c_custkey % 4 > 0 THEN c_custkey % 50 % 25 END AS h FROM customer)
   SELECT parcel_id, coalesce(a, CASE WHEN min(a) OVER w = max(a) OVER w THEN min(a) OVER w END) AS area_sqm, coalesce(h, min(h) OVER w) AS neighborhood_id, a IS NULL AND coalesce(min(a) OVER w = max(a) OVER w, false) AS borrowed FROM p WINDOW w AS (PARTITION BY block, parcel)""")
 def parcel_enrich(t):
