@@ -77,13 +77,25 @@ def area(rings: Column) -> Column:
     return F.aggregate(edges(rings), F.lit(0.0), lambda s, e: s + e["sign"] * (e["x2"] - e["x1"]) * (e["y1"] + e["y2"]) / 2)
 
 
+def _shape(rings: Column) -> Column:
+    """Names rings by their vertices."""
+    return F.md5(F.to_json(rings))
+
+
 def contained(points: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
-    """Pairs of points (lon, lat) and polygons (rings) that hold them; polygons are spread over the cells of their box."""
+    """Pairs of points (lon, lat) and polygons (rings) that hold them; polygons are spread over the cells of their box.
+
+    Equal places and equal shapes are held against each other once, and then stand for all points and polygons there.
+    """
     at = lambda c: F.floor(c / cell)
-    b = box(F.col("rings"))
-    cells = polygons.withColumn("cx", F.explode(F.sequence(at(b["x_lo"]), at(b["x_hi"])))).withColumn("cy", F.explode(F.sequence(at(b["y_lo"]), at(b["y_hi"]))))
-    placed = points.withColumn("cx", at(F.col("lon"))).withColumn("cy", at(F.col("lat")))
-    return placed.join(cells, ["cx", "cy"]).filter(in_rings(F.col("lon"), F.col("lat"), F.col("rings"))).drop("cx", "cy")
+    c = F.col
+    named = polygons.withColumn("shape", _shape(c("rings")))
+    shapes = named.filter(c("rings").isNotNull()).groupBy("shape").agg(F.first("rings").alias("rings")).select("*", *[e.alias(n) for n, e in box(c("rings")).items()])
+    cells = shapes.withColumn("cx", F.explode(F.sequence(at(c("x_lo")), at(c("x_hi"))))).withColumn("cy", F.explode(F.sequence(at(c("y_lo")), at(c("y_hi")))))
+    placed = points.select("lon", "lat").distinct().withColumn("cx", at(c("lon"))).withColumn("cy", at(c("lat")))
+    inside = placed.join(cells, ["cx", "cy"]).filter(c("lon").between(c("x_lo"), c("x_hi")) & c("lat").between(c("y_lo"), c("y_hi"))).filter(in_rings(c("lon"), c("lat"), c("rings")))
+    holders = named.join(inside.select("shape", "lon", "lat"), "shape").drop("shape")
+    return points.join(holders, ["lon", "lat"]).select(*[points[n] for n in points.columns], *[holders[n] for n in polygons.columns])
 
 
 def overlaps(a: DataFrame, b: DataFrame, cell: float, least: float = 0.0) -> DataFrame:
