@@ -28,19 +28,24 @@ def resolve_streets(df: DataFrame, rules: DataFrame, key: str) -> DataFrame:
     """The place of an address by rules (city_id, street, neighborhood_id, confidence).
 
     The whole street decides first; else a rule that is a run of the street's words, or the other way round. The first
-    word of the shorter one is among the words of the longer one, so that is an equi-join.
+    two words of the shorter one stand side by side in the longer one, so that is an equi-join. Equal rules of a city
+    come down to their best first, and equal streets are looked up once.
     """
+    order = lambda *more: F.min(F.struct(*more, F.col("confidence").isNull().alias("unsure"), (-F.col("confidence")).alias("against"), "place_id", "confidence"))
     r = rules.select("city_id", street_key(F.col("street")).alias("rule"), F.col("neighborhood_id").alias("place_id"), "confidence").filter("rule <> ''")
-    a = df.select(key, "city_id", street_key(F.col("address")).alias("at")).filter("at <> ''")
-    first = lambda d, c: d.withColumn("word", F.split_part(F.col(c), F.lit(" "), F.lit(1)))
-    every = lambda d, c: d.withColumn("word", F.explode(F.array_distinct(F.split(F.col(c), " "))))
+    r = r.groupBy("city_id", "rule").agg(order().alias("m")).select("city_id", "rule", "m.place_id", "m.confidence")
+    looked = df.select(key, "city_id", street_key(F.col("address")).alias("at"))
+    a = looked.filter("at <> ''").select("city_id", "at").distinct()
+    w = lambda c: F.split(F.col(c), " ")
+    pairs = lambda c: F.zip_with(F.slice(w(c), F.lit(1), F.size(w(c)) - 1), F.slice(w(c), F.lit(2), F.size(w(c)) - 1), lambda x, y: F.concat_ws(" ", x, y))
+    first = lambda d, c: d.withColumn("word", F.substring_index(F.col(c), " ", 2))
+    every = lambda d, c: d.withColumn("word", F.explode(F.array_distinct(F.concat(w(c), pairs(c)))))
     pad = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
     inside = every(a, "at").join(first(r, "rule"), ["city_id", "word"]).filter(F.contains(pad("at"), pad("rule")))
     around = first(a, "at").join(every(r, "rule"), ["city_id", "word"]).filter(F.contains(pad("rule"), pad("at")))
-    touching = inside.unionByName(around)
-    order = Window.partitionBy(key).orderBy((F.col("at") != F.col("rule")).cast("int"), F.col("confidence").desc(), "place_id")
-    best = touching.withColumn("n", F.row_number().over(order)).filter("n = 1")
-    return df.select(key).join(best.select(key, "place_id", F.when(F.col("at") == F.col("rule"), "street").otherwise("part_of_street").alias("method"), "confidence"), key, "left")
+    part = (F.col("at") != F.col("rule")).alias("part")
+    best = inside.unionByName(around).groupBy("city_id", "at").agg(order(part).alias("m"))
+    return looked.join(best, ["city_id", "at"], "left").select(key, "m.place_id", F.when(F.col("m.part"), "part_of_street").when(~F.col("m.part"), "street").alias("method"), "m.confidence")
 
 
 def project_places(projects: DataFrame, names: DataFrame, streets: DataFrame | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from hearthstat.operators import polygons
+from hearthstat.operators import naming, polygons
 
 SHAPE = "array<array<struct<x:double,y:double>>>"
 
@@ -29,3 +29,15 @@ def test_points_meet_equal_shapes_once(spark, monkeypatch):
     assert got.columns == ["point_id", "lon", "lat", "plot_id", "rings"]
     assert sorted((r["point_id"], r["plot_id"]) for r in got.collect()) == [(i, j) for i in range(0, 60, 2) for j in range(1, 41)]
     assert n.value <= 8, n.value
+
+
+def test_equal_streets_and_rules_meet_once(spark, monkeypatch):
+    n, contains = counted(spark, F.contains, "boolean")
+    monkeypatch.setattr(F, "contains", contains)
+    addresses = spark.createDataFrame([(i, i % 2, ["High Street 4", "old High street, 9", "street", None][i % 4]) for i in range(400)], "listing_id long, city_id int, address string")
+    rules = spark.createDataFrame([(0, "high street", i, 0.1 * (i % 10)) for i in range(200)] + [(1, "the street of old high street", 7, None), (1, "high road", 8, 1.0)], "city_id int, street string, neighborhood_id long, confidence double")
+    out = naming.resolve_streets(addresses, rules, "listing_id")
+    got = {(r["listing_id"] % 4, r["place_id"], r["method"], round(r["confidence"] or -1, 6)) for r in out.collect()}
+    assert n.value <= 16, n.value
+    assert out.count() == 400
+    assert got == {(0, 9, "street", 0.9), (1, 7, "part_of_street", -1), (2, 9, "part_of_street", 0.9), (3, None, None, -1)}
