@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthstat.functions.clean import haversine_km
@@ -31,8 +31,10 @@ def nearest(points: DataFrame, anchors: DataFrame, km: float) -> DataFrame:
 
     Rows of cells are as high as the radius; in each row cells are as wide as the radius at its latitude furthest from the
     equator, neighbours included, so all latitudes are covered (beyond 85 degrees a row is one cell).  An anchor near the
-    180th meridian also stands a turn further, beyond the other end.
+    180th meridian also stands a turn further, beyond the other end.  Anchors at one place come down to the least id, and
+    points at one place are looked up once.
     """
+    anchors = anchors.groupBy("a_lon", "a_lat").agg(F.min("anchor_id").alias("anchor_id"))
     high = km / 111.0 * 1.01
     row = lambda lat: F.floor(lat / high)
 
@@ -45,10 +47,10 @@ def nearest(points: DataFrame, anchors: DataFrame, km: float) -> DataFrame:
     a = anchors.withColumn("cy", F.explode(F.sequence(row(F.col("a_lat")) - 1, row(F.col("a_lat")) + 1)))
     turns = F.filter(F.array(F.col("a_lon"), F.col("a_lon") - 360, F.col("a_lon") + 360), lambda x: F.abs(x) <= 180 + 2 * width(F.col("cy")))
     a = a.withColumn("at", F.explode(turns)).withColumn("cx", F.explode(F.sequence(column(F.col("at"), F.col("cy")) - 1, column(F.col("at"), F.col("cy")) + 1))).drop("at")
-    p = points.withColumn("cy", row(F.col("lat"))).withColumn("cx", column(F.col("lon"), F.col("cy")))
+    p = points.select("lon", "lat").distinct().withColumn("cy", row(F.col("lat"))).withColumn("cx", column(F.col("lon"), F.col("cy")))
     d = p.join(a, ["cx", "cy"]).withColumn("km", haversine_km(F.col("lon"), F.col("lat"), F.col("a_lon"), F.col("a_lat")))
-    best = d.filter(F.col("km") <= km).withColumn("rank", F.row_number().over(Window.partitionBy("point_id").orderBy(F.round("km", 6), "anchor_id"))).filter("rank = 1")
-    return best.select("point_id", "anchor_id", F.round("km", 6).alias("km"))
+    best = d.filter(F.col("km") <= km).groupBy("lon", "lat").agg(F.min(F.struct(F.round("km", 6).alias("km"), "anchor_id")).alias("m"))
+    return points.join(best, ["lon", "lat"]).select("point_id", "m.anchor_id", "m.km")
 
 
 def cells(polygons: DataFrame, size: float) -> DataFrame:

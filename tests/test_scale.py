@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from hearthstat.operators import naming, polygons
+from hearthstat.operators import naming, polygons, spatial
 
 SHAPE = "array<array<struct<x:double,y:double>>>"
 
@@ -31,6 +31,15 @@ def test_points_meet_equal_shapes_once(spark, monkeypatch):
     assert n.value <= 8, n.value
 
 
+def test_points_and_anchors_of_one_place_meet_once(spark, monkeypatch):
+    n, km = counted(spark, spatial.haversine_km, "double")
+    monkeypatch.setattr(spatial, "haversine_km", km)
+    points = spark.createDataFrame([(i, 34.0 + i % 2, 31.0) for i in range(50)], "point_id long, lon double, lat double")
+    anchors = spark.createDataFrame([(i, 34.0, 31.0 + i % 2 * 0.001) for i in range(100, 150)], "anchor_id long, a_lon double, a_lat double")
+    assert {(r["point_id"], r["anchor_id"]) for r in spatial.nearest(points, anchors, 5.0).collect()} == {(i, 100) for i in range(0, 50, 2)}
+    assert n.value <= 16, n.value
+
+
 def test_equal_streets_and_rules_meet_once(spark, monkeypatch):
     n, contains = counted(spark, F.contains, "boolean")
     monkeypatch.setattr(F, "contains", contains)
