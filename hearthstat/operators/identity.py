@@ -32,8 +32,10 @@ def resolve(tx: DataFrame, parcels: DataFrame, on_ambiguous: str = "best") -> Da
     elif on_ambiguous == "drop":
         p = p.withColumn("n", F.count("*").over(Window.partitionBy("parcel_id"))).filter("n = 1").drop("n")
     direct = F.col("neighborhood_id").isNotNull()
-    open_ = tx.withColumn("look", F.when(~direct, F.col("parcel_id")))  # resolved rows need no crosswalk
-    return open_.join(p.withColumnRenamed("parcel_id", "look"), "look", "left").select(
+    # Resolved rows need no crosswalk; ``spread`` deals them over the join's tasks, as NULL alone would not.
+    needy = ~direct & F.col("parcel_id").isNotNull()
+    open_ = tx.withColumn("look", F.when(needy, F.col("parcel_id"))).withColumn("spread", F.when(needy, F.xxhash64("parcel_id")).otherwise(F.xxhash64("transaction_id")))
+    return open_.join(p.withColumnRenamed("parcel_id", "look").withColumn("spread", F.xxhash64("look")), ["look", "spread"], "left").select(
         "transaction_id", F.coalesce("neighborhood_id", "via").alias("place_id"), F.when(direct, "direct").when(F.col("via").isNotNull(), "parcel").otherwise("unresolved").alias("method"),
         F.when(direct, 1.0).otherwise(F.col("via_confidence")).alias("confidence"))
 

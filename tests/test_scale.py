@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from hearthstat.operators import naming, polygons, spatial
+from hearthstat.operators import identity, naming, polygons, spatial
 
 SHAPE = "array<array<struct<x:double,y:double>>>"
 
@@ -50,3 +50,18 @@ def test_equal_streets_and_rules_meet_once(spark, monkeypatch):
     assert n.value <= 16, n.value
     assert out.count() == 400
     assert got == {(0, 9, "street", 0.9), (1, 7, "part_of_street", -1), (2, 9, "part_of_street", 0.9), (3, None, None, -1)}
+
+
+def test_rows_without_need_of_a_crosswalk_are_dealt_out(spark):
+    tx = spark.createDataFrame([(i, 5 if i % 10 else None, i % 7 if i % 3 else None) for i in range(2000)], "transaction_id long, neighborhood_id long, parcel_id long")
+    p = spark.createDataFrame([(i, 9, 0.5) for i in range(7)], "parcel_id long, neighborhood_id long, confidence double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = identity.resolve(tx, p)
+        sizes = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert sum(sizes) == 2000 and max(sizes) < 1000, sizes
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert {(r["method"], r["place_id"], r["n"]) for r in out.groupBy("method", "place_id").agg(F.count("*").alias("n")).collect()} == {("direct", 5, 1800), ("parcel", 9, 133), ("unresolved", None, 67)}
