@@ -58,8 +58,12 @@ def link_evidence(links: dict[str, DataFrame]) -> DataFrame:
 
 
 def source_quality(evidence: DataFrame) -> DataFrame:
-    """Links, places and mean confidence of each dataset, and how far it carries: strong, usable or limited."""
-    s = evidence.groupBy("dataset").agg(F.count("*").alias("rows"), F.count("place_id").alias("linked"), F.countDistinct("place_id").alias("places"), F.avg("confidence").alias("mean"))
+    """Links, places and mean confidence of each dataset, and how far it carries: strong, usable or limited.
+
+    Confidences are summed as decimals, so the mean does not hang on the order of rows where it meets a limit.
+    """
+    exact = F.col("confidence").cast("decimal(20,15)")
+    s = evidence.groupBy("dataset").agg(F.count("*").alias("rows"), F.count("place_id").alias("linked"), F.countDistinct("place_id").alias("places"), (F.sum(exact).cast("decimal(38,15)") / F.count("confidence")).cast("double").alias("mean"))
     share = F.col("linked") / F.col("rows")
     label = F.when((share >= 0.9) & (F.col("mean") >= 0.9), "strong").when((share >= 0.5) & (F.col("mean") >= 0.6), "usable").otherwise("limited")
     return s.select("dataset", "rows", "linked", "places", F.round("mean", 6).alias("mean_confidence"), label.alias("quality"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from hearthstat.operators import identity, naming, polygons, spatial
+from hearthstat.operators import identity, naming, places, polygons, spatial
 
 SHAPE = "array<array<struct<x:double,y:double>>>"
 
@@ -65,3 +65,9 @@ def test_rows_without_need_of_a_crosswalk_are_dealt_out(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert {(r["method"], r["place_id"], r["n"]) for r in out.groupBy("method", "place_id").agg(F.count("*").alias("n")).collect()} == {("direct", 5, 1800), ("parcel", 9, 133), ("unresolved", None, 67)}
+
+
+def test_a_mean_on_the_limit_does_not_hang_on_the_order_of_rows(spark):
+    e = spark.range(0, 1000, 1, 1).selectExpr("'p' AS dataset", "id AS place_id", "0.9D AS confidence")
+    got = places.source_quality(e).first()
+    assert (got["quality"], got["mean_confidence"], got["linked"]) == ("strong", 0.9, 1000)
