@@ -31,6 +31,17 @@ def test_points_meet_equal_shapes_once(spark, monkeypatch):
     assert n.value <= 8, n.value
 
 
+def test_equal_shapes_overlap_once(spark, monkeypatch):
+    seen, plain = [], polygons._overlaps
+    monkeypatch.setattr(polygons, "_overlaps", lambda a, b, *more: seen.append((a.count(), b.count())) or plain(a, b, *more))
+    square = lambda x: [[(x, 0.0), (x + 2.0, 0.0), (x + 2.0, 2.0), (x, 2.0)]]
+    a = spark.createDataFrame([(i, square(float(i % 2))) for i in range(6)], f"a_id long, rings {SHAPE}")
+    b = spark.createDataFrame([(10, square(1.0)), (11, square(1.0))], f"b_id long, rings {SHAPE}")
+    got = {(r["a_id"], r["b_id"], round(r["shared"], 9), round(r["ratio"], 9)) for r in polygons.overlaps(a, b, 0.7).collect()}
+    assert got == {(i, j, 2.0 * (1 + i % 2), 0.5 * (1 + i % 2)) for i in range(6) for j in (10, 11)}
+    assert seen == [(2, 1)]
+
+
 def test_points_and_anchors_of_one_place_meet_once(spark, monkeypatch):
     n, km = counted(spark, spatial.haversine_km, "double")
     monkeypatch.setattr(spatial, "haversine_km", km)
