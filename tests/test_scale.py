@@ -1,8 +1,11 @@
 """Work that grows with distinct values, not with pairs of rows; results stay those of all pairs."""
 
+import datetime as dt
+import random
+
 from pyspark.sql import functions as F
 
-from hearthstat.operators import identity, naming, places, polygons, spatial
+from hearthstat.operators import appraisal, identity, naming, places, polygons, spatial
 
 SHAPE = "array<array<struct<x:double,y:double>>>"
 
@@ -63,6 +66,22 @@ def test_equal_streets_and_rules_meet_once(spark, monkeypatch):
     assert got == {(0, 9, "street", 0.9), (1, 7, "part_of_street", -1), (2, 9, "part_of_street", 0.9), (3, None, None, -1)}
 
 
+def test_newest_sales_near_an_area(spark):
+    """All pairs give the same; a range of areas meets short lists."""
+    r = random.Random(5)
+    start = dt.date(2000, 1, 1)
+    sales = [(r.choice([1, 2, None]), i, start + dt.timedelta(r.randrange(300)) if i % 50 else None, r.choice([50.0, 80.0, 100.0, 120.0, r.uniform(30, 150), 0.0]), 1.0) for i in range(4000)]
+    subjects = [(i, r.choice([1, 2, 3]), r.choice([100.0, r.uniform(30, 150), None]), None, None, None) for i in range(120)]
+    s = spark.createDataFrame(subjects, "listing_id long, neighborhood_id long, area_sqm double, rooms int, floor int, address string")
+    c = spark.createDataFrame(sales, "neighborhood_id long, transaction_id long, deal_date date, area_sqm double, amount double")
+    want = set()
+    for i, place, area, *_ in subjects:
+        near = [x for x in sales if x[0] == place and area and x[3] > 0 and area * (1 - 0.2) <= x[3] <= area * (1 + 0.2)]
+        near.sort(key=lambda x: (x[2] is None, -(x[2] or start).toordinal(), x[1]))
+        want |= {(i, x[1], n) for n, x in enumerate(near[:20], 1)}
+    assert {(x["listing_id"], x["transaction_id"], x["rank"]) for x in appraisal.basic_comparables(s, c).collect()} == want
+
+
 def test_rows_without_need_of_a_crosswalk_are_dealt_out(spark):
     tx = spark.createDataFrame([(i, 5 if i % 10 else None, i % 7 if i % 3 else None) for i in range(2000)], "transaction_id long, neighborhood_id long, parcel_id long")
     p = spark.createDataFrame([(i, 9, 0.5) for i in range(7)], "parcel_id long, neighborhood_id long, confidence double")
