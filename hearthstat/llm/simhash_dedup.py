@@ -45,6 +45,14 @@ def simhash(text: str, k: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * total > most).tobytes(), "big")
 
 
+def of_hashes(hashes: np.ndarray) -> int:
+    """The SimHash of given 64-bit hashes; 0 for none."""
+    total = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), BLOCK):
+        total += np.unpackbits(hashes[i : i + BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * total > len(hashes)).tobytes(), "big")
+
+
 def _fingerprint(k: int):
     def run(batches):
         for b in batches:

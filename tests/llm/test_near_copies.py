@@ -83,3 +83,31 @@ def test_dense_values(spark, monkeypatch):
     of = {r["doc_id"]: r["root"] for r in shingle_dedup.groups(docs).collect()}
     want = plain_groups(texts)
     assert len(set(of.values())) == len(set(want)) and all((of[i] == of[j]) == (want[i] == want[j]) for i in range(65) for j in range(i))
+
+
+def test_first_round_is_multi_index_hashing_of_fingerprints(spark, monkeypatch):
+    """Without any band, pairs within the radius are linked, after the exact check; farther ones are not."""
+    monkeypatch.setattr(shingle_dedup, "nominated", lambda once, bands: once.selectExpr("set as a", "set as b").limit(0))
+    g = random.Random(11)
+    bases = [[f"w{g.randrange(5000)}" for _ in range(600)] for _ in range(20)]
+    texts = [" ".join(edited(g, base, n)) for base in bases for n in (0, 1, 12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    of = {r["doc_id"]: r["root"] for r in shingle_dedup.groups(docs).collect()}
+    prints = [simhash_dedup.of_hashes(shingle_dedup.shingles(t, 5)) for t in texts]
+    pairs = [(i, j, (prints[i] ^ prints[j]).bit_count()) for i in range(len(texts)) for j in range(i)]
+    near = [(i, j) for i, j, d in pairs if d <= 4 and similarity(texts[i], texts[j]) >= 0.8]
+    assert len(near) >= 15 and all(of[i] == of[j] for i, j in near)
+    assert len(set(of.values())) > len(bases)  # what lies farther is left to the bands
+
+
+def test_near_copies_that_are_linked_nominate_nothing(spark):
+    """Rows that tasks make for a large group of near copies, and links to other components, which stay."""
+    g = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(edited(g, base, 2)) for _ in range(80)]
+    sig = shingle_dedup.np.stack([shingle_dedup.np.frombuffer(shingle_dedup.signature(shingle_dedup.minima(shingle_dedup.shingles(t, 5))), "u1") for t in texts])
+    assert len(shingle_dedup.forest(sig)) >= 79
+    assert shingle_dedup.forest(sig, shingle_dedup.np.zeros(80, int)) == []
+    two = shingle_dedup.np.arange(80) // 40
+    across = shingle_dedup.forest(sig, two)
+    assert across and all(two[i] != two[j] for i, j in across)
