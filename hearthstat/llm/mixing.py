@@ -8,11 +8,11 @@ and then the part that its target still needs, so a document is taken 0 to ``mos
 Curriculum: source s has the weight schedule w(t) = 1 - a + 2 a t over training time t in [0, 1] (a > 0 grows,
 a < 0 fades).  Its integral F(t) = (1 - a) t + a t^2 is the part of the source's target that is due by t, so the
 word at u of the target stands at the t that solves F(t) = u / target, in closed form.  ``mixed`` repeats documents
-and sorts them by that position over ranges.
+and sorts them by that position over ranges; ``mix`` sorts the copies without their texts and gives each one's place in the mix.
 
 Scale: sizes are counted once and texts are not shuffled to plan.  Running sums go in two levels, over 4096 parts of
 a source's order and within a part, so a source with a third of all rows is spread over 4096 keys.  Only totals of
-sources (one row each) are sorted in one task.
+sources and of ranges (one row each) are sorted in one task.
 
 Defined results: a null text has size 0; a null source is a source; repeated rows are documents of their own; a
 source without words has target 0; an empty table gives no rows; other columns pass through ``mixed`` untouched.
@@ -106,9 +106,27 @@ def mixed(docs: DataFrame, most: int = MOST, slopes: tuple[float, ...] = SLOPES)
     return rows.join(one, ["name", "nth"]).repartitionByRange("place").sortWithinPartitions("place").select("row.*")
 
 
+def placed(scheduled: DataFrame) -> DataFrame:
+    """``scheduled`` rows (name, nth, copy, size, position) with ``start``: the words of the mix before each copy.
+
+    Copies are sorted by position over ranges; running sums go within a range and over the ranges' totals.
+    """
+    place = ["position", "name", "nth", "copy"]
+    rows = scheduled.select(*place, "size").repartitionByRange(*place).withColumn("range", F.spark_partition_id())
+    rows = C.keep(rows.sortWithinPartitions(*place), "order")
+    base = rows.groupBy("range").agg(F.sum("size").alias("n"))
+    base = base.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("base"))
+    inner = F.sum("size").over(Window.partitionBy("range").orderBy(*place).rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    return rows.withColumn("inner", inner).join(F.broadcast(base), "range").select(*place, "size", (F.col("base") + F.col("inner")).alias("start"))
+
+
 def mix(docs: DataFrame, most: int = MOST, slopes: tuple[float, ...] = SLOPES) -> DataFrame:
-    """The contract's columns, and where in training a document first stands."""
-    p = plan(docs, most)
-    slope = F.array(*[F.lit(float(s)) for s in slopes])[F.col("weight").cast("int") - 1]
-    done = F.when(F.col("target") > 0, F.least(F.lit(1.0), (F.col("before") + F.col("size") / 2) / F.col("target"))).otherwise(0.0)
-    return p.select("doc_id", "size", "source_size", "target", "taken", F.when(F.col("copies") > 0, position(done, slope)).alias("first_position"))
+    """The contract's columns, the words taken being those of the copies that stand in the mix; where in training a document first
+    stands; and ``starts``, the words of the mix before each of its copies."""
+    named = plan(docs, most).withColumn("name", F.md5(F.concat_ws("/", "key", F.coalesce(F.md5("source"), F.lit("")))))
+    p = C.keep(named.withColumn("nth", F.row_number().over(Window.partitionBy("name").orderBy("before"))), "plan")
+    copies = placed(schedule(p, slopes)).groupBy("name", "nth").agg(
+        F.sum("size").alias("words"), F.min("position").alias("first_position"), F.sort_array(F.collect_list("start")).alias("starts")
+    )
+    starts = F.coalesce("starts", F.array().cast("array<long>")).alias("starts")
+    return p.join(copies, ["name", "nth"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"), "first_position", starts)

@@ -194,6 +194,22 @@ def test_positions_follow_the_schedules(spark, docs):
     assert single == sorted(single) and len(got) == len(rows)
 
 
+def test_mix_places_every_copy(spark, docs):
+    """What the query gives comes from the mix in its order: every copy has its place, after the words of those before it."""
+    docs = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    got = {r["doc_id"]: r for r in mixing.mix(docs.repartition(5)).collect()}
+    copies = sorted((r["position"], r["key"], r["copy"], r["doc_id"], r["size"]) for r in mixing.schedule(mixing.plan(docs)).collect() if r["size"])
+    at, want, first = 0, {}, {}
+    for position, _, _, doc_id, size in copies:
+        want.setdefault(doc_id, []).append(at)
+        first.setdefault(doc_id, position)
+        at += size
+    assert max(map(len, want.values())) > 1 and len({c[0] for c in copies}) == len(copies)  # no ties
+    sized = {i: r for i, r in got.items() if r["size"]}
+    assert {i: r["starts"] for i, r in sized.items() if r["starts"]} == want and {i: r["first_position"] for i, r in sized.items() if r["starts"]} == first
+    assert all(r["taken"] == r["size"] * len(r["starts"]) for r in got.values())
+
+
 def test_fingerprints(docs, rows, none):
     got = {(r["doc_id"], r["edited_sha256"]): r for r in fingerprints.fingerprint_documents(docs).collect()}
     assert len(got) == len(rows)
