@@ -51,6 +51,13 @@ def test_toxicity_features():
     assert got[4:-1] == [math.log1p(sum(x >= s for x in saved)) for s in toxicity.SAVED] and got[-1] == math.log(len(saved))
 
 
+def test_toxicity_short_words():
+    """A word of four letters and the space before it are as long as a match, so it is a sample of its own."""
+    assert toxicity.word_beginnings("Scum, of it") == {b"scum"}
+    out = next(toxicity._pieces(frozenset([b"scum"]))([pa.RecordBatch.from_pydict({"text": ["a SCUM scumbag, it"]})]))
+    assert out.column("sample").to_pylist() == [b" scum", b" scum"]
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     d, y = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
