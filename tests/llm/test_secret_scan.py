@@ -105,3 +105,34 @@ def test_training_is_the_same_however_rows_lie(spark):
     rows = df.select("doc_id", "text").unionByName(planted)
     a, b = S.train(rows), S.train(rows.repartition(7))
     assert all(np.array_equal(a.net[k], b.net[k]) for k in a.net) and np.array_equal(a.thresholds, b.thresholds) and a.scale == b.scale
+
+
+def test_every_distinct_example_trains(spark):
+    """The example with the largest hash of 2,000 of its class and shape counts as well."""
+    values = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(2000)]
+    texts = [f"words before secret={v} words after internationalization{i}" for i, v in enumerate(values)]
+    last = max((t for t in texts if S._digest(*S._example(t, 20, 60)) % 4 < 2), key=lambda t: S._digest(*S._example(t, 20, 60)))
+    a, b = (S.train(spark.createDataFrame([(t,) for t in ts], "text string")) for ts in (texts, [t for t in texts if t != last]))
+    assert any(not np.array_equal(a.net[k], b.net[k]) for k in a.net)
+
+
+def test_steps_of_shards_pass_over_every_window(spark, monkeypatch):
+    seen = set()
+    zero = {k: np.zeros_like(w) for k, w in N.start(0).items()}
+    monkeypatch.setattr(N, "gradients", lambda p, ids, y: seen.update(ids[:, 0].tolist()) or zero)
+    ids, y = np.arange(3000)[:, None], (np.arange(3000) < 100).astype(int)
+    s = N.State.begin(1)
+    for i in range(S.ROUNDS):
+        s = N.train(s, ids, y, i * 10, 10, S.ROUNDS * 10, 7)
+    assert len(seen) == 3000 and S.ROUNDS * S.STEPS * 64 > 1.2 * S.SHARD
+    again = N.unflat(N.flat(N.State.begin(5)))
+    assert all(np.array_equal(again.net[k], w) for k, w in N.start(5).items())
+
+
+def test_many_shards_learn_as_well(spark):
+    """The average of several shards finds secrets of an alphabet that the rules do not know."""
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    a = S.train(df, shard=8_000)
+    r = random.Random(8)
+    texts = [f"then the client sent {''.join(r.choice(string.ascii_letters + string.digits) for _ in range(36))} to us" for _ in range(100)]
+    assert sum(any(k == 3 for _, k, _, _ in f) for f in S.findings(texts, a)) > 85
