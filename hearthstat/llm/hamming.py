@@ -136,10 +136,11 @@ def links_within(fps: DataFrame, radius: int, scheme, dense: int = DENSE) -> Dat
     return near.union(joined.distinct())
 
 
-def components(links: DataFrame, most: int = 60) -> DataFrame:
+def components(links: DataFrame, most: int = 60, rows: int | None = None) -> DataFrame:
     """``node``, ``root``: the smallest node that links lead to, for every node of ``links`` (a, b) but the roots.
 
     Alternating large and small stars; each round is checkpointed.  Only two numbers a round come to the driver.
+    With ``rows``, a round's edges are kept in as many partitions as hold about so many each: edges never grow in number.
     """
     a, b = F.col("a"), F.col("b")
     edges = C.cut(links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter(a != b).distinct())
@@ -153,7 +154,8 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
         large = both.join(least, "a").filter(b > a).select(b.alias("a"), F.col("m").alias("b")).filter(a != b).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter(b != F.col("m")).select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
-        edges = C.cut(small.union(least.select("a", F.col("m").alias("b"))).distinct())
+        after = small.union(least.select("a", F.col("m").alias("b"))).distinct()
+        edges = C.cut(after.coalesce(1 + before[0] // rows) if rows else after)
         after = state(edges)
         if after == before:
             return edges.select(a.alias("node"), b.alias("root"))

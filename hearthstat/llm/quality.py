@@ -125,7 +125,8 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     y = rows.column("y").to_numpy().astype(float)
     if len(set(y[y >= 0])) < 2:
         return None
-    x, z = (np.frombuffer(b"".join(rows.column(c).to_pylist()), np.float32).reshape(len(y), -1).astype(np.float64) for c in "xz")
+    x, z = (np.concatenate([np.frombuffer(v.as_buffer(), np.float32) for v in rows.column(c)]).reshape(len(y), -1) for c in "xz")
+    del rows  # the driver holds the features once, as they came
     return co_train(x, z, y)
 
 

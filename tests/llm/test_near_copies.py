@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from hearthstat.llm import shingle_dedup, simhash_dedup
+from hearthstat.llm import hamming, shingle_dedup, simhash_dedup
 
 
 def edited(g, words, n):
@@ -111,3 +111,11 @@ def test_near_copies_that_are_linked_nominate_nothing(spark):
     two = shingle_dedup.np.arange(80) // 40
     across = shingle_dedup.forest(sig, two)
     assert across and all(two[i] != two[j] for i, j in across)
+
+
+def test_components_keep_few_partitions(spark):
+    """Edges of a round lie in as few partitions as their number asks for, so that the driver follows few tasks; the same roots come out."""
+    links = spark.range(400).selectExpr("id as a", "id - id % 10 as b").repartition(40, "a")
+    few = hamming.components(links, rows=50_000)
+    assert few.rdd.getNumPartitions() == 1
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, hamming.components(links).collect())) == [(i, i - i % 10) for i in range(400) if i % 10]
