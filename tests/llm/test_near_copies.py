@@ -119,3 +119,46 @@ def test_components_keep_few_partitions(spark):
     few = hamming.components(links, rows=50_000)
     assert few.rdd.getNumPartitions() == 1
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, hamming.components(links).collect())) == [(i, i - i % 10) for i in range(400) if i % 10]
+
+
+def test_a_pair_is_nominated_once(spark, monkeypatch):
+    """Near copies share many keys of either kind; the rows that tasks make of a level are different pairs."""
+    made, nominate, keep, near = spark.sparkContext.accumulator(0), shingle_dedup._near, shingle_dedup.C.keep, []
+
+    def counted(batches):
+        for b in nominate(batches):
+            made.add(b.num_rows)
+            yield b
+
+    def kept(df, name, *rest):
+        out = keep(df, name, *rest)
+        near.extend([out.count()] * (name == "near"))
+        return out
+
+    monkeypatch.setattr(shingle_dedup, "_near", counted)
+    monkeypatch.setattr(shingle_dedup.C, "keep", kept)
+    monkeypatch.setattr(shingle_dedup, "DENSE", 100)
+    g = random.Random(12)
+    texts = [" ".join(edited(g, [f"{c}{i}" for i in range(200)], 4)) for c in "abcdef" for _ in range(40)]
+    texts += [" ".join(edited(g, [f"g{i}" for i in range(200)], 12)) for _ in range(250)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = shingle_dedup.C.map_batches(docs.selectExpr("doc_id", "text", "cast(doc_id as string) as row"), shingle_dedup._sketch(5), "row string, doc_id long, set long, keys array<long>, sig binary")
+    assert shingle_dedup.nominated(keep(rows, "test")).count() and sum(near) == made.value > 240
+
+
+def test_pairs_of_an_earlier_key_are_left_to_it():
+    """What runs leave to one another is found by one of them: together they span what agrees."""
+    np, g = shingle_dedup.np, random.Random(13)
+    base = [f"w{i}" for i in range(200)]
+    sig = np.stack([np.frombuffer(shingle_dedup.signature(shingle_dedup.minima(shingle_dedup.shingles(" ".join(edited(g, base, 1)), 5))), "u1") for _ in range(30)])
+    keys = [np.array(sorted(g.sample(range(6), 3))) for _ in range(30)]
+    found = []
+    for k in range(6):
+        run = [i for i in range(30) if k in keys[i]]
+        pairs = shingle_dedup.forest(sig[run], earlier=[keys[i][keys[i] < k] for i in run])
+        found += [(run[i], run[j]) for i, j in pairs]
+    assert len(found) == len(set(found))
+    root = list(range(30))
+    for a, b in found:
+        root = [root[a] if r == root[b] else r for r in root]
+    assert len(set(root)) == 1
