@@ -136,3 +136,20 @@ def test_many_shards_learn_as_well(spark):
     r = random.Random(8)
     texts = [f"then the client sent {''.join(r.choice(string.ascii_letters + string.digits) for _ in range(36))} to us" for _ in range(100)]
     assert sum(any(k == 3 for _, k, _, _ in f) for f in S.findings(texts, a)) > 85
+
+
+def test_filters_read_no_padding():
+    """What a window costs follows its characters: places of padding are not computed, and answers are those of all places."""
+    r = random.Random(6)
+    some = lambda n: "".join(r.choice("ab0=Z é\x7f☃") for _ in range(n))
+    parts = [(some(r.randrange(40)), some(12 + r.randrange(50)), some(r.randrange(12))) for _ in range(60)]
+    rows = N.unpacked([N.packed(*p) for p in parts])
+    for row, (left, value, right) in zip(rows, parts, strict=True):
+        left, value, right = (N.codes(t).tolist() for t in (left[-N.LEFT :], value[: N.VALUE], right[: N.RIGHT]))
+        assert row.tolist() == [0] * (N.LEFT - len(left)) + left + value + [0] * (N.VALUE - len(value)) + right + [0] * (N.RIGHT - len(right))
+    p = N.start(2)
+    x = (p["emb"][rows] + p["region"][N._REGION]) * (rows > 0)[..., None]
+    every = np.maximum(np.stack([x[:, i : i + N.WIDTH].reshape(len(x), -1) @ p["conv"] for i in range(N.LENGTH - N.WIDTH + 1)], 1) + p["conv_b"], 0)
+    on, cols, _, a = N._convolved(p, rows)
+    assert len(cols) == on.sum() < 0.8 * on.size
+    assert np.allclose(a, every * (rows[:, N._CENTRE] > 0)[..., None], atol=1e-5)
